@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lengths, pieces
+from . import chat, exact, lengths, lines, pieces, urls
 
 
 def queries() -> dict[str, Callable]:
-    found = [pieces.op7_sentencepiece, lengths.op8_token_counts]
+    found = [
+        exact.op1_exact_dedup,
+        chat.op2_chat_format,
+        lines.op4_line_dedup,
+        pieces.op7_sentencepiece,
+        lengths.op8_token_counts,
+        urls.op10_url_filter,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": exact.OP1_SQL, "op2_chat_format": chat.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op10_url_filter": urls.OP10_SQL}
