@@ -48,9 +48,10 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 def stream_runs(min_docs: int) -> Callable:
     """Walks lines sorted by key, then document (largest first), then position, a batch at a time.
 
-    Gives the lines that go, as ``open = false``: those of a key's second and later documents, once ``min_docs``
-    documents are seen. Lines of the first and last key of the partition may have more lines elsewhere, so they
-    are given whole, as ``open = true``. Holds only the lines of fewer than ``min_docs`` documents at a time.
+    Gives the lines that go, as ``open = false``: those of a key's second and later documents, if it has
+    ``min_docs``. The first and the last key of the partition may have lines elsewhere: the first one's lines are
+    given whole, as ``open = true``, and so are those of the last one's first ``min_docs`` documents. No more
+    lines than these are held at a time.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -58,64 +59,35 @@ def stream_runs(min_docs: int) -> Callable:
         import pyarrow as pa
 
         names = ["open", "k1", "k2", "doc", "text_key", "n_lines", "pos"]
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        first, carry = True, None  # carry: rows of the run not ended yet; a list of arrays by column
 
         def out(rows: list, is_open: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), is_open)), *(pa.array(r, k) for r, k in zip(rows, kinds[1:], strict=True))], names=names)
-
-        def closed(rows: list, run_of: np.ndarray) -> pa.RecordBatch:
-            """Rows of ended runs that go. run_of numbers the runs."""
-            doc = rows[2]
-            fresh = np.ones(len(doc), bool)
-            fresh[1:] = (run_of[1:] != run_of[:-1]) | (doc[1:] != doc[:-1])
-            nth = np.cumsum(fresh)
-            begin = np.flatnonzero(np.r_[True, run_of[1:] != run_of[:-1]])
-            n_docs = np.add.reduceat(fresh.astype(np.int64), begin)
-            size = np.diff(np.r_[begin, len(doc)])
-            goes = (np.repeat(n_docs, size) >= min_docs) & (nth > np.repeat(nth[begin], size))
-            return out([r[goes] for r in rows], False)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), is_open)), *map(pa.array, rows)], names=names)
 
+        first = held = None
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in names[1:]]
+            if first is None and len(rows[0]):
+                first = rows[0][0], rows[1][0]
+            if held is None:
+                n = int(((rows[0] == first[0]) & (rows[1] == first[1])).sum()) if first else 0
+                yield out([r[:n] for r in rows], True)
+                rows = [r[n:] for r in rows]
+            else:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            if carry:
-                rows = [np.concatenate([a, b]) for a, b in zip(carry, rows, strict=True)]
-            change = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
-            starts = np.flatnonzero(change)
-            if first:
-                if len(starts) == 1:  # still the partition's first key
-                    yield out(rows, True)
-                    carry = [r[-1:] for r in rows]
-                    held_first = True
-                    # its rows are out; only its key is kept, to know where it ends
-                    first_key = (rows[0][0], rows[1][0])
-                    while batch is not None:
-                        batch = next(batches, None)
-                        if batch is None:
-                            return
-                        rows = [batch.column(c).to_numpy() for c in names[1:]]
-                        same = (rows[0] == first_key[0]) & (rows[1] == first_key[1])
-                        n = int(same.sum())
-                        if n:
-                            yield out([r[:n] for r in rows], True)
-                        if n < len(same):
-                            rows = [r[n:] for r in rows]
-                            break
-                    del held_first
-                else:
-                    yield out([r[: starts[1]] for r in rows], True)
-                    rows = [r[starts[1] :] for r in rows]
-                first, carry = False, None
-                change = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
-                starts = np.flatnonzero(change)
-            last = starts[-1]
-            if last:
-                yield closed([r[:last] for r in rows], np.cumsum(change[:last]))
-            carry = [r[last:] for r in rows]
-        if carry:
-            yield out(carry, True)
+            new_key = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
+            new_doc = new_key | np.r_[True, rows[2][1:] != rows[2][:-1]]
+            begin = np.flatnonzero(new_key)
+            size = np.diff(np.r_[begin, len(new_key)])
+            nth = np.cumsum(new_doc)
+            nth = nth - np.repeat(nth[begin], size) + 1  # documents of the key so far
+            enough = np.repeat(np.maximum.reduceat(nth, begin) >= min_docs, size)
+            last = np.arange(len(nth)) >= begin[-1]
+            yield out([r[np.where(last, nth > min_docs, enough & (nth > 1))] for r in rows], False)
+            held = [r[last & (nth <= min_docs)] for r in rows]
+        if held is not None:
+            yield out(held, True)
 
     return run
 
@@ -136,6 +108,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     common.small_batches(docs.sparkSession)
     lines = common.keep(line_keys(identified(docs), min_chars), f"{path}/lines")
     ranged = lines.repartitionByRange("k1", "k2", "doc").sortWithinPartitions("k1", "k2", F.desc("doc"), "text_key", "pos")
+    common.small_batches(docs.sparkSession, 16_384)  # rows of numbers
     told = common.keep(ranged.mapInArrow(stream_runs(min_docs), "open boolean, k1 long, k2 long, doc long, text_key long, n_lines int, pos int"), f"{path}/told")
     edge = told.where("open")
     # two keys for each range at most, so they can be broadcast
