@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, exact, lengths, lines, pieces, urls
+from . import chat, contam, exact, lengths, lines, pieces, urls
 
 
 def queries() -> dict[str, Callable]:
     found = [
         exact.op1_exact_dedup,
         chat.op2_chat_format,
+        contam.op3_decontaminate,
         lines.op4_line_dedup,
         pieces.op7_sentencepiece,
         lengths.op8_token_counts,
