@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, contam, exact, lengths, lines, pieces, simhash, urls
+from . import chat, contam, exact, lengths, lines, pieces, simhash, toxic, urls
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         simhash.op6_simhash,
         pieces.op7_sentencepiece,
         lengths.op8_token_counts,
+        toxic.op9_toxicity,
         urls.op10_url_filter,
     ]
     return {f.__name__: f for f in found}
