@@ -19,7 +19,9 @@ def queries() -> dict[str, Callable]:
         toxic.op9_toxicity,
         urls.op10_url_filter,
     ]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
