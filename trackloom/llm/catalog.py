@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, contam, exact, lengths, lines, pieces, simhash, toxic, urls
+from . import chat, contam, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         chat.op2_chat_format,
         contam.op3_decontaminate,
         lines.op4_line_dedup,
+        substrings.op5_suffix_dedup,
         simhash.op6_simhash,
         pieces.op7_sentencepiece,
         lengths.op8_token_counts,
