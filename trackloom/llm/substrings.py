@@ -136,7 +136,7 @@ def _number(docs: DataFrame, shard_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _name_runs(numbered: DataFrame, size: int, gram: int) -> DataFrame:
+def _name_runs(numbered: DataFrame, size: int, gram: int, shard_many: int) -> DataFrame:
     """``f, c, n, shard``: anchors, contexts and their number in a shard. Copies in a shard are one row."""
 
     def run(batches: Iterator) -> Iterator:
@@ -156,7 +156,7 @@ def _name_runs(numbered: DataFrame, size: int, gram: int) -> DataFrame:
             new = new_f | np.r_[True, c[1:] != c[:-1]] if len(f) else new_f
             group = np.cumsum(new_f) - 1
             kinds = np.bincount(group, weights=new).astype(np.int64) if len(f) else np.zeros(0, np.int64)
-            many = kinds[group] > SHARD_MANY
+            many = kinds[group] > shard_many
             c = np.where(many, ANY, c)
             at = np.flatnonzero(np.where(many, new_f, new))
             n = np.diff(np.r_[at, len(f)])
@@ -176,11 +176,11 @@ def _name_runs(numbered: DataFrame, size: int, gram: int) -> DataFrame:
     return numbered.select("shard", "text").mapInArrow(run, "f long, c long, n long, shard long")
 
 
-def judge(batches: Iterator) -> Iterator:
+def judge(batches: Iterator, many: int = MANY) -> Iterator:
     """Codes of rows ``f, c, n, shard`` sorted by anchor, context and shard; anchors that occur once get none.
 
     The first row of a context stands for it (``FIRST``). Other rows of it are sure copies. Of the anchor that may
-    go on in the next batch only such first rows are held, ``MANY`` at most.
+    go on in the next batch only such first rows are held, ``many`` at most.
     """
     import pyarrow as pa
 
@@ -200,7 +200,7 @@ def judge(batches: Iterator) -> Iterator:
         total = np.bincount(of_c, weights=n).astype(np.int64)
         kinds = np.bincount(of_f, weights=new_c)[of_f]
         some = c == ANY
-        hot = (np.bincount(of_f, weights=some)[of_f] > 0) | (kinds > MANY)
+        hot = (np.bincount(of_f, weights=some)[of_f] > 0) | (kinds > many)
         if hot_f is not None:
             hot |= f == hot_f
         full = (total[of_c] > 1) & ~some
@@ -231,6 +231,7 @@ def judge(batches: Iterator) -> Iterator:
 
 
 _STEP = "kind int, f long, wh long, shard long, seq int, a int, q int, judged boolean, doc_id {id}, data binary, spans binary"
+#: ``q`` is the anchor of a context, and for a string of a frequent anchor its number in the shard.
 _DOC, _CONTEXT, _WINDOW = 0, 1, 2
 
 
@@ -263,6 +264,7 @@ def _apply_codes(size: int, gram: int, keep_first: bool, id_type) -> Callable:
         waits = [False] * len(docs)
         out: list[list] = [[] for _ in range(8)]  # kind, f, wh, seq, a, q, judged, data
         leads: set[tuple[int, int]] = set()
+        hot: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
 
         def add(*row) -> None:
             for x, v in zip(out, row, strict=True):
@@ -285,10 +287,15 @@ def _apply_codes(size: int, gram: int, keep_first: bool, id_type) -> Callable:
                 waits[i] |= judged and bool(code & (PARTIAL | WITNESS | HOT))
                 if code & HOT and (every or lead):
                     for p in range(x, y + 1):
-                        w = xxhash.xxh3_64_intdigest(raw[p : p + size])
-                        add(_WINDOW, g, w - (1 << 64) if w >> 63 else w, seq[i], p, 0, judged, None)
+                        hot.setdefault((g, xxhash.xxh3_64_intdigest(raw[p : p + size])), []).append((i, p, judged))
                 elif code & WITNESS and lead:
                     add(_CONTEXT, g, 0, seq[i], x, z, judged, raw[x : y + size])
+        for (g, w), places in hot.items():  # copies in the shard are sure; one row stands for all of them
+            i, p, judged = min(places)
+            for j, at, _ in places if len(places) > 1 else ():
+                if not keep_first or (j, at) != (i, p):
+                    sure[j] += [at, at]
+            add(_WINDOW, g, w - (1 << 64) if w >> 63 else w, seq[i], p, len(places), judged and (keep_first or len(places) == 1), None)
         n = len(out[0])
         spans = [np.array(s, np.int32).tobytes() for s in sure]
         data = [*out[7], *docs]
@@ -387,7 +394,7 @@ def _factors(size: int, keep_first: bool, at_once: int = 1 << 15) -> Callable:
     return run
 
 
-def repeated(docs: DataFrame, added: str, finish: Callable, min_bytes: int = MIN_BYTES, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
+def repeated(docs: DataFrame, added: str, finish: Callable, min_bytes: int = MIN_BYTES, gram: int = GRAM, keep_first: bool = True, many: int = MANY, shard_many: int = SHARD_MANY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id`` of each row and what ``finish(kept bytes, size, removed runs)`` makes of its text.
 
     Removed is each byte covered by a string of ``min_bytes`` UTF-8 bytes that starts earlier too (in order of
@@ -397,13 +404,13 @@ def repeated(docs: DataFrame, added: str, finish: Callable, min_bytes: int = MIN
     columns are left out.
 
     Copies are one row a shard before they reach an owner. A passage in a third of all documents costs its owner a
-    row or ``SHARD_MANY`` a shard; anchors with more than ``MANY`` contexts are counted by the hash of each string.
+    row or ``shard_many`` a shard; anchors with more than ``many`` contexts are counted by the hash of each string.
     """
     spark, path = docs.sparkSession, common.shared_dir(docs.sparkSession)
     common.small_batches(spark)
-    numbered = common.keep(_number(common.texts(docs, "doc_id"), SHARD_BYTES), f"{path}/numbered")
-    named = _name_runs(numbered, min_bytes, gram).repartition("f").sortWithinPartitions("f", "c", "shard")
-    codes = common.keep(named.mapInArrow(judge, "shard long, f long, c long, code int"), f"{path}/codes")
+    numbered = common.keep(_number(common.texts(docs, "doc_id"), shard_bytes), f"{path}/numbered")
+    named = _name_runs(numbered, min_bytes, gram, shard_many).repartition("f").sortWithinPartitions("f", "c", "shard")
+    codes = common.keep(named.mapInArrow(lambda batches: judge(batches, many), "shard long, f long, c long, code int"), f"{path}/codes")
     kind = numbered.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -415,7 +422,7 @@ def repeated(docs: DataFrame, added: str, finish: Callable, min_bytes: int = MIN
     matched = contexts.mapInArrow(_factors(min_bytes, keep_first), "shard long, seq int, a int, b int")
     windows = step.where(F.col("kind") == _WINDOW)
     place = F.struct("shard", "seq", "a")
-    counted = windows.groupBy("f", "wh").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    counted = windows.groupBy("f", "wh").agg(F.sum("q").alias("n"), F.min(place).alias("first")).where("n > 1")
     copies = windows.where("judged").join(counted, ["f", "wh"])
     if keep_first:
         copies = copies.where(place != F.col("first"))
