@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("job_id").orderBy("sequence")
+def order() -> WindowSpec:
+    return Window.partitionBy("job_id").orderBy("sequence")
 
 
 def latest(reports: DataFrame) -> DataFrame:
@@ -18,13 +19,13 @@ def latest(reports: DataFrame) -> DataFrame:
 
 def changes(reports: DataFrame) -> DataFrame:
     """Reports whose progress or stage differs from the one before."""
-    was = [F.lag(c).over(ORDER) for c in ("progress", "stage")]
+    was = [F.lag(c).over(order()) for c in ("progress", "stage")]
     return reports.withColumns({"_p": was[0], "_s": was[1]}).where(~(F.col("progress").eqNullSafe(F.col("_p")) & F.col("stage").eqNullSafe(F.col("_s")))).drop("_p", "_s")
 
 
 def rolling_rate(reports: DataFrame, units: Column, seconds: Column, records: int = 5) -> DataFrame:
     """Units per second over the last records; 0 where no time has passed."""
-    last = ORDER.rowsBetween(1 - records, 0)
+    last = order().rowsBetween(1 - records, 0)
     u, s = F.sum(units).over(last), F.sum(seconds).over(last)
     return reports.withColumn("rate", F.when(s > 0, u / s).otherwise(F.lit(0.0)))
 
@@ -60,5 +61,5 @@ MOVES = {"running": ("running", "done", "error", "cancelled"), "done": (), "erro
 
 def settled(reports: DataFrame, state: Column) -> DataFrame:
     """Reports up to the first that ends a job; later ones don't count."""
-    ended = F.max(F.when(state.isin("done", "error", "cancelled"), 1).otherwise(0)).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    ended = F.max(F.when(state.isin("done", "error", "cancelled"), 1).otherwise(0)).over(order().rowsBetween(Window.unboundedPreceding, -1))
     return reports.withColumns({"state": state, "_ended": F.coalesce(ended, F.lit(0))}).where("_ended = 0").drop("_ended")

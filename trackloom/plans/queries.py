@@ -487,7 +487,7 @@ def progress_changes(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH g AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY sequence), 0) AS us FROM jobs), r AS (SELECT job_id, sequence, sum(progress) OVER w AS u, sum(us) OVER w AS s FROM g WINDOW w AS (PARTITION BY job_id ORDER BY sequence ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT job_id, sequence, round(CASE WHEN s > 0 THEN u/s ELSE 0e0 END, 15) AS rate FROM r", job=True)
 def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = S.job_events(spark, d).withColumn("us", F.coalesce(us - F.lag(us).over(jobs.ORDER), F.lit(0)))
+    rows = S.job_events(spark, d).withColumn("us", F.coalesce(us - F.lag(us).over(jobs.order()), F.lit(0)))
     return jobs.rolling_rate(rows, F.col("progress"), F.col("us")).select("job_id", "sequence", F.round("rate", 15).alias("rate"))
 
 
