@@ -26,4 +26,11 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact.OP1_SQL, "op2_chat_format": chat.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op10_url_filter": urls.OP10_SQL}
+    return {
+        "op1_exact_dedup": exact.OP1_SQL,
+        "op2_chat_format": chat.OP2_SQL,
+        "op3_decontaminate": contam.OP3_SQL,
+        "op4_line_dedup": lines.OP4_SQL,
+        "op5_suffix_dedup": substrings.OP5_SQL,
+        "op10_url_filter": urls.OP10_SQL,
+    }

@@ -25,9 +25,10 @@ def texts(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*keys, F.coalesce(df[text], F.lit("")).alias("text"))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows of an Arrow batch sent to a Python worker; long texts would make the default of 10,000 too large."""
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 8 << 20) -> None:
+    """Rows and bytes of an Arrow batch sent to a Python worker; long texts make the defaults too large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -452,3 +452,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all whole texts of ``documents`` that stand in strings of 200 bytes with another start anywhere."""
     finish = lambda kept, size, runs: (size, size - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
     return repeated(common.table(spark, sf_dir, "documents"), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish, keep_first=False)
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+k AS (SELECT doc_id, k, len(x) // 2 AS n, substr(x, 512 * k + 1, 912) AS y FROM (SELECT doc_id, x, unnest(range(0, (len(x) // 2 + 255) // 256)) AS k FROM d)),
+q AS (SELECT doc_id, 256 * k + j AS p, j, n, y FROM (SELECT *, unnest(range(0, 256)) AS j FROM k) WHERE 256 * k + j < n),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY md5(substr(y, 2 * j + 1, 400))) AS n FROM q WHERE p <= n - 200) WHERE n > 1),
+b AS (SELECT doc_id, p, substr(y, 2 * j + 1, 2) AS byte FROM q),
+c AS (SELECT b.doc_id, b.p, byte, max(r.p) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM b LEFT JOIN r ON b.doc_id = r.doc_id AND b.p = r.p),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM c),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
