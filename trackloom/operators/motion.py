@@ -38,6 +38,7 @@ class Filters:
         self.cov = np.stack([p + 2 * c + v + DRIFT, c + v, v + TURN], axis=1)
 
     def update(self, i: int, tlwh: np.ndarray) -> None:
+        """A measurement of one track."""
         p, c, v = self.cov[i]
         gain, turn = p / (p + MEASURED), c / (p + MEASURED)
         miss = to_xyah(tlwh) - self.mean[i, :4]

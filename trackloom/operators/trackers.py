@@ -159,8 +159,11 @@ def _associate(round_: Round, t: Tracks, rows: np.ndarray, f: Frame, cols: np.nd
     if not len(rows) or not len(cols):
         return []
     cost, ok = _cost(round_, t, rows, f, cols, s)
-    far = cost if round_.cost == "iou" else np.where(ok, cost, (getattr(s, round_.gate) or s.gate) + 10)
-    return [(int(rows[r]), int(cols[c])) for r, c in assign(far) if ok[r, c]]
+    if round_.cost != "iou":  # pairs out of reach all cost the same, so tracks and detections without any other drop out
+        near, found = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+        rows, cols, ok = rows[near], cols[found], ok[np.ix_(near, found)]
+        cost = np.where(ok, cost[np.ix_(near, found)], (getattr(s, round_.gate) or s.gate) + 10)
+    return [(int(rows[r]), int(cols[c])) for r, c in assign(cost) if ok[r, c]]
 
 
 def _see(t: Tracks, i: int, tlwh: np.ndarray, score: float, frame: int, s: Settings, momentum: bool) -> None:
@@ -216,14 +219,14 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
         if f.embedding:
             _remember(t.extra[i], f.embedding[d], float(f.score[d]))
     spare = [int(d) for d in np.flatnonzero(~f.sure & free_det)]
-    for i in np.flatnonzero(free_track):
-        if kind == "hybrid_sot" and visual and _shown(t, i, frame, f, spare, s, visual):
-            continue
-        n["seen"][i] = frame
-        if n["misses"][i] > s.max_misses:
-            n["hidden"][i] = 1
-        else:
-            t.smooth[i] = s.smooth * to_tlwh(t.filters.mean[i, :4]) + (1 - s.smooth) * t.smooth[i]
+    missed = np.flatnonzero(free_track)
+    if kind == "hybrid_sot" and visual:
+        missed = np.array([i for i in missed if not _shown(t, i, frame, f, spare, s, visual)], np.int64)
+    n["seen"][missed] = frame
+    gone = n["misses"][missed] > s.max_misses
+    n["hidden"][missed[gone]] = 1
+    alive = missed[~gone]
+    t.smooth[alive] = s.smooth * to_tlwh(t.filters.mean[alive, :4]) + (1 - s.smooth) * t.smooth[alive]
     for d in np.flatnonzero(pools[rules.start] & free_det):
         t.add(f.tlwh[d], float(f.score[d]), frame)
         if f.embedding:
@@ -231,12 +234,13 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
     if s.camera:
         t.centres = f.tlwh[:, :2] + f.tlwh[:, 2:] / 2
     n = t.number
-    out = []
-    x, y = (np.clip(t.smooth[:, k] - t.smooth[:, k + 2] * s.dilate / 2, 0, 1) for k in (0, 1))
-    w, h = (np.clip(t.smooth[:, k] * (1 + s.dilate), 0, 1 - c) for k, c in ((2, x), (3, y)))
-    for i in np.flatnonzero(n["hidden"] == 0):
-        state = "confirmed" if n["hits"][i] >= s.confirm_after else "tentative"
-        out.append((int(n["id"][i]), float(x[i]), float(y[i]), float(w[i]), float(h[i]), state, int(n["age"][i]), int(n["seen"][i]), float(n["score"][i])))
+    shown = np.flatnonzero(n["hidden"] == 0)
+    box = t.smooth[shown]
+    x, y = (np.clip(box[:, k] - box[:, k + 2] * s.dilate / 2, 0, 1) for k in (0, 1))
+    w, h = (np.clip(box[:, k] * (1 + s.dilate), 0, 1 - c) for k, c in ((2, x), (3, y)))
+    state = np.where(n["hits"][shown] >= s.confirm_after, "confirmed", "tentative")
+    whole = [n[c][shown].astype(np.int64).tolist() for c in ("id", "age", "seen")]
+    out = list(zip(whole[0], *(v.tolist() for v in (x, y, w, h, state)), *whole[1:], n["score"][shown].tolist(), strict=True))
     live = np.ones(len(n["id"]), bool)
     if rules.prune and s.min_rate > 0:
         live &= n["hits"] / np.maximum(n["age"], 1) >= s.min_rate
