@@ -143,7 +143,19 @@ def redact(frames: DataFrame, regions: DataFrame, kind: str = "gaussian", streng
 
 
 def mask_area(boxes: DataFrame, grid: int) -> DataFrame:
-    """Cells of a ``grid`` x ``grid`` raster that the boxes of a frame cover together."""
-    cell = lambda a, b: F.sequence(F.floor(F.col(a) * grid).cast("int"), F.greatest(F.floor(F.col(a) * grid), F.ceil(F.col(b) * grid) - 1).cast("int"))
-    rows = boxes.select("video_id", "frame", F.explode(cell("x1", "x2")).alias("cx"), "y1", "y2").select("video_id", "frame", "cx", F.explode(cell("y1", "y2")).alias("cy"))
-    return rows.distinct().groupBy("video_id", "frame").agg(F.count("*").alias("cells"))
+    """Cells of a ``grid`` x ``grid`` raster that the boxes of a frame cover together.
+
+    A box gives one row for each raster row that it touches, its columns as bits; bits of a raster row are joined
+    before the shuffle, so no row for a cell exists.
+    """
+    first = lambda c: F.floor(F.col(c) * grid).cast("int")
+    last = lambda a, b: F.greatest(first(a), (F.ceil(F.col(b) * grid) - 1).cast("int"))
+    rows = boxes.select("video_id", "frame", first("x1").alias("a"), last("x1", "x2").alias("b"), F.explode(F.sequence(first("y1"), last("y1", "y2"))).alias("cy"))
+    words = {}
+    for k in range(-(-(grid + 1) // 62)):  # a box that begins on the far edge touches one column more
+        low, high = F.greatest(F.col("a"), F.lit(62 * k)) - 62 * k, F.least(F.col("b"), F.lit(62 * k + 61)) - 62 * k
+        bits = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), high - low + 1) - 1, low)
+        words[f"w{k}"] = F.when(high >= low, bits).otherwise(F.lit(0))
+    joined = rows.groupBy("video_id", "frame", "cy").agg(*(F.bit_or(v).alias(k) for k, v in words.items()))
+    cells = sum((F.bit_count(k) for k in words), F.lit(0))
+    return joined.groupBy("video_id", "frame").agg(F.sum(cells).cast("long").alias("cells"))
