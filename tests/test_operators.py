@@ -122,3 +122,11 @@ def test_layers(tmp_path):
     for bad in ({"blur.strength": 0}, {"what": {}}, {"blur.what": 1}, {"tracking.kind": "none"}, {"detection.confidence": 2}):
         with pytest.raises(ValueError):
             config.resolve(bad)
+
+
+def test_sql_functions(spark):
+    from trackloom.functions import sql
+
+    assert len(sql.register(spark)) == 4
+    r = spark.sql("SELECT box_iou(0, 0, 20, 20, 5, 5, 20, 20) AS i, box_iou(0, 0, 0, 0, 0, 0, 0, 0) AS z, box_distance(0, 0, 2, 2, 3, 4, 5, 6) AS d, score_pool(0.3, 0.1, 0.5) AS p, clipped_sigmoid(0) AS s").first()
+    assert tuple(r) == (225 / 400, 0, 5, "low", 0.5)

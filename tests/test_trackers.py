@@ -237,6 +237,38 @@ def test_polygons_composite(spark):
     assert 28 <= r.redacted_pixels <= 36
 
 
+def test_masks_decode_fuse_and_redact(spark):
+    planes = np.zeros((2, 8, 8), np.float16)
+    planes[0], planes[1] = -9, -9
+    planes[0, :, :4], planes[1, :4, :] = 9, 9
+    proto = spark.createDataFrame([(1, 0, 0, 16, 16, 2, 8, 8, bytearray(planes.tobytes()))] * 2, "video_id long, frame long, tile_id int, width int, height int, planes int, plane_height int, plane_width int, data binary")
+    rows = [(1, 0, 0, 0, 0.0, 0.0, 16.0, 16.0, [1.0, 0.0]), (1, 0, 0, 1, 0.0, 0.0, 16.0, 16.0, [0.0, 1.0]), (1, 0, 0, 2, 4.0, 4.0, 4.0, 9.0, [1.0, 0.0]), (1, 1, 0, 3, 0.0, 0.0, 9.0, 9.0, [1.0, 0.0])]
+    boxes = spark.createDataFrame(rows, "video_id long, frame long, tile_id int, det_id long, x1 double, y1 double, x2 double, y2 double, coefficients array<double>")
+    masks = pixels.decode_masks(boxes, proto, 16)
+    got = {r.det_id: pixels.unpack(r.bits, r.w, r.h) for r in masks.collect()}
+    assert set(got) == {0, 1} and got[0][:, :8].all() and not got[0][:, 8:].any() and got[1].sum() == 128
+    owners = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 0)], "video_id long, frame long, det_id long, kept_id long")
+    fused = pixels.fuse_masks(masks, owners)
+    r = fused.first()
+    assert fused.count() == 1 and pixels.unpack(r.bits, r.w, r.h).sum() == 192
+    frame = spark.createDataFrame([(1, 0, 16, 16, bytearray(b"\x07" * 768))], "video_id long, frame long, width int, height int, pixels binary")
+    out = pixels.redact(frame, fused, "blackout", 1).first()
+    assert out.redacted_pixels == 192 and out.pixels.count(0) == 192 * 3
+
+
+def test_mask_area(spark):
+    rng = random.Random(1)
+    pick = lambda: sorted(rng.choice([0.0, 1.0, rng.random()]) for _ in range(2))
+    rows = [(1, f, *(x for pair in zip(pick(), pick(), strict=True) for x in pair)) for f in range(20) for _ in range(3)]
+    df = spark.createDataFrame(rows, "video_id long, frame long, x1 double, y1 double, x2 double, y2 double")
+    for grid in (7, 62, 130):
+        span = lambda a, b: range(math.floor(a * grid), max(math.floor(a * grid), math.ceil(b * grid) - 1) + 1)  # noqa: E731, B023
+        want = {f: set() for f in range(20)}
+        for _, f, x1, y1, x2, y2 in rows:
+            want[f] |= {(i, j) for i in span(x1, x2) for j in span(y1, y2)}
+        assert {r.frame: r.cells for r in pixels.mask_area(df, grid).collect()} == {f: len(c) for f, c in want.items()}
+
+
 # ---- sources
 
 

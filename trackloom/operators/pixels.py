@@ -85,14 +85,27 @@ def prototype_mask(coefficients: np.ndarray, prototypes: np.ndarray, box: tuple[
     return bilinear(part, y2 - y1, x2 - x1) > 0.5
 
 
-REGION = "array<struct<x:int,y:int,w:int,h:int,points:array<struct<x:double,y:double>>>>"
+def pack(mask: np.ndarray) -> bytes:
+    return np.packbits(mask).tobytes()
+
+
+def unpack(bits: bytes, width: int, height: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=width * height).reshape(height, width).astype(bool)
+
+
+REGION = "array<struct<x:int,y:int,w:int,h:int,points:array<struct<x:double,y:double>>,bits:binary>>"
 
 
 def region_mask(regions: list | None, width: int, height: int) -> np.ndarray:
-    """Union of rectangles and, where a region has points, of polygons."""
+    """Union of rectangles, of polygons where a region has points, and of bitmaps where it has bits."""
     mask = np.zeros((height, width), bool)
     for r in regions or ():
-        if r.get("points"):
+        if r.get("bits") is not None:
+            own = unpack(r["bits"], r["w"], r["h"])
+            x, y = max(r["x"], 0), max(r["y"], 0)
+            part = mask[y : max(r["y"] + r["h"], 0), x : max(r["x"] + r["w"], 0)]
+            part |= own[y - r["y"] :, x - r["x"] :][: part.shape[0], : part.shape[1]]
+        elif r.get("points"):
             mask |= polygon([(p["x"], p["y"]) for p in r["points"]], width, height)
         else:
             x, y = max(r["x"], 0), max(r["y"], 0)
@@ -103,15 +116,17 @@ def region_mask(regions: list | None, width: int, height: int) -> np.ndarray:
 def redact(frames: DataFrame, regions: DataFrame, kind: str = "gaussian", strength: int = 15, composite: bool = False) -> DataFrame:
     """Frames ``video_id, frame, width, height, pixels`` (RGB rows) with their regions obscured.
 
-    ``regions`` has ``video_id, frame, x, y, w, h`` in pixels, and ``points`` for a polygon (or null). Each
-    rectangle is obscured by itself; with ``composite``, and for polygons, the whole frame is obscured once and
+    ``regions`` has ``video_id, frame, x, y, w, h`` in pixels, and ``points`` for a polygon or ``bits`` for a mask
+    (or null). Each rectangle is obscured by itself; with ``composite``, and for other shapes, the whole frame is obscured once and
     shows where any region lies. Regions are cut at the frame; frames without any, or with null or short pixels, go
     through untouched. Only the regions move to their frames' keys; a frame is one row's work.
     """
     kind = check(kind, strength)
     if "points" not in regions.columns:
         regions = regions.withColumn("points", F.lit(None).cast("array<struct<x:double,y:double>>"))
-    row = F.struct(*(F.col(c).cast("int").alias(c) for c in "xywh"), "points")
+    if "bits" not in regions.columns:
+        regions = regions.withColumn("bits", F.lit(None).cast("binary"))
+    row = F.struct(*(F.col(c).cast("int").alias(c) for c in "xywh"), "points", "bits")
     grouped = regions.groupBy("video_id", "frame").agg(F.collect_list(row).cast(REGION).alias("_regions"))
     columns = frames.columns
     source = frames.join(grouped, ["video_id", "frame"], "left").select(*columns, "_regions")
@@ -122,7 +137,7 @@ def redact(frames: DataFrame, regions: DataFrame, kind: str = "gaussian", streng
             return pixels, 0
         image = np.frombuffer(pixels, np.uint8).reshape(height, width, 3).copy()
         mask = region_mask(found, width, height)
-        if composite or any(r["points"] for r in found):
+        if composite or any(r["points"] or r["bits"] is not None for r in found):
             image[mask] = obscure(image, kind, strength)[mask]
         else:
             for r in found:
@@ -142,6 +157,57 @@ def redact(frames: DataFrame, regions: DataFrame, kind: str = "gaussian", streng
     return source.mapInArrow(run, schema)
 
 
+MASK = "video_id long, frame long, det_id long, x int, y int, w int, h int, bits binary"
+
+
+def decode_masks(boxes: DataFrame, prototypes: DataFrame, input_size: int) -> DataFrame:
+    """Masks of boxes ``video_id, frame, tile_id, det_id, x1, y1, x2, y2`` (pixels) with ``coefficients``.
+
+    ``prototypes`` has ``video_id, frame, tile_id, width, height`` of the image and ``data``, float16 planes of
+    ``planes, plane_height, plane_width``. Of repeated keys the first in order of data counts. Boxes meet the planes
+    of their tile as groups, so the planes travel once however many boxes they have; boxes without planes or pixels
+    give no mask.
+    """
+    import pyarrow as pa
+
+    keys = ["video_id", "frame", "tile_id"]
+    names = [f.split(" ")[0] for f in MASK.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
+
+    def decode(left, right):
+        out = []
+        if left.num_rows and right.num_rows:
+            p = min(right.to_pylist(), key=lambda r: r["data"])
+            planes = np.frombuffer(p["data"], np.float16).astype(float).reshape(p["planes"], p["plane_height"], p["plane_width"])
+            for r in left.to_pylist():
+                x1, y1, x2, y2 = (int(min(max(r[c], 0), p["width" if c[0] == "x" else "height"])) for c in ("x1", "y1", "x2", "y2"))
+                if x2 > x1 and y2 > y1:
+                    mask = prototype_mask(np.array(r["coefficients"], float), planes, (x1, y1, x2, y2), (p["height"], p["width"]), input_size)
+                    out.append((r["video_id"], r["frame"], r["det_id"], x1, y1, x2 - x1, y2 - y1, pack(mask)))
+        cols = list(zip(*out, strict=True)) or [()] * len(names)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return boxes.groupBy(*keys).cogroup(prototypes.groupBy(*keys)).applyInArrow(decode, MASK)
+
+
+def fuse_masks(masks: DataFrame, contributions: DataFrame) -> DataFrame:
+    """Masks of kept boxes: each joined with those of the boxes that it suppressed (``nms.contributions``)."""
+    import pyarrow as pa
+
+    def join(rows):
+        found = rows.to_pylist()
+        x, y = min(r["x"] for r in found), min(r["y"] for r in found)
+        w, h = max(r["x"] + r["w"] for r in found) - x, max(r["y"] + r["h"] for r in found) - y
+        mask = region_mask([r | {"x": r["x"] - x, "y": r["y"] - y} for r in found], w, h)
+        r = found[0]
+        row = {"video_id": r["video_id"], "frame": r["frame"], "det_id": r["kept_id"], "x": x, "y": y, "w": w, "h": h, "bits": pack(mask)}
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
+        return pa.table([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
+
+    owned = masks.join(contributions.select("video_id", "frame", "det_id", "kept_id"), ["video_id", "frame", "det_id"])
+    return owned.groupBy("video_id", "frame", "kept_id").applyInArrow(join, MASK)
+
+
 def mask_area(boxes: DataFrame, grid: int) -> DataFrame:
     """Cells of a ``grid`` x ``grid`` raster that the boxes of a frame cover together.
 
