@@ -55,6 +55,8 @@ def test_known_values(spark):
 def test_text_rules(spark):
     r = one(spark, a=X.class_list(F.lit(" Plate,, HEAD ")), b=X.default_blur(F.array(F.lit("Plate"), F.lit("dog")), F.array(F.lit("head"), F.lit("PLATE"))), c=X.blurred_name(F.lit("a.b/c.mp4")), d=X.input_size(F.lit("1281_x")), e=X.input_size(F.lit("best")), f=X.safe_name(F.lit("../a b.onnx")), g=X.cache_key(F.create_map(F.lit("z"), F.lit("1"), F.lit("a"), F.lit("2"))), h=X.progress_message(F.lit("p"), F.lit(2.0), F.lit(7400)))
     assert r.a == ["plate", "head"] and r.b == ["plate"] and r.c == "a.b/c_blurred.mp4" and (r.d, r.e) == (1312, 640)
+    names = one(spark, n=X.class_names(F.create_map(*(F.lit(x) for x in ("10", "c", "2", "b", "1", "a")))), t=X.class_names(F.create_map(*(F.lit(x) for x in ("10", "c", "x", "b", "1", "a")))))
+    assert tuple(names) == (["a", "b", "c"], ["a", "c", "b"])
     assert (r.f, r.g, r.h) == (".._a_b.onnx", "a=2|z=1", "p | 2.00fps | eta 1:01:40")
 
 
@@ -93,6 +95,16 @@ def test_suppression_is_greedy(spark, frames):
     assert nms.suppress(got).count() == got.count()
 
 
+def test_parts_of_one_object_merge(spark):
+    found = [(1, 1, 0, 0.0, 0.0, 0.4, 0.4, 0.9, 0, True), (1, 1, 1, 0.2, 0.0, 0.6, 0.4, 0.8, 0, False), (1, 1, 2, 0.35, 0.0, 0.75, 0.4, 0.7, 0, False), (1, 1, 3, 0.0, 0.0, 0.4, 0.4, 0.6, 1, True), (1, 2, 4, 0.9, 0.9, 0.9, 0.9, 0.5, 0, None)]
+    df = spark.createDataFrame(found, "video_id long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double, object_class long, is_confident boolean")
+    got = {r.det_id: (r.x1, r.x2, r.confidence, r.n_parts, r.object_class) for r in nms.combine(df).collect()}
+    assert got == {0: (0.0, 0.75, 0.9, 3, 0), 3: (0.0, 0.4, 0.6, 1, 1), 4: (0.9, 0.9, 0.5, 1, 0)}
+    got = nms.combine(df.where("frame = 1"), keys=("video_id", "frame")).collect()
+    assert [(r.det_id, r.n_parts, r.object_class) for r in got] == [(0, 4, 0)]
+    assert nms.combine(df.where("frame = 9")).count() == 0
+
+
 def test_filters_reach_the_scan_below_suppression(spark):
     plan = nms.suppress(plans.S.detections(spark, DATA)).where("video_id = 3")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_suppkey,3)" in plan

@@ -11,6 +11,15 @@ def class_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda s: F.lower(F.trim(s))), lambda s: s != "")
 
 
+def class_names(by_id: Column) -> Column:
+    """Names of a map from id to name: in order of number where every id is one, otherwise in order of text."""
+    entries = F.map_entries(by_id)
+    numbers = F.forall(entries, lambda e: e["key"].rlike("^[0-9]+$"))
+    key = lambda e: F.when(numbers, e["key"].cast("long")).otherwise(F.lit(0))
+    ranked = F.array_sort(F.transform(entries, lambda e: F.struct(key(e).alias("n"), e["key"].alias("k"), e["value"].alias("v"))))
+    return F.transform(ranked, lambda e: e["v"])
+
+
 def default_blur(wanted: Column, known: Column) -> Column:
     """Wanted classes that are known, compared in lower case."""
     low = lambda a: F.transform(a, lambda s: F.lower(F.trim(s)))

@@ -40,6 +40,38 @@ def contributions(df: DataFrame, threshold: float = 0.3, keys: tuple[str, ...] =
     return ranked.select(*keys, F.inline(member))
 
 
+def _shared(a: Box, b: Box) -> Column:
+    """Area of the intersection."""
+    zero = F.lit(0.0)
+    return F.greatest(zero, F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)) * F.greatest(zero, F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1))
+
+
+def combine(df: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = (*FRAME, "object_class")) -> DataFrame:
+    """Non-maximum merging: parts of one object that tiles cut become one box.
+
+    By falling confidence (equal ones by falling det_id) a box joins the best box before it that it shares at least
+    ``threshold`` of the smaller area with, and so that one's group; otherwise it starts a group. A group is the
+    smallest box around its parts under the ``det_id`` of its best, with the best confidence and ``n_parts``. Without
+    ``object_class`` among the keys classes merge, and the best part names the class. No rows give no rows.
+    """
+    rest = [c for c in ("object_class",) if c not in keys]
+    row = F.struct((-F.col("confidence")).alias("ns"), (-F.col("det_id")).alias("nd"), "det_id", "x1", "y1", "x2", "y2", "confidence", "is_confident", *rest, F.col("det_id").alias("kept_id"))
+    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("boxes"))
+
+    def meets(k: Column, b: Column) -> Column:
+        a, c = Box.of(k), Box.of(b)
+        inner = _shared(a, c)
+        return (inner > 0) & (inner >= threshold * F.least(a.area(), c.area()))
+
+    owner = lambda acc, b: F.coalesce(F.get(F.filter(acc, lambda k: meets(k, b)), F.lit(0))["kept_id"], b["det_id"])
+    step = lambda acc, b: F.array_append(acc, b.withField("kept_id", owner(acc, b)))
+    parts = grouped.select(*keys, F.inline(F.aggregate("boxes", F.filter("boxes", lambda b: F.lit(False)), step)))
+    best = lambda c: F.min_by(c, F.struct("ns", "nd")).alias(c)
+    hull = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")]
+    made = parts.groupBy(*keys, "kept_id").agg(*hull, F.max("confidence").alias("confidence"), F.bool_or("is_confident").alias("is_confident"), F.count("*").alias("n_parts"), *(best(c) for c in rest))
+    return made.withColumnRenamed("kept_id", "det_id")
+
+
 def overlapping_pairs(df: DataFrame, threshold: float, keys: tuple[str, ...] = (*FRAME, "object_class")) -> DataFrame:
     """Pairs of boxes of one group that overlap by more than the threshold, each pair once, with their IoU."""
     a, b = df.alias("a"), df.alias("b")

@@ -238,17 +238,36 @@ def nms_groups(spark: SparkSession, d: str) -> DataFrame:
     return nms.contributions(S.detections(spark, d))
 
 
+_IOS = "({w}*{h} >= 0.5e0 * least((k.x2-k.x1)*(k.y2-k.y1), (r.x2-r.x1)*(r.y2-r.y1)) AND {w}*{h} > 0)".format(w="greatest(0e0, least(k.x2, r.x2) - greatest(k.x1, r.x1))", h="greatest(0e0, least(k.y2, r.y2) - greatest(k.y1, r.y1))")
+_PART = "{{'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2, 'det_id': r.det_id, 'kept_id': {}}}"
+
+
+@query(
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame, object_class ORDER BY confidence DESC, det_id DESC) AS rk FROM det),
+    s AS (SELECT video_id, frame, object_class, 1 AS step, [{_PART.format('r.det_id')}] AS seen FROM r WHERE rk = 1
+      UNION ALL SELECT s.video_id, s.frame, s.object_class, s.step + 1, list_append(s.seen, {_PART.format(f"coalesce(list_filter(s.seen, lambda k: {_IOS})[1].kept_id, r.det_id)")})
+      FROM s JOIN r ON r.video_id=s.video_id AND r.frame=s.frame AND r.object_class=s.object_class AND r.rk = s.step + 1),
+    f AS (SELECT video_id, frame, object_class, arg_max(seen, step) AS seen FROM s GROUP BY ALL), m AS (SELECT video_id, frame, object_class, unnest(seen) AS m FROM f)
+    SELECT d.video_id, d.frame, d.object_class, m.m.kept_id AS det_id, min(d.x1) AS x1, min(d.y1) AS y1, max(d.x2) AS x2, max(d.y2) AS y2, max(d.confidence) AS confidence, bool_or(d.is_confident) AS is_confident, count(*) AS n_parts
+    FROM m JOIN det d ON d.video_id=m.video_id AND d.frame=m.frame AND d.object_class=m.object_class AND d.det_id = m.m.det_id GROUP BY ALL""",
+    det=True,
+    recursive=True,
+)
+def nmm_classwise(spark: SparkSession, d: str) -> DataFrame:
+    return nms.combine(S.detections(spark, d), 0.5)
+
+
 # ---- tiles and the whole post-process
 
 
 @query(
-    """WITH i AS (SELECT p_partkey, 320+(p_partkey*37)%1600 AS w, 240+(p_partkey*53)%900 AS h FROM part WHERE p_partkey <= 2000),
+    """WITH i AS (SELECT p_partkey, 320+(p_partkey*37)%1600 AS w, 240+(p_partkey*53)%900 AS h FROM part),
     x AS (SELECT p_partkey, w, h, list_distinct([greatest(least(k*512, w-640), 0) for k in range(CAST(greatest(ceil((w-640)/512e0),0) AS BIGINT)+1)]) AS xs, list_distinct([greatest(least(k*512, h-640), 0) for k in range(CAST(greatest(ceil((h-640)/512e0),0) AS BIGINT)+1)]) AS ys FROM i),
     e AS (SELECT p_partkey, w, h, unnest(xs) AS ox, ys FROM x), g AS (SELECT p_partkey, w, h, ox, unnest(ys) AS oy FROM e)
     SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY oy, ox) - 1 AS INT) AS tile_id, CAST(ox AS BIGINT) AS offset_x, CAST(oy AS BIGINT) AS offset_y, CAST(least(640, w) AS BIGINT) AS tile_width, CAST(least(640, h) AS BIGINT) AS tile_height FROM g"""
 )
 def tile_grid(spark: SparkSession, d: str) -> DataFrame:
-    images = _images(spark, d).where("p_partkey <= 2000").withColumnsRenamed({"w": "frame_width", "h": "frame_height"})
+    images = _images(spark, d).withColumnsRenamed({"w": "frame_width", "h": "frame_height"})
     cut = detect.tiles(images)
     return cut.select("p_partkey", "tile_id", *(F.col(c).cast("long").alias(c) for c in ("offset_x", "offset_y", "tile_width", "tile_height")))
 
@@ -328,12 +347,12 @@ def detection_rate(spark: SparkSession, d: str) -> DataFrame:
     return tr.detection_rate(_slots(spark, d), 0.8)
 
 
-_SPARSE = f"{_SLOTS}, sp AS (SELECT * FROM trk WHERE frame % 3 <> 1)"
+_SPARSE = f"{_SLOTS}, sp AS (SELECT * FROM trk WHERE score >= 0.7e0)"
 
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    """Slot tracks that miss every third frame."""
-    return _slots(spark, d).where("frame % 3 <> 1")
+    """Slot tracks whose weak observations, of a score below 0.7, are gaps."""
+    return _slots(spark, d).where("score >= 0.7e0")
 
 
 @query(
@@ -406,13 +425,13 @@ def bidir_reverse(spark: SparkSession, d: str) -> DataFrame:
     return tr.reverse(S.detections(spark, d)).select("video_id", "frame", "det_id")
 
 
-_TWO = f"{_SLOTS}, b AS (SELECT video_id, frame, track_id + 1000 AS track_id, least(1e0, x1 + 0.01e0) AS x1, y1, x2, y2, score * 0.9e0 AS score, 'tentative' AS state FROM trk WHERE frame % 5 <> 2), p AS (SELECT f.video_id, f.track_id AS forward_id, b.track_id AS backward_id, count(*) AS n_frames, round(avg({_iou('f', 'b')}), 9) AS mean_iou FROM trk f JOIN b ON f.video_id=b.video_id AND f.frame=b.frame GROUP BY ALL)"
+_TWO = f"{_SLOTS}, b AS (SELECT video_id, frame, track_id + 1000 AS track_id, least(1e0, x1 + 0.01e0) AS x1, y1, x2, y2, score * 0.9e0 AS score, 'tentative' AS state FROM trk WHERE score >= 0.6e0), p AS (SELECT f.video_id, f.track_id AS forward_id, b.track_id AS backward_id, count(*) AS n_frames, round(avg({_iou('f', 'b')}), 9) AS mean_iou FROM trk f JOIN b ON f.video_id=b.video_id AND f.frame=b.frame GROUP BY ALL)"
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Slot tracks, and the same under other ids, moved and thinned."""
+    """Slot tracks, and what a second pass that sees no weak observations would give: other ids, moved boxes."""
     f = _slots(spark, d)
-    b = f.where("frame % 5 <> 2").withColumns({"track_id": F.col("track_id") + 1000, "x1": F.least(F.lit(1.0), F.col("x1") + 0.01), "score": F.col("score") * 0.9, "state": F.lit("tentative")})
+    b = f.where("score >= 0.6e0").withColumns({"track_id": F.col("track_id") + 1000, "x1": F.least(F.lit(1.0), F.col("x1") + 0.01), "score": F.col("score") * 0.9, "state": F.lit("tentative")})
     return f, b
 
 
@@ -592,8 +611,9 @@ for _name, _kind in (("sort_track", "sort"), ("byte_track", "bytetrack"), ("bot_
 @query()
 def fused_track(spark: SparkSession, d: str) -> DataFrame:
     """Detections carry a vector each, which joins the cost."""
-    e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
-    dets = nms.renumber(nms.suppress(S.detections(spark, d))).withColumn("_v", (F.col("video_id") * 7 + F.col("object_class") * 3) % 500)
+    e = S.table(spark, d, "embeddings").select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("_v"), "embedding")
+    place = (F.col("video_id") * 7 + F.col("object_class") * 3) % max(e.count(), 1)
+    dets = nms.renumber(nms.suppress(S.detections(spark, d))).withColumn("_v", place)
     return trackers.track(dets.join(e, "_v", "left").drop("_v"), "fused")
 
 
