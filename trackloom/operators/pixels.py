@@ -119,7 +119,8 @@ def redact(frames: DataFrame, regions: DataFrame, kind: str = "gaussian", streng
     ``regions`` has ``video_id, frame, x, y, w, h`` in pixels, and ``points`` for a polygon or ``bits`` for a mask
     (or null). Each rectangle is obscured by itself; with ``composite``, and for other shapes, the whole frame is obscured once and
     shows where any region lies. Regions are cut at the frame; frames without any, or with null or short pixels, go
-    through untouched. Only the regions move to their frames' keys; a frame is one row's work.
+    through untouched. Regions gather by frame before the join, which moves pixels only where the regions are too
+    large to broadcast. A frame is one row's work.
     """
     kind = check(kind, strength)
     if "points" not in regions.columns:

@@ -14,11 +14,11 @@ TRACK = (VIDEO, "track_id")
 def slots(dets: DataFrame, share: float = 0.0) -> DataFrame:
     """The simplest tracker: the n-th confident box of a frame keeps its id while each present frame has an n-th one.
 
-    Frames count when they hold any detection. Ids number a video's runs by start, then slot.
+    Frames count when they hold any detection. Ids number a video's runs by start, then slot. Every window is dealt
+    by video or by more than that, so one shuffle serves them all.
     """
-    frames = dets.select(VIDEO, "frame").distinct().withColumn("ford", F.row_number().over(Window.partitionBy(VIDEO).orderBy("frame")))
-    sure = dets.where("is_confident").withColumn("slot", F.row_number().over(Window.partitionBy(VIDEO, "frame").orderBy("det_id")) - 1)
-    placed = sure.join(frames, [VIDEO, "frame"])
+    ranked = dets.withColumn("ford", F.dense_rank().over(Window.partitionBy(VIDEO).orderBy("frame")))
+    placed = ranked.where("is_confident").withColumn("slot", F.row_number().over(Window.partitionBy(VIDEO, "frame").orderBy("det_id")) - 1)
     run = F.col("ford") - F.row_number().over(Window.partitionBy(VIDEO, "slot").orderBy("ford"))
     started = placed.withColumn("run", run).withColumn("start", F.min("ford").over(Window.partitionBy(VIDEO, "slot", "run")))
     named = started.withColumn("track_id", F.dense_rank().over(Window.partitionBy(VIDEO).orderBy("start", "slot")).cast("long"))
@@ -66,8 +66,8 @@ def centres(tracks: DataFrame) -> DataFrame:
     return tracks.select(*TRACK, "frame", box.cx.alias("center_x"), box.cy.alias("center_y"))
 
 
-def velocities(tracks: DataFrame, span: int = 5) -> DataFrame:
-    """Mean velocity over the first and the last ``span`` steps of each track with two observations or more.
+def velocities(tracks: DataFrame, span: int = 5, eligible: int = 2) -> DataFrame:
+    """Mean velocity over the first and the last ``span`` steps of each track with ``eligible`` observations or more.
 
     Only the ends of a track travel: the rows within ``span`` of either end.
     """
@@ -79,9 +79,10 @@ def velocities(tracks: DataFrame, span: int = 5) -> DataFrame:
         F.max(F.when(F.col("i") <= span + 1, point)).alias("head"),
         F.max(F.when(F.col("j") == 1, point)).alias("last"),
         F.min(F.when(F.col("j") <= span + 1, point)).alias("tail"),
+        F.max("i").alias("n_obs"),
     )
     speed = lambda a, b, c: (F.col(b)[c] - F.col(a)[c]) / (F.col(b)["frame"] - F.col(a)["frame"]).cast("double")
-    return pick.where("head.frame > first.frame").select(
+    return pick.where(f"head.frame > first.frame AND n_obs >= {eligible}").select(
         *TRACK, F.col("first.frame").alias("start_frame"), F.col("last.frame").alias("end_frame"),
         *(F.col(f"{end}.center_{a}").alias(f"{end}_{a}") for end in ("first", "last") for a in "xy"),
         *(speed("first", "head", f"center_{a}").alias(f"head_v{a}") for a in "xy"),
@@ -94,7 +95,7 @@ def link_candidates(tracks: DataFrame, max_gap: int = 30, gate: float = 0.4, eli
 
     A range join: ends and starts meet in bins as wide as the gap, so a bin meets its own and the next.
     """
-    ends = velocities(tracks).join(summaries(tracks, eligible).where("eligible").select(*TRACK), list(TRACK))
+    ends = velocities(tracks, eligible=eligible)
     a = ends.select(VIDEO, F.col("track_id").alias("prev_id"), "end_frame", "last_x", "last_y", "tail_vx", "tail_vy", F.explode(F.array(F.floor(F.col("end_frame") / max_gap), F.floor(F.col("end_frame") / max_gap) + 1)).alias("bin"))
     b = ends.select(VIDEO, F.col("track_id").alias("next_id"), "start_frame", "first_x", "first_y", "head_vx", "head_vy", F.floor(F.col("start_frame") / max_gap).alias("bin"))
     met = a.join(b, [VIDEO, "bin"]).withColumn("gap", F.col("start_frame") - F.col("end_frame")).where(f"gap BETWEEN 1 AND {max_gap}")
