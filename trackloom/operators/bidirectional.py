@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import tracks as tr
 from trackloom.operators.trackers import Settings, track
+from trackloom.sources.shared import keep
 
 
 def bidirectional(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None, overlap: float = 0.3, weight: float = 0.6) -> DataFrame:
-    """Merged tracks of both passes. Tentative rows don't count. See :func:`tracks.merge` for what holds where both have one."""
-    forward = track(dets, kind, settings_).where("state <> 'tentative'")
+    """Merged tracks of both passes. Tentative rows don't count. See :func:`tracks.merge` for what holds where both have one.
+
+    Each pass runs once: pairing and merging read its rows from a table in the shared folder.
+    """
+    forward = keep(track(dets, kind, settings_).where("state <> 'tentative'"))
     last = dets.groupBy("video_id").agg(F.max("frame").alias("_last"))
     turned = track(tr.reverse(dets), kind, settings_).where("state <> 'tentative'")
-    backward = turned.join(last, "video_id").withColumn("frame", F.col("_last") - F.col("frame")).drop("_last")
+    backward = keep(turned.join(last, "video_id").withColumn("frame", F.col("_last") - F.col("frame")).drop("_last"))
     chosen = tr.choose_pairs(tr.pair_by_overlap(forward, backward), overlap)
     return tr.merge(forward, backward, chosen, weight)

@@ -15,6 +15,7 @@ from trackloom.operators import bidirectional, detect, jobs, link, nms, pixels,
 from trackloom.operators import tracks as tr
 from trackloom.schema import CLASSES
 from trackloom.sources import tables as S
+from trackloom.sources.shared import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -430,7 +431,7 @@ _TWO = f"{_SLOTS}, b AS (SELECT video_id, frame, track_id + 1000 AS track_id, le
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Slot tracks, and what a second pass that sees no weak observations would give: other ids, moved boxes."""
-    f = _slots(spark, d)
+    f = keep(_slots(spark, d))
     b = f.where("score >= 0.6e0").withColumns({"track_id": F.col("track_id") + 1000, "x1": F.least(F.lit(1.0), F.col("x1") + 0.01), "score": F.col("score") * 0.9, "state": F.lit("tentative")})
     return f, b
 
@@ -625,7 +626,7 @@ def bidir_track(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def linked_track(spark: SparkSession, d: str) -> DataFrame:
     """Sort tracks under the ids that linking gives, with the gaps filled."""
-    found = _tracked("sort")(spark, d)
+    found = keep(_tracked("sort")(spark, d))  # pairs, their ends and the renaming all read it
     named = tr.remap(found, link.link(found)).select("video_id", "track_id", "frame", "x1", "y1", "x2", "y2", "score", "state", "should_blur")
     once = named.groupBy("video_id", "track_id", "frame").agg(F.max_by(F.struct("x1", "y1", "x2", "y2", "score", "state", "should_blur"), "score").alias("b")).select("video_id", "track_id", "frame", "b.*")
     return once.unionByName(tr.fill_gaps(once))
