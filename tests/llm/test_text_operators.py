@@ -343,6 +343,8 @@ def test_components_of_a_chain(spark, tmp_path):
 def test_simhash_edges(spark, none):
     assert simhash.near_duplicates(none).count() == 0
     assert {r.component_id for r in simhash.near_duplicates(spark.createDataFrame([(None, ""), (4, None), (4, None)], "doc_id long, text string")).collect()} == {4}
+    twice = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (2, "quite another text"), (2, None)], "doc_id long, text string")
+    assert sorted(map(str, (r.text for r in simhash.drop_near_duplicates(twice).collect()))) == ["None", "a b c", "quite another text"]
 
 
 # ---- 7 and 8 tokens

@@ -29,7 +29,9 @@ def fingerprint(text: str, size: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long. Null texts are empty; rows stay where they are."""
+    """``doc_id``, ``text_key`` (XXH64 of the text, which tells rows with one doc_id apart) and ``fp``, the fingerprint
+    as a signed long. Null texts are empty; rows stay where they are.
+    """
 
     def start() -> Callable:
         def one(text: str) -> int:
@@ -38,7 +40,8 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
 
         return lambda batch: [[one(t) for t in batch.column("text").to_pylist()]]
 
-    return common.map_columns(common.texts(docs, "doc_id"), "fp long", start, ["doc_id"])
+    keyed = common.texts(docs, "doc_id").withColumn("text_key", F.xxhash64("text"))
+    return common.map_columns(keyed, "fp long", start, ["doc_id", "text_key"])
 
 
 def trie_pairs(keys: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +167,8 @@ def components(pairs: DataFrame, path: str, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id reachable by links.
+    """One row for each row of ``docs``: ``doc_id``, ``text_key`` and ``fp`` (see :func:`fingerprints`), and
+    ``component_id``, the smallest doc_id reachable by links.
 
     A-Z is lower-cased; words are runs of anything but ASCII white space; shingles are ``size`` words, repeats
     included, or all words of a shorter text. Texts without words have fingerprint 0 and link like any other. Null
@@ -181,13 +185,18 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, seed: int =
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = common.keep(rooted.join(least, "root").select("fp", "component_id"), f"{path}/named")
     common.small_batches(docs.sparkSession)
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component."""
-    gone = near_duplicates(docs, size, budget).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component.
+
+    A row goes by its doc_id and its text, so another row under the same doc_id stays if its own component says so.
+    """
+    found = near_duplicates(docs, size, budget).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
