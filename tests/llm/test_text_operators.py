@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from pyspark import cloudpickle
 
-from trackloom.llm import catalog, chat, contam, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
+from trackloom.llm import catalog, chat, contam, copies, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import a test module
 DATA = "/root/testdata/sf0.001"
@@ -347,6 +347,47 @@ def test_simhash_edges(spark, none):
     assert sorted(map(str, (r.text for r in simhash.drop_near_duplicates(twice).collect()))) == ["None", "a b c", "quite another text"]
 
 
+def five_word_sets(corpus):
+    for i, t in corpus:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        yield i, frozenset(" ".join(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([" ".join(w)] if w else [])
+
+
+def test_near_copies(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(copies, "LEADS", 3)  # several rounds
+    sets = dict(five_word_sets(corpus))
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in sets:
+        for b in range(a + 1, len(sets)):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {i: find(i) for i in sets}
+    assert {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()} == want
+    kept = copies.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_near_dedup_stage_takes_edited_copies(spark):
+    """One word of sixty changed: similarity 51/61, most such pairs are further apart than 2 bits."""
+    import corpus_pipeline
+
+    words = [[f"w{d}x{i}" for i in range(60)] for d in range(20)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:30], "other", *w[31:]]) for w in words]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, given, DATA).collect()) == list(range(20))
+
+
+def test_near_copies_edges(spark, none):
+    assert copies.near_copies(none).count() == 0
+    odd = spark.createDataFrame([(None, ""), (4, None), (5, " \n"), (7, "a b"), (8, "A  b"), (9, "a b c")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in copies.near_copies(odd).collect()} == {(None, 4), (4, 4), (5, 4), (7, 7), (8, 7), (9, 9)}
+
+
 # ---- 7 and 8 tokens
 
 

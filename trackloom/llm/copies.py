@@ -1,0 +1,135 @@
+"""Near copies by exact similarity: MinHash bands propose pairs, the whole shingle sets decide, components group."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common, simhash
+
+#: A pair at similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99998 at 0.8.
+BANDS, ROWS = 28, 5
+_DRAW = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_MULTIPLY, _ADD = _DRAW[0] | np.uint64(1), _DRAW[1]
+#: Members of a mixed bucket that meet all others in one round.
+LEADS = 32
+
+
+def grams(text: str, size: int) -> np.ndarray:
+    """Sorted different hashes of the text's shingles of ``size`` words; none of a text without words."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(s, 42) for s in simhash.shingles(text, size)], np.uint64))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of least hashes."""
+    import xxhash
+
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(found), 512):
+        np.minimum(least, (found[i : i + 512, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _node(found: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64))
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id``, ``text_key``, ``node`` (a hash of the shingle set), ``size`` of the set and ``keys`` of its bands."""
+
+    def start() -> Callable:
+        def work(batch) -> list:
+            made = [grams(t, size) for t in batch.column("text").to_pylist()]
+            return [[_node(g) for g in made], [len(g) for g in made], [bands(g) for g in made]]
+
+        return work
+
+    keyed = common.texts(docs, "doc_id").withColumn("text_key", F.xxhash64("text"))
+    return common.map_columns(keyed, "node long, size long, keys array<long>", start, ["doc_id", "text_key"])
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs ``a, b`` whose sets (``node, grams``) reach the similarity, a fraction, exactly."""
+    up, down = similarity
+    left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "grams_a", "grams_b")
+    common.small_batches(sets.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("grams_a", "grams_b"))
+            ok = []
+            for p, q in zip(x, y, strict=True):
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(shared * down >= up * (len(p) + len(q) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id``, ``text_key`` and ``component_id``, the smallest doc_id reachable
+    over pairs of texts whose sets of ``size``-word shingles have the Jaccard similarity or more.
+
+    Words and shingles are those of :func:`simhash.near_duplicates`, as are the rules for nulls. Equal sets are one
+    node. Nodes with a band in common form a bucket. Every node of a bucket meets its smallest; then, in buckets whose
+    nodes aren't all in one component yet, all pairs from different components meet, ``LEADS`` nodes with all others
+    a round, so no bucket is cut and none makes all its pairs at once. Only whole sets decide.
+    """
+    spark = docs.sparkSession
+    up, down = similarity
+    path = common.shared_dir(spark)
+    rows = common.keep(sketches(docs, size), f"{path}/rows")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    dealt = common.keep(nodes.select("node", "text_key", "size", F.explode("keys").alias("key")), f"{path}/dealt")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n"), F.min_by("size", "node").alias("lead_size")).where("n > 1")
+    members = common.keep(dealt.join(shared, "key"), f"{path}/members")
+
+    held = members.select("node", F.col("text_key").alias("_key")).distinct()
+    keyed = common.texts(docs, text="text").withColumn("_text_key", F.xxhash64("text")).join(held, F.col("_text_key") == F.col("_key")).select("node", "text")
+    # rows of one text_key have one text
+    sets = common.map_columns(keyed.groupBy("node").agg(F.first("text").alias("text")), "grams binary", lambda: lambda b: [[grams(t, size).tobytes() for t in b.column("text").to_pylist()]], ["node"])
+    sets = common.keep(sets, f"{path}/sets")
+
+    def alike(a: str, b: str):
+        return F.least(a, b) * down >= F.greatest(a, b) * up
+
+    pairs = members.where((F.col("lead") != F.col("node")) & alike("size", "lead_size")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    edges, turn = common.keep(confirm(pairs, sets, similarity), f"{path}/edges-star"), 0
+    while True:
+        common.small_batches(spark, 16_384)  # rows of numbers
+        roots = common.keep(simhash.components(edges, f"{path}/rounds-{turn}"), f"{path}/roots-{turn}")
+        placed = members.join(roots, "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
+        slots = F.ceil(F.col("n") / LEADS)
+        mixed = placed.where(slots > turn).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        unsettled = common.keep(placed.join(mixed, "key"), f"{path}/unsettled-{turn}")
+        if unsettled.isEmpty():
+            break
+        leads = unsettled.where(F.pmod(F.xxhash64("node", "key"), slots) == turn).select("key", F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("size").alias("_size"))
+        met = unsettled.join(leads, "key").where((F.col("root") != F.col("_root")) & alike("size", "_size"))
+        pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+        edges = edges.union(common.keep(confirm(pairs, sets, similarity), f"{path}/edges-{turn}"))
+        turn += 1
+
+    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = common.keep(rooted.join(least, "root").select("node", "component_id"), f"{path}/named")
+    return rows.join(named, "node").select("doc_id", "text_key", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component."""
+    return simhash.drop_others(docs, near_copies(docs, size, similarity))

@@ -14,18 +14,25 @@ from . import common
 _SPACE = bytes(32 if b in b"\t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def shingles(text: str, size: int) -> list[bytes]:
+    """Runs of ``size`` words, repeats included, or all words of a shorter text. No words: none."""
+    found = text.encode().translate(_SPACE).split(b" ")
+    found = [w for w in found if w]
+    if len(found) < size:
+        return [b" ".join(found)] if found else []
+    return [b" ".join(x) for x in zip(*(found[i:] for i in range(size)), strict=False)]
+
+
 def fingerprint(text: str, size: int, seed: int) -> int:
     """64 bits; each is 1 if more than half of the hashes of the text's shingles have it. No words: 0."""
     import xxhash
 
-    found = text.encode().translate(_SPACE).split(b" ")
-    found = [w for w in found if w]
+    found = shingles(text, size)
     if not found:
         return 0
-    shingles = [b" ".join(x) for x in zip(*(found[i:] for i in range(size)), strict=False)] if len(found) >= size else [b" ".join(found)]
     h = xxhash.xxh64_intdigest
-    bits = np.unpackbits(np.array([h(s, seed) for s in shingles], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles)).tobytes(), "big")
+    bits = np.unpackbits(np.array([h(s, seed) for s in found], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(found)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
@@ -188,15 +195,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, seed: int =
     return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
+def drop_others(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their ``component_id`` in ``found``, rows by doc_id and ``text_key``."""
+    other = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = other.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component.
 
     A row goes by its doc_id and its text, so another row under the same doc_id stays if its own component says so.
     """
-    found = near_duplicates(docs, size, budget).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
+    return drop_others(docs, near_duplicates(docs, size, budget))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
