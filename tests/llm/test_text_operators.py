@@ -388,6 +388,16 @@ def test_near_copies_edges(spark, none):
     assert {(r.doc_id, r.component_id) for r in copies.near_copies(odd).collect()} == {(None, 4), (4, 4), (5, 4), (7, 7), (8, 7), (9, 9)}
 
 
+def test_one_row_of_each_group_stays(spark):
+    twice = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "a b c", "y"), (2, "other words here", "x"), (None, "no id", "x"), (None, "no id", "x"), (None, "NO  id", "x")]
+    given = spark.createDataFrame(twice, "doc_id long, text string, source string")
+    assert sorted(r.text for r in exact.drop_exact_duplicates(given).collect()) == ["NO  id", "a b c", "no id", "other words here"]
+    for drop in (simhash.drop_near_duplicates, copies.drop_near_copies):
+        kept = drop(given)
+        assert kept.columns == given.columns
+        assert sorted(" ".join(r.text.lower().split()) for r in kept.collect()) == ["a b c", "no id", "other words here"]
+
+
 # ---- 7 and 8 tokens
 
 

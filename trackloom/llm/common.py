@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -55,6 +55,20 @@ def forget(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def one_of_each(docs: DataFrame, key: Column, again: DataFrame) -> DataFrame:
+    """``docs`` with one row for each ``_again_id, _again_key`` of ``again`` that several rows have as doc_id and key.
+
+    The row with the least hash stays; each task leaves one row a key before rows move. Other rows are untouched.
+    """
+    again = keep(again, f"{shared_dir(docs.sparkSession)}/again")
+    if again.isEmpty():
+        return docs
+    on = docs["doc_id"].eqNullSafe(again["_again_id"]) & (key == again["_again_key"])
+    many, order = docs.join(again, on, "left_semi"), [c for c, kind in docs.dtypes if "map<" not in kind]
+    place = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.xxhash64(*order)))
+    return docs.join(again, on, "left_anti").union(many.withColumn("_place", place).where("_place = 1").drop("_place"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -82,7 +82,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``text_key`` and ``component_id``, the smallest doc_id reachable
-    over pairs of texts whose sets of ``size``-word shingles have the Jaccard similarity or more.
+    over pairs of texts whose sets of ``size``-word shingles have the Jaccard similarity or more, and ``root``, the
+    same for the component's rows only.
 
     Words and shingles are those of :func:`simhash.near_duplicates`, as are the rules for nulls. Equal sets are one
     node. Nodes with a band in common form a bucket. Every node of a bucket meets its smallest; then, in buckets whose
@@ -126,10 +127,10 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4
 
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.keep(rooted.join(least, "root").select("node", "component_id"), f"{path}/named")
-    return rows.join(named, "node").select("doc_id", "text_key", "component_id")
+    named = common.keep(rooted.join(least, "root").select("node", "component_id", "root"), f"{path}/named")
+    return rows.join(named, "node").select("doc_id", "text_key", "component_id", "root")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component."""
+    """One row of each component, with all its columns: one whose doc_id is the smallest."""
     return simhash.drop_others(docs, near_copies(docs, size, similarity))

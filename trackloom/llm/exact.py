@@ -75,10 +75,15 @@ def exact_duplicates(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`exact_duplicates` keeps."""
-    gone = exact_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    """The rows of ``docs``, with all their columns, that :func:`exact_duplicates` keeps; one of those that share both
+    doc_id and text.
+    """
+    found = exact_duplicates(docs)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
     sha = F.sha2(common.ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    again = found.where("kept AND group_size > 1").groupBy(F.col("doc_id").alias("_again_id"), F.col("text_sha256").alias("_again_key")).count().where("count > 1").drop("count")
+    return common.one_of_each(left, F.sha2(common.ascii_lower(F.coalesce(left["text"], F.lit(""))), 256), again)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

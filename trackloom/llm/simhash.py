@@ -175,7 +175,7 @@ def components(pairs: DataFrame, path: str, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``text_key`` and ``fp`` (see :func:`fingerprints`), and
-    ``component_id``, the smallest doc_id reachable by links.
+    ``component_id``, the smallest doc_id reachable by links, and ``root``, the same for the component's rows only.
 
     A-Z is lower-cased; words are runs of anything but ASCII white space; shingles are ``size`` words, repeats
     included, or all words of a shorter text. Texts without words have fingerprint 0 and link like any other. Null
@@ -190,21 +190,28 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, seed: int =
     roots = components(links(prints, budget), f"{path}/rounds")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.keep(rooted.join(least, "root").select("fp", "component_id"), f"{path}/named")
+    named = common.keep(rooted.join(least, "root").select("fp", "component_id", "root"), f"{path}/named")
     common.small_batches(docs.sparkSession)
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def drop_others(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their ``component_id`` in ``found``, rows by doc_id and ``text_key``."""
-    other = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = other.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    """One row of ``docs`` for each component in ``found``: of the rows with its ``component_id`` as doc_id, rows going
+    by doc_id and ``text_key``, one with the least key. Mostly there is only one.
+    """
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    several = found.where(own).groupBy("root").agg(F.min("text_key").alias("_least_key"), F.count("*").alias("_rows")).where("_rows > 1")
+    shared = found.where(own).join(several, "root")
+    gone = found.where(~own).select("doc_id", "text_key").union(shared.where("text_key <> _least_key").select("doc_id", "text_key"))
+    gone = gone.toDF("_gone_id", "_gone_key").distinct()
+    again = shared.where("text_key = _least_key").groupBy(F.col("doc_id").alias("_again_id"), F.col("text_key").alias("_again_key")).count().where("count > 1").drop("count")
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
+    return common.one_of_each(left, F.xxhash64(F.coalesce(left["text"], F.lit(""))), again)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component.
+    """One row of each component, with all its columns: one whose doc_id is the smallest.
 
     A row goes by its doc_id and its text, so another row under the same doc_id stays if its own component says so.
     """
