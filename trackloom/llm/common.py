@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes table that lower-cases A-Z and leaves every other byte alone.
@@ -25,22 +27,40 @@ def texts(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return df.select(*keys, F.coalesce(df[text], F.lit("")).alias("text"))
 
 
-def small_batches(spark: SparkSession, rows: int = 256, size: int = 8 << 20) -> None:
-    """Rows and bytes of an Arrow batch sent to a Python worker; long texts make the defaults too large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows of an Arrow batch of texts, its bytes, and rows of a batch of numbers.
+TEXTS, SIZE, NUMBERS = 256, 8 << 20, 16_384
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of an Arrow batch, where they are higher, to what suits long texts.
 
-    Only a session without that setting (a local one, as in tests) gets a temporary folder.
+    A lazy plan reads them when it runs, so they stay lowered; no operator raises them but for steps of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="trackloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/work-{uuid.uuid4().hex}"
+    for name, most in ((_ROWS, TEXTS), (_BYTES, SIZE)):
+        if not 0 < _number(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
+def _number(setting: str) -> int:
+    """A setting in bytes or rows as a number; one that isn't plain counts as too large."""
+    return int(setting) if setting.lstrip("-").isdigit() else 1 << 62
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Other rows in an Arrow batch for the jobs that run inside, and those of before afterwards."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share."""
+    return shared.folder(spark, "work")
 
 
 def keep(df: DataFrame, path: str) -> DataFrame:
@@ -51,8 +71,7 @@ def keep(df: DataFrame, path: str) -> DataFrame:
 
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a work folder that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    shared.forget(spark, path)
 
 
 def one_of_each(docs: DataFrame, key: Column, again: DataFrame) -> DataFrame:

@@ -108,8 +108,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     common.small_batches(docs.sparkSession)
     lines = common.keep(line_keys(identified(docs), min_chars), f"{path}/lines")
     ranged = lines.repartitionByRange("k1", "k2", "doc").sortWithinPartitions("k1", "k2", F.desc("doc"), "text_key", "pos")
-    common.small_batches(docs.sparkSession, 16_384)  # rows of numbers
-    told = common.keep(ranged.mapInArrow(stream_runs(min_docs), "open boolean, k1 long, k2 long, doc long, text_key long, n_lines int, pos int"), f"{path}/told")
+    with common.batches(docs.sparkSession, common.NUMBERS):
+        told = common.keep(ranged.mapInArrow(stream_runs(min_docs), "open boolean, k1 long, k2 long, doc long, text_key long, n_lines int, pos int"), f"{path}/told")
+    common.forget(docs.sparkSession, f"{path}/lines")
     edge = told.where("open")
     # two keys for each range at most, so they can be broadcast
     counted = edge.select("k1", "k2", "doc").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc").alias("top")).where(F.col("n") >= min_docs)

@@ -1,9 +1,10 @@
-"""SimHash near-duplicates: fingerprints of word shingles, a binary trie joined with itself, and components."""
+"""SimHash near-duplicates: fingerprints of word shingles, binary tries joined with themselves, and components."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from . import common
 
 _SPACE = bytes(32 if b in b"\t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_U = np.uint64
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -23,16 +25,23 @@ def shingles(text: str, size: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*(found[i:] for i in range(size)), strict=False)]
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit hashes the bits that more than half of its rows have; zeros without rows."""
+    n, width = hashes.shape
+    total = np.zeros(64 * width, np.int64)
+    for i in range(0, n, 255):  # counts of 255 rows fit in a byte, so eight are added at once
+        bits = np.unpackbits(np.ascontiguousarray(hashes[i : i + 255], ">u8").view(np.uint8), axis=1)
+        total += bits.view(np.uint64).sum(axis=0).view(np.uint8)
+    return np.packbits(2 * total > n).view(">u8").astype(np.uint64)
+
+
 def fingerprint(text: str, size: int, seed: int) -> int:
     """64 bits; each is 1 if more than half of the hashes of the text's shingles have it. No words: 0."""
     import xxhash
 
-    found = shingles(text, size)
-    if not found:
-        return 0
     h = xxhash.xxh64_intdigest
-    bits = np.unpackbits(np.array([h(s, seed) for s in found], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(found)).tobytes(), "big")
+    found = np.array([h(s, seed) for s in shingles(text, size)], np.uint64)
+    return int(majority(found[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
@@ -51,40 +60,80 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     return common.map_columns(keyed, "fp long", start, ["doc_id", "text_key"])
 
 
-def trie_pairs(keys: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of one group whose keys differ in 1 to ``budget`` bits.
+# ---- tries joined with themselves
+
+
+def _split(keys: np.ndarray, low: np.ndarray, high: np.ndarray, bit: int) -> np.ndarray:
+    """Where the keys with a one in ``bit`` begin in each range [low, high) of sorted keys that agree in higher bits."""
+    low, high = low.copy(), high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        mid = (low[live] + high[live]) >> 1
+        one = (keys[mid] >> _U(bit) & _U(1)).astype(bool)
+        high[live[one]] = mid[one]
+        low[live[~one]] = mid[~one] + 1
+        live = live[low[live] < high[live]]
+    return low
+
 
-    ``keys`` (uint64) are sorted and different within each group; each group is a binary trie whose nodes are
-    ranges of the sorted keys. Pairs of nodes go down together, a level of all tries at a time: a node with itself
-    gives its children with themselves and with each other, a pair its four combinations. Different branches cost
-    a bit, and a pair over the budget is pruned with everything below it.
+def trie_pairs(keys: np.ndarray, group: np.ndarray, budget: int, few: int = 32, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one group whose keys differ in ``budget`` bits or fewer, a block at a time.
+
+    ``keys`` (uint64) are sorted within each group; each group is a binary trie whose nodes are ranges of the sorted
+    keys. Pairs of nodes go down together: a node with itself gives its children with themselves and with each
+    other, a pair its four combinations. Different branches cost a bit, and a pair over the budget is pruned with
+    everything below it. Keys of node pairs with ``few`` combinations are compared at once. ``at_once`` node pairs
+    go down together, so memory doesn't grow with a group.
     """
     begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-    end = np.r_[begin[1:], len(group)]
-    many = end - begin > 1
-    a0, a1 = begin[many], end[many]
-    b0, b1, cost = a0.copy(), a1.copy(), np.zeros(len(a0), np.int8)
-    for bit in range(63, -1, -1):
+    end = np.r_[begin[1:], len(group)].astype(np.int64)
+    stack = [(63, begin, end, begin, end, np.zeros(len(begin), np.int64))]
+    while stack:
+        bit, *node = stack.pop()
+        if len(node[0]) > at_once:
+            stack += [(bit, *(x[at_once:] for x in node)), (bit, *(x[:at_once] for x in node))]
+            continue
+        a0, a1, b0, b1, cost = node
+        size = (a1 - a0) * (b1 - b0)
+        done = (size <= few) | (bit < 0)
+        if done.any():
+            yield from _compared(keys, [x[done] for x in node[:4]], size[done], budget)
+            a0, a1, b0, b1, cost = (x[~done] for x in node)
         if not len(a0):
-            break
-        ones = np.r_[0, np.cumsum((keys >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)]
-        # in a node all higher bits are equal, so its ones are its last keys
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-        same = a0 == b0
+            continue
+        am, bm = _split(keys, a0, a1, bit), _split(keys, b0, b1, bit)
+        other = a0 != b0
         parts = [
             (a0, am, b0, bm, cost, None),
             (am, a1, bm, b1, cost, None),
             (a0, am, bm, b1, cost + 1, None),
-            (am, a1, b0, bm, cost + 1, ~same),  # of a node with itself this is the pair above again
+            (am, a1, b0, bm, cost + 1, other),  # of a node with itself this is the pair above again
         ]
-        nodes = []
+        children = []
         for p0, p1, q0, q1, c, only in parts:
             alive = (p1 > p0) & (q1 > q0) & (c <= budget) & ~((p0 == q0) & (p1 - p0 < 2))
             if only is not None:
                 alive &= only
-            nodes.append([x[alive] for x in (p0, p1, q0, q1, c)])
-        a0, a1, b0, b1, cost = (np.concatenate(x) for x in zip(*nodes, strict=True))
-    return np.minimum(a0, b0), np.maximum(a0, b0)
+            children.append([x[alive] for x in (p0, p1, q0, q1, c)])
+        stack.append((bit - 1, *(np.concatenate(x) for x in zip(*children, strict=True))))
+
+
+def _compared(keys: np.ndarray, node: list[np.ndarray], size: np.ndarray, budget: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of keys of node pairs that are within the budget; ``most`` combinations or one node pair at a time."""
+    if len(size) > 1 and size.sum() > most:
+        half = len(size) // 2
+        yield from _compared(keys, [x[:half] for x in node], size[:half], budget, most)
+        yield from _compared(keys, [x[half:] for x in node], size[half:], budget, most)
+        return
+    a0, _, b0, b1 = node
+    pair = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+    wide = (b1 - b0)[pair]
+    i, j = a0[pair] + at // wide, b0[pair] + at % wide
+    ok = i < j
+    i, j = i[ok], j[ok]
+    ok = np.bitwise_count(keys[i] ^ keys[j]) <= budget
+    yield i[ok], j[ok]
 
 
 def _block(fp: Column, i: int, blocks: int) -> Column:
@@ -92,12 +141,20 @@ def _block(fp: Column, i: int, blocks: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND((1 << (high - low)) - 1)
 
 
+def _pair_batch(a: np.ndarray, b: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def links(prints: DataFrame, budget: int = 2) -> DataFrame:
     """Pairs ``a < b`` of different fingerprints (``fp`` of the input) that differ in ``budget`` bits or fewer.
 
     The bits form ``budget + 2`` blocks. Two fingerprints within the budget agree in two blocks at least, so each
     goes, once for every pair of blocks, to the owner of those bits; there all tries of an owner are joined with
-    themselves. A link found under several pairs of blocks counts under the first. No fingerprints give no links.
+    themselves. A link found under several pairs of blocks counts under the first. An owner holds the different
+    fingerprints with the same bits in two blocks, 24 bytes each; node pairs and links come in blocks of bounded
+    size. No fingerprints give no links.
     """
     blocks = budget + 2
     pairs = list(combinations(range(blocks), 2))
@@ -108,52 +165,49 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
     edges = [(64 * i // blocks, 64 * (i + 1) // blocks) for i in range(blocks)]
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         masks = np.array([sum(((1 << (e - s)) - 1) << s for s, e in (edges[i], edges[j])) for i, j in pairs], np.uint64)
 
-        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+        def found(rows: list[np.ndarray]) -> Iterator:
             fp, n, key = rows[0].view(np.uint64), rows[1], rows[2]
             order = np.lexsort((fp, n, key))
             fp, n, key = fp[order], n[order], key[order]
             group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (n[1:] != n[:-1])])
-            i, j = trie_pairs(fp, group, budget)
-            differ = fp[i] ^ fp[j]
-            # the blocks must agree (a key is a hash of them), and no earlier pair of blocks may
-            ok = (differ & masks[n[i]]) == 0
-            for k, mask in enumerate(masks):
-                ok &= (n[i] <= k) | ((differ & mask) != 0)
-            a, b = fp[i][ok].view(np.int64), fp[j][ok].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for i, j in trie_pairs(fp, group, budget):
+                differ = fp[i] ^ fp[j]
+                # the blocks must agree (a key is a hash of them), and no earlier pair of blocks may
+                ok = (differ & masks[n[i]]) == 0
+                for k, mask in enumerate(masks):
+                    ok &= (n[i] <= k) | ((differ & mask) != 0)
+                yield _pair_batch(fp[i][ok].view(np.int64), fp[j][ok].view(np.int64))
 
         held, size = [], 0
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in ("fp", "n", "key")]
             held.append(rows)
             size += batch.num_rows
-            if size >= 1 << 18:  # whole keys are done, the last one waits
+            if size >= 1 << 18 and rows[2][0] != rows[2][-1]:  # whole keys are done, the last one waits
                 rows = [np.concatenate(x) for x in zip(*held, strict=True)]
                 cut = int(np.searchsorted(rows[2], rows[2][-1]))
-                if cut:
-                    yield found([r[:cut] for r in rows])
+                yield from found([r[:cut] for r in rows])
                 held = [[r[cut:] for r in rows]]
                 size = len(held[0][0])
         if size:
-            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from found([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def components(pairs: DataFrame, path: str, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, path: str) -> DataFrame:
     """``node, root`` (the smallest node reachable) of every node of the pairs ``a, b``.
 
     Alternates two steps until nothing changes: every node's larger neighbours join its smallest one, then its
-    smaller ones do. Each round is written to the shared path; stars grow, so rounds are few. Only sums come back
-    to the driver.
+    smaller ones do. Each round is written to the shared path and the one before it deleted; stars grow, so rounds
+    are few. Only sums come back to the driver. A node with very many neighbours is a skewed key of an inner join
+    with one row a node, which Spark splits.
     """
     edges = common.keep(pairs.select("a", "b").where("a <> b"), f"{path}/0")
     last = None
-    for i in range(1, rounds + 1):
+    for i in count(1):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("n")).select("a", F.least("a", "n").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -162,13 +216,10 @@ def components(pairs: DataFrame, path: str, rounds: int = 60) -> DataFrame:
         moved = down.join(small, "a")
         edges = common.keep(moved.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{path}/{i}")
         sums = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if i > 1:
-            common.forget(pairs.sparkSession, f"{path}/{i - 1}")
+        common.forget(pairs.sparkSession, f"{path}/{i - 1}")
         if sums == last:
             break
         last = sums
-    else:
-        raise RuntimeError(f"no components after {rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select("b", "b")).distinct()
 
@@ -186,15 +237,262 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, seed: int =
     path = common.shared_dir(docs.sparkSession)
     prints = common.keep(fingerprints(docs, size, seed), f"{path}/prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    common.small_batches(docs.sparkSession, 16_384)  # rows of numbers
-    roots = components(links(prints, budget), f"{path}/rounds")
+    with common.batches(docs.sparkSession, common.NUMBERS):
+        roots = common.keep(components(links(prints, budget), f"{path}/rounds"), f"{path}/roots")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = common.keep(rooted.join(least, "root").select("fp", "component_id", "root"), f"{path}/named")
-    common.small_batches(docs.sparkSession)
+    common.forget(docs.sparkSession, f"{path}/rounds")
+    common.forget(docs.sparkSession, f"{path}/roots")
     return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
+# ---- near copies at a similarity
+
+
+#: Bits that choose a trie's owner, and the least share of pairs at the similarity that must meet in some trie.
+PREFIX, FOUND = 16, 0.995
+#: Rows of one owner's trie that are compared with each other; of more, all meet the first ``LEADS`` of their part.
+TOGETHER, LEADS = 256, 4
+
+
+def turned(similarity: float) -> float:
+    """The share of fingerprint bits in which two equally large shingle sets of a Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tries(similarity: float, prefix: int = PREFIX, found: float = FOUND) -> tuple[int, int]:
+    """Fingerprints a text needs, and the error budget of each trie, so that pairs at the similarity meet.
+
+    A fingerprint of 64 bits is put in ``64 // prefix`` tries, turned by ``prefix`` bits each time; the first
+    ``prefix`` bits must agree, and of the others at most the budget may differ. The budget lets through 49 of 50
+    pairs that agree in the first bits; the number of tries makes up for those that don't.
+    """
+    p, rest = turned(similarity), 64 - prefix
+    share, budget = (1 - p) ** rest, 0
+    while share < 0.98:
+        budget += 1
+        share += math.comb(rest, budget) * p**budget * (1 - p) ** (rest - budget)
+    needed = math.log(1 - found) / math.log1p(-share * (1 - p) ** prefix)
+    return math.ceil(needed / (64 // prefix)), budget
+
+
+def grams(text: str, size: int) -> np.ndarray:
+    """Sorted different hashes of the text's shingles of ``size`` words; none of a text without words."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(s, 42) for s in shingles(text, size)], np.uint64))
+
+
+def wide_fingerprint(found: np.ndarray, words: int) -> np.ndarray:
+    """``words`` fingerprints of 64 bits of a set of hashes, each from hashes of its own made from these.
+
+    In a small set of an even size the least hash counts twice, or the greatest in every other fingerprint, so no
+    bit is tied: such sets would agree in many.
+    """
+    odd = np.random.default_rng(42).integers(0, 1 << 63, words, np.uint64) * _U(2) + _U(1)
+    x = found[:, None] * odd
+    if len(found) in range(2, 16, 2):
+        x = np.vstack([x, np.where(np.arange(words) % 2, x[-1], x[0])])
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    return majority(x)
+
+
+def sketches(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """``doc_id``, ``text_key``, ``node`` (a hash of the shingle set), ``size`` of the set and ``words``, its fingerprints."""
+
+    def start() -> Callable:
+        import xxhash
+
+        def work(batch) -> list:
+            made = [grams(t, size) for t in batch.column("text").to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in made], np.uint64).view(np.int64)
+            return [node, [len(g) for g in made], [wide_fingerprint(g, words).tobytes() for g in made]]
+
+        return work
+
+    keyed = common.texts(docs, "doc_id").withColumn("text_key", F.xxhash64("text"))
+    return common.map_columns(keyed, "node long, size long, words binary", start, ["doc_id", "text_key"])
+
+
+def deal(nodes: DataFrame, prefix: int) -> DataFrame:
+    """``key`` (trie and first bits), ``word`` (the turned fingerprint), ``node`` and ``size``, a row for each trie."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        turns = np.arange(64 // prefix, dtype=np.uint64) * _U(prefix)
+        for batch in batches:
+            n = batch.num_rows
+            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64).reshape(n, -1, 1)
+            word = (words << turns | words >> (_U(64) - turns) % _U(64)).reshape(n, -1)
+            key = np.arange(word.shape[1], dtype=np.uint64) << _U(prefix) | word >> _U(64 - prefix)
+            per = [np.repeat(batch.column(c).to_numpy(), word.shape[1]) for c in ("node", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64).ravel(), word.view(np.int64).ravel(), *per)], names=["key", "word", "node", "size"])
+
+    return nodes.select("node", "size", "words").mapInArrow(run, "key long, word long, node long, size long")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    return np.minimum(a, b) * similarity[1] >= np.maximum(a, b) * similarity[0]
+
+
+def join_tries(budget: int, similarity: tuple[int, int], together: int, leads: int) -> Callable:
+    """Walks rows sorted by ``key, node``: pairs ``a, b`` of nodes within the budget go out.
+
+    Tries of up to ``together`` rows are joined with themselves. Of a larger one, and of the first and the last of
+    a partition, which may go on elsewhere, each row meets the first ``leads`` rows only, and goes out as an open
+    row as well. A task holds no more of one trie than ``together`` rows and a batch.
+    """
+    names = ["key", "word", "node", "size"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(pairs: list[np.ndarray] | None, rows: list[np.ndarray] | None) -> pa.RecordBatch:
+            n = len((pairs or rows)[0])
+            empty = pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([*(map(pa.array, pairs) if pairs else [empty] * 2), *(map(pa.array, rows) if rows else [empty] * 4)], names=["a", "b", *names])
+
+        def near(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            a, b = rows[2][i], rows[2][j]
+            ok = (a != b) & _alike(rows[3][i], rows[3][j], similarity)
+            return out([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], None)
+
+        def opened(rows: list[np.ndarray], first: list[np.ndarray]) -> Iterator:
+            for k in range(len(first[0])):
+                both = [np.r_[r, f[k]] for r, f in zip(rows, first, strict=True)]
+                i = np.flatnonzero(np.bitwise_count(both[1][:-1] ^ both[1][-1]) <= budget)
+                yield near(both, i, np.full(len(i), len(both[0]) - 1))
+            yield out(None, rows)
+
+        def whole(rows: list[np.ndarray], edge: int | None) -> Iterator:
+            begin = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+            size = np.diff(np.r_[begin, len(rows[0])])
+            is_open = (size > together) | (rows[0][begin] == edge)
+            for at, n in zip(begin[is_open].tolist(), size[is_open].tolist(), strict=True):
+                own = [r[at : at + n] for r in rows]
+                yield from opened(own, [r[:leads] for r in own])
+            left = [r[~np.repeat(is_open, size)] for r in rows]
+            by = np.lexsort((left[1].view(np.uint64), left[0]))
+            left = [r[by] for r in left]
+            for i, j in trie_pairs(left[1].view(np.uint64), left[0], budget):
+                yield near(left, i, j)
+
+        held = [np.zeros(0, np.int64)] * 4
+        edge = large = first = None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in names]
+            if edge is None and len(rows[0]):
+                edge = rows[0][0]
+            if large is not None:  # more rows of a large trie
+                n = int(np.searchsorted(rows[0], large, "right"))
+                if n:
+                    yield from opened([r[:n] for r in rows], first)
+                rows = [r[n:] for r in rows]
+            if not len(rows[0]):
+                continue
+            large = None
+            held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from whole([r[:cut] for r in held], edge)
+                held = [r[cut:] for r in held]
+            if len(held[0]) > together:
+                large, first = held[0][0], [r[:leads] for r in held]
+                yield from opened(held, first)
+                held = [r[:0] for r in held]
+        if len(held[0]):
+            yield from opened(held, [r[:leads] for r in held])
+
+    return run
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: tuple[int, int], path: str) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose whole shingle sets reach the similarity, a fraction, exactly.
+
+    Only texts of nodes in pairs are read again, one for each node.
+    """
+    up, down = similarity
+    pairs = common.keep(pairs, f"{path}/pairs")
+    asked = pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("node")).select("node", "_id", "_key")
+    keyed = common.texts(docs, "doc_id").withColumn("_text_key", F.xxhash64("text"))
+    held = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))).groupBy("node").agg(F.first("text").alias("text"))
+    sets = common.map_columns(held, "grams binary", lambda: lambda b: [[grams(t, size).tobytes() for t in b.column("text").to_pylist()]], ["node"])
+    sets = common.keep(sets, f"{path}/sets")
+    left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "grams_a", "grams_b")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("grams_a", "grams_b"))
+            ok = []
+            for p, q in zip(x, y, strict=True):
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(shared * down >= up * (len(p) + len(q) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    found = common.keep(both.mapInArrow(run, "a long, b long"), f"{path}/found")
+    for part in ("pairs", "sets"):
+        common.forget(docs.sparkSession, f"{path}/{part}")
+    return found
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), prefix: int = PREFIX, found: float = FOUND, together: int = TOGETHER) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id``, ``text_key`` and ``component_id``, the smallest doc_id reachable
+    over pairs of texts whose sets of ``size``-word shingles have the Jaccard similarity or more, and ``root``, the
+    same for the component's rows only.
+
+    Words and shingles are those of :func:`near_duplicates`, as are the rules for nulls. Equal sets are one node.
+    Each node's fingerprints stand in tries (see :func:`tries`), and a trie is dealt out by its first ``prefix`` bits.
+    The tries' self-join proposes pairs, and whole sets decide, so nothing is linked by a fingerprint alone. Every two
+    nodes that meet in a trie are compared, unless they are in one component already: rows of a trie too large to
+    be joined in one task meet a few of it first; then those outside its most frequent component meet all its rows.
+    ``found`` of the pairs at just the similarity meet at least; more similar pairs are missed less. ``prefix``
+    should grow with the corpus: about four bits below the logarithm of its size, 16 at least.
+    """
+    spark = docs.sparkSession
+    path = common.shared_dir(spark)
+    words, budget = tries(similarity[0] / similarity[1], prefix, found)
+    rows = common.keep(sketches(docs, size, words), f"{path}/rows")
+    place = F.min(F.struct("doc_id", "text_key")).alias("place")
+    nodes = common.keep(rows.groupBy("node").agg(F.min("doc_id").alias("least"), place, F.first("size").alias("size"), F.first("words").alias("words")), f"{path}/nodes")
+    places = nodes.select("node", F.col("place.doc_id").alias("_id"), F.col("place.text_key").alias("_key"))
+    columns = ["key", "word", "node", "size"]
+    with common.batches(spark, common.NUMBERS):
+        dealt = common.keep(deal(nodes, prefix), f"{path}/dealt")
+        ordered = dealt.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+        met = common.keep(ordered.mapInArrow(join_tries(budget, similarity, together, LEADS), "a long, b long, key long, word long, node long, size long"), f"{path}/met")
+    common.forget(spark, f"{path}/dealt")
+    edges = confirm(met.where("a IS NOT NULL").select("a", "b").distinct(), docs, places, size, similarity, f"{path}/first")
+    roots = common.keep(components(edges, f"{path}/rounds"), f"{path}/roots")
+
+    placed = met.where("key IS NOT NULL").select(*columns).join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
+    placed = common.keep(placed, f"{path}/open")
+    most = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    apart = placed.join(most, "key").where("root <> most").select("key", *(F.col(c).alias(f"_{c}") for c in ("word", "node", "size", "root")))
+    up, down = similarity
+    close = (F.bit_count(F.col("word").bitwiseXOR(F.col("_word"))) <= budget) & (F.least("size", "_size") * down >= F.greatest("size", "_size") * up)
+    late = placed.join(apart, "key").where((F.col("root") != F.col("_root")) & close)
+    late = confirm(late.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct(), docs, places, size, similarity, f"{path}/late")
+    if not late.isEmpty():  # the components so far are stars
+        roots = common.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late), f"{path}/last"), f"{path}/roots-last")
+    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = common.keep(rooted.join(least, "root").select("node", "component_id", "root"), f"{path}/named")
+    for part in ("nodes", "met", "first", "rounds", "roots", "open", "late", "last", "roots-last"):
+        common.forget(spark, f"{path}/{part}")
+    return rows.join(named, "node").select("doc_id", "text_key", "component_id", "root")
+
+
+# ---- one row of each group
+
+
 def drop_others(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component in ``found``: of the rows with its ``component_id`` as doc_id, rows going
     by doc_id and ``text_key``, one with the least key. Mostly there is only one.
@@ -211,13 +509,18 @@ def drop_others(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFrame:
-    """One row of each component, with all its columns: one whose doc_id is the smallest.
+    """One row of each component of :func:`near_duplicates`, with all its columns: one whose doc_id is the smallest.
 
     A row goes by its doc_id and its text, so another row under the same doc_id stays if its own component says so.
     """
     return drop_others(docs, near_duplicates(docs, size, budget))
 
 
+def drop_near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row of each component of :func:`near_copies`, with all its columns: one whose doc_id is the smallest."""
+    return drop_others(docs, near_copies(docs, size, similarity))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all whole texts of ``documents`` and their components; one row per document."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
