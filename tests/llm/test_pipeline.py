@@ -1,7 +1,9 @@
 """The corpus pipeline: each stage against what its operator says of the stage's own input."""
 
 import corpus_pipeline
-from trackloom.llm import contam, exact, pieces, simhash, toxic
+from trackloom.llm import contam, exact, pieces, toxic
+
+from test_text_operators import near_components
 
 DATA = "/root/testdata/sf0.001"
 
@@ -21,7 +23,7 @@ def test_stages(spark, tmp_path):
         elif name == "exact_dedup":
             want = [r.doc_id for r in exact.exact_duplicates(docs).where("kept").collect()]
         elif name == "near_dedup":
-            want = [r.component_id for r in simhash.near_duplicates(docs).select("component_id").distinct().collect()]
+            want = set(near_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]).values())
         elif name == "decontamination":
             found = contam.find(docs, spark.read.parquet(f"{DATA}/benchmark.parquet"), ["doc_id"])
             want = [r.doc_id for r in found.where(f"NOT ({contam.contaminated()})").collect()]

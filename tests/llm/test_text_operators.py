@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from pyspark import cloudpickle
 
-from trackloom.llm import catalog, chat, contam, copies, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
+from trackloom.llm import catalog, chat, contam, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import a test module
 DATA = "/root/testdata/sf0.001"
@@ -324,13 +324,21 @@ def test_simhash(docs, corpus):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=30), st.integers(0, 3), st.randoms())
-@settings(max_examples=60, deadline=None)
-def test_trie_pairs(keys, budget, rng):
-    keys = sorted(keys | {k ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for k in keys})
-    i, j = simhash.trie_pairs(np.array(keys, np.uint64), np.zeros(len(keys), np.int64), budget)
-    want = [(a, b) for b in range(len(keys)) for a in range(b) if bin(keys[a] ^ keys[b]).count("1") <= budget]
-    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(want)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=30), st.integers(0, 3), st.randoms(), st.sampled_from([1, 32]), st.sampled_from([1, 5, 1 << 16]))
+@settings(max_examples=80, deadline=None)
+def test_trie_pairs(keys, budget, rng, few, at_once):
+    keys = sorted([*keys, *(k ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for k in keys)])
+    group = np.sort(np.array([rng.randrange(3) for _ in keys], np.int64))
+    got = [(a, b) for i, j in simhash.trie_pairs(np.array(keys, np.uint64), group, budget, few, at_once) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    want = [(a, b) for b in range(len(keys)) for a in range(b) if group[a] == group[b] and bin(keys[a] ^ keys[b]).count("1") <= budget]
+    assert sorted(got) == sorted(want)
+
+
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1), min_size=2, max_size=2), max_size=700))
+@settings(max_examples=20, deadline=None)
+def test_majority(rows):
+    got = simhash.majority(np.array(rows, np.uint64).reshape(-1, 2))
+    assert got.tolist() == [sum(1 << b for b in range(64) if 2 * sum(r[c] >> b & 1 for r in rows) > len(rows)) for c in (0, 1)]
 
 
 def test_components_of_a_chain(spark, tmp_path):
@@ -353,23 +361,44 @@ def five_word_sets(corpus):
         yield i, frozenset(" ".join(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([" ".join(w)] if w else [])
 
 
-def test_near_copies(spark, docs, corpus, monkeypatch):
-    monkeypatch.setattr(copies, "LEADS", 3)  # several rounds
+def near_components(corpus):
+    """The smallest doc_id reachable over pairs of five-word sets with Jaccard similarity 0.8 or more, by brute force."""
     sets = dict(five_word_sets(corpus))
     root = {i: i for i in sets}
 
     def find(i):
         return i if root[i] == i else find(root[i])
 
-    for a in sets:
-        for b in range(a + 1, len(sets)):
+    for n, a in enumerate(sets):
+        for b in list(sets)[n + 1 :]:
             if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    want = {i: find(i) for i in sets}
-    assert {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()} == want
-    kept = copies.drop_near_copies(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("together", [256, 3])
+def test_near_copies(docs, corpus, together):
+    want = near_components(corpus)
+    got = simhash.near_copies(docs, found=1 - 1e-9, together=together)  # as many tries as leave no pair out
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    if together == 256:
+        kept = simhash.drop_near_copies(docs)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_recall_of_the_tries():
+    """Pairs of sets at just the similarity meet in a trie as often as is promised, small sets too."""
+    rng = np.random.default_rng(5)
+    words, budget = simhash.tries(0.8)
+    for shared, own in ((8, 1), (40, 5), (400, 50)):
+        met, n = 0, 150
+        for _ in range(n):
+            h = rng.integers(0, 1 << 63, shared + 2 * own, np.uint64) * np.uint64(2)
+            pair = [simhash.wide_fingerprint(np.sort(x), words) for x in (h[: shared + own], np.r_[h[:shared], h[shared + own :]])]
+            differ = pair[0] ^ pair[1]
+            met += any(int(d) & (0xFFFF << 16 * t) == 0 and int(d).bit_count() <= budget for d in differ for t in range(4))
+        assert met >= 0.95 * n
 
 
 def test_near_dedup_stage_takes_edited_copies(spark):
@@ -383,16 +412,16 @@ def test_near_dedup_stage_takes_edited_copies(spark):
 
 
 def test_near_copies_edges(spark, none):
-    assert copies.near_copies(none).count() == 0
+    assert simhash.near_copies(none).count() == 0
     odd = spark.createDataFrame([(None, ""), (4, None), (5, " \n"), (7, "a b"), (8, "A  b"), (9, "a b c")], "doc_id long, text string")
-    assert {(r.doc_id, r.component_id) for r in copies.near_copies(odd).collect()} == {(None, 4), (4, 4), (5, 4), (7, 7), (8, 7), (9, 9)}
+    assert {(r.doc_id, r.component_id) for r in simhash.near_copies(odd).collect()} == {(None, 4), (4, 4), (5, 4), (7, 7), (8, 7), (9, 9)}
 
 
 def test_one_row_of_each_group_stays(spark):
     twice = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "a b c", "y"), (2, "other words here", "x"), (None, "no id", "x"), (None, "no id", "x"), (None, "NO  id", "x")]
     given = spark.createDataFrame(twice, "doc_id long, text string, source string")
     assert sorted(r.text for r in exact.drop_exact_duplicates(given).collect()) == ["NO  id", "a b c", "no id", "other words here"]
-    for drop in (simhash.drop_near_duplicates, copies.drop_near_copies):
+    for drop in (simhash.drop_near_duplicates, simhash.drop_near_copies):
         kept = drop(given)
         assert kept.columns == given.columns
         assert sorted(" ".join(r.text.lower().split()) for r in kept.collect()) == ["a b c", "no id", "other words here"]
