@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from trackloom.llm import catalog, chat, contam, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
 
@@ -93,17 +94,38 @@ def test_exact_ties_nulls_empty(spark, none):
     assert exact.drop_exact_duplicates(none).count() == 0
 
 
-@given(st.dictionaries(st.integers(0, 63), st.integers(1, 9), max_size=64), st.integers(1, 12))
+@pytest.mark.parametrize("few", [2, 1000])
+def test_exact_collisions(spark, corpus, few, tmp_path):
+    """Three hashes for all texts: long chains, told apart by bytes, whether their rows combine first or not."""
+    weak = lambda text: F.pmod(F.length(text), F.lit(3)).cast("long") - 1
+    df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    groups = {}
+    for i, t in corpus:
+        groups.setdefault(low(t), []).append(i)
+    got = rows(exact.exact_duplicates(df, capacity=1, few=few, hashed=weak))
+    for i, t in corpus:
+        g = groups[low(t)]
+        assert (got[i].keep_id, got[i].group_size, got[i].text_sha256) == (max(g), len(g), sha(low(t)))
+    found = exact.entries(df, exact.build_index(df, str(tmp_path / "x"), 1, few, weak), str(tmp_path / "y")).collect()
+    assert len({(r.h, r.chain) for r in found}) == len(groups) and max(r.chain for r in found) > 50
+    assert {(r.h, r.chain): r.text_sha256 for r in found} == {(r.h, r.chain): r.text_sha256 for r in reversed(found)}
+
+
+@given(st.dictionaries(st.one_of(st.integers(0, 2**64 - 1), st.integers(2**63, 2**63 + 40), st.integers(2**64 - 9, 2**64 - 1)), st.just(1), max_size=80), st.integers(1, 9))
 @settings(max_examples=60, deadline=None)
-def test_directory(counts, capacity):
-    directory = exact.split_directory(counts, capacity, max_depth=6)
-    depth = max(d for _, _, d in directory)
-    assert sorted(s for s, _, _ in directory) == list(range(1 << depth))
-    for b in {b for _, b, _ in directory}:
-        own = [(s, d) for s, x, d in directory if x == b]
-        assert len({d for _, d in own}) == 1 and len(own) == 1 << (depth - own[0][1])
-        n = sum(v for k, v in counts.items() if k >> (6 - depth) in {s for s, _ in own})
-        assert n <= capacity or own[0][1] == 6
+def test_directory(keys, capacity):
+    def counts(bits, prefixes):
+        return Counter(k >> (64 - bits) for k in keys if prefixes is None or k >> (64 - bits + exact.STEP) in prefixes)
+
+    buckets, depth = exact.grow(counts, capacity)
+    ends = [*(b for b, _ in buckets[1:]), 1 << 64]
+    assert buckets[0][0] == 0 and all(b + (1 << (64 - d)) == e for (b, d), e in zip(buckets, ends, strict=True))
+    assert all(sum(b <= k < e for k in keys) <= capacity for (b, _), e in zip(buckets, ends, strict=True))
+    top = min(depth, exact.LEAD)
+    directory = exact.slots(buckets, depth)
+    for k in [*keys, 0, 2**64 - 1]:
+        own = [b for s, low, high, b in directory if s == (k >> (64 - top)) and low <= k & (1 << 48) - 1 < high]
+        assert len(own) == 1 and buckets[own[0]][0] <= k < ends[own[0]]
 
 
 # ---- 2 chat
@@ -477,7 +499,7 @@ def test_pieces_edges(spark, none):
     assert pieces.keep_encodable(df, pieces.model_bytes()).count() == 1
 
 
-def test_lengths(docs, corpus, none):
+def test_lengths(spark, docs, corpus, none):
     import tiktoken
 
     coder = tiktoken.Encoding("t", pat_str=lengths.pattern(), mergeable_ranks=lengths.ranks(), special_tokens={})
@@ -490,6 +512,18 @@ def test_lengths(docs, corpus, none):
         assert (r.docs_longer, r.ids_longer) == (sum(x > limit for x in n), sum(x for x in n if x > limit))
         assert (r.truncated_ids, r.docs_within) == (sum(min(x, limit) for x in n), sum(x <= limit for x in n))
     assert count(none).count() == 0
+    hist = lengths.histogram(spark.createDataFrame([(x,) for x in n], "n_tokens long"))
+    limits = [0, 7, 100, 5000, 10**6]
+    sums = lengths.suffix_sums(hist, limits, block=8)
+    got = rows(sums, "length")
+    assert set(got) == {*n, *limits}
+    for limit in limits:
+        r = got[limit]
+        assert (r.n_docs, r.docs_longer, r.truncated_ids, r.quantile) == (n.count(limit), sum(x > limit for x in n), sum(min(x, limit) for x in n), sum(x <= limit for x in n) / len(n))
+    shares = [0.0, 0.1, 0.5, 0.99, 1.0]
+    assert [(r.share, r.length) for r in lengths.quantiles(sums, shares).collect()] == [(p, min(x for x in n if sum(y <= x for y in n) >= p * len(n))) for p in shares]
+    empty = lengths.suffix_sums(hist.limit(0), [5]).first()
+    assert (empty.length, empty.total_docs, empty.quantile) == (5, 0, None)
 
 
 # ---- 9 toxicity
