@@ -464,26 +464,45 @@ def test_pieces(docs, corpus):
         assert b"".join(raw[a:b] for a, b in zip(got[i].span_start, got[i].span_end, strict=True)) == raw
 
 
-def test_spans_are_those_of_the_library():
+def test_spans_are_those_of_the_library(spark):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_proto=pieces.model_bytes())
-    text = "Grüße,  an\nalle 漢字"
-    raw = text.encode()
-    proto = library.encode(text, return_type="proto")
-    start, end = pieces.Normalizer(pieces.model_bytes()).spans(raw, np.array([p.id for p in proto.pieces]))
-    for p, a, b in zip(proto.pieces, start, end, strict=True):
-        if p.surface:  # byte pieces but the last of a character have none
-            assert raw[a:b] == p.surface.encode()[-(b - a) :]
+    normalizer = pieces.Normalizer(pieces.model_bytes())
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    for text in ["Grüße,  an\nalle 漢字", " a", "  ", "", *texts]:
+        raw, ids = text.encode(), library.encode(text)
+        start, end = normalizer.spans(raw, np.array(ids, np.int64))
+        found = library.encode(text, return_type="proto").pieces
+        for p, a, b in zip(found, start.tolist(), end.tolist(), strict=True):
+            if p.surface:  # of a character in several byte pieces the library gives all to the last
+                assert b == p.end and (a == p.begin or library.is_byte(p.id) and b - a == 1)
+
+
+def test_digests_of_the_registered_query(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=pieces.model_bytes())
+    normalizer = pieces.Normalizer(pieces.model_bytes())
+    got = rows(catalog.queries()["op7_sentencepiece"](spark, DATA))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        text, ids = r.text or "", library.encode(r.text or "", add_eos=True)
+        raw = text.encode()
+        spans = [*map(list, zip(*normalizer.spans(raw, np.array(ids[:-1], np.int64)), strict=True)), [len(raw)] * 2]
+        assert tuple(got[r.doc_id])[1:] == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)), len(raw), len(raw), sha(np.array(spans, "<i8").tobytes()))
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
-def test_normaliser_follows_the_character_map(rule):
+def test_normaliser_follows_the_character_map(spark, rule):
     import sentencepiece
 
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+
     library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
     own = pieces.Normalizer(library.serialized_model_proto())
-    for text in ("ﬁne ﾃﾞｰﾀ Ⅷ", "À É ½ 　x", "①② ㌔", "  two  spaces  ", "plain words", ""):
+    for text in ("ﬁne ﾃﾞｰﾀ Ⅷ", "À É ½ 　x", "①② ㌔", "  two  spaces  ", "plain words", "", " ", "\u00a8x \u00a8", "e\u0301 \u1100\u1161\u11a8", "\u3000\u3000a\u00a0 \u2003b\u3000", *texts):
         want, places = library.normalize(text, with_offsets=True)
         got, source = own.align(text.encode())
         assert got.decode() == want
@@ -495,8 +514,7 @@ def test_normaliser_follows_the_character_map(rule):
 def test_pieces_edges(spark, none):
     assert pieces.encode(none, pieces.model_bytes(), "doc_id").count() == 0
     df = spark.createDataFrame([(None, None, 5), (1, "a b", 6)], "doc_id long, text string, n_tokens int")
-    assert sorted(r.n_tokens for r in pieces.keep_encodable(df, pieces.model_bytes(), 1).collect()) == [1, 3]
-    assert pieces.keep_encodable(df, pieces.model_bytes()).count() == 1
+    assert sorted(r.n_tokens for r in pieces.encode(df, pieces.model_bytes(), "doc_id", digests=True).collect()) == [1, 3]
 
 
 def test_lengths(spark, docs, corpus, none):
