@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -85,7 +85,8 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
     Null roles and texts are empty. Equal turns stand in order of role, then text; null turns come first; repeated
     rows are turns of their own; rows with a null conv_id make one conversation. No rows give no rows. Roles that
     the template doesn't name are formatted under their name and make a conversation invalid. Other columns are
-    left out. A conversation is one row, so one long conversation is one task's work; all else is per row.
+    left out. A conversation is one row, so one long conversation is one task's work, in proportion to its length;
+    all else is per row.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     row = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
@@ -95,16 +96,18 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
     loss = _by_role(role, template, lambda t: F.lit(t.loss), F.lit(False))
     row = row.select("conv_id", "turn", "role", "text", F.concat(before, escape(F.col("text"), template), after).alias("piece"), F.length(before).alias("lead"), F.length(after).alias("tail"), loss.alias("loss"))
     row = row.withColumn("size", F.length("piece"))
-    told = row.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "piece", "lead", "tail", "size", "loss"))).alias("rows"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # running lengths give each segment's place; the aggregation needs no other exchange than theirs
+    start = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("lead")
+    row = row.select("conv_id", F.row_number().over(order).alias("at"), "role", "piece", start.cast("int").alias("start"), (F.col("size") - F.col("lead") - F.col("tail")).alias("length"), "loss")
+    told = row.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "piece", "start", "length", "loss"))).alias("rows"))
 
     moves = {f"{a}>{b}" for a, t in template.roles.items() for b in t.then} | {f">{b}" for b in template.first}
     allowed = F.array(*(F.lit(m) for m in sorted(moves)))
     # the state is the role of the last turn; a move that isn't allowed leads to a state of no return
     step = lambda state, x: F.when(F.array_contains(allowed, F.concat(state, F.lit(">"), x["role"])), x["role"]).otherwise(F.lit("!"))
     final = F.aggregate("rows", F.lit(""), step)
-    # turns are few next to their text, so the lengths before each are summed anew
-    start = lambda i: F.aggregate(F.slice("rows", 1, i), F.lit(0), lambda a, x: a + x["size"])
-    segment = lambda x, i: F.struct(x["role"].alias("role"), (start(i) + x["lead"]).alias("start"), (x["size"] - x["lead"] - x["tail"]).alias("length"), x["loss"].alias("loss"))
+    segment = lambda x: F.struct(*(x[c].alias(c) for c in ("role", "start", "length", "loss")))
     return told.select("conv_id", final.isin(*template.last).alias("valid"), F.array_join(F.transform("rows", lambda x: x["piece"]), "").alias("formatted"), F.transform("rows", segment).alias("segments"))
 
 
