@@ -188,6 +188,36 @@ def test_contamination(spark, docs, corpus, block):
     for i, n, hit, found in contamination(corpus, items):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (n, hit, found)
         assert sum(b - a for a, b in zip(got[i].spans[::2], got[i].spans[1::2], strict=True)) == hit
+    for i, want in longest_matches(corpus[:60], items):
+        assert (got[i].longest_match, got[i].longest_at) == want
+
+
+def longest_matches(corpus, items):
+    """Length and first place of each text's longest run of words that an item has too, three or a whole item at least."""
+    rule = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    held = [rule.findall(low(t)) for _, t in items]
+    for i, t in corpus:
+        w, best = rule.findall(low(t)), (0, None)
+        for x in held:
+            before = [0] * (len(x) + 1)
+            for k, word in enumerate(w):
+                now = [0] * (len(x) + 1)
+                for j, other in enumerate(x):
+                    if word == other:
+                        n = now[j + 1] = before[j] + 1
+                        if n >= min(3, len(x)) and (n, -(k - n + 1)) > (best[0], -(best[1] if best[1] is not None else 1 << 40)):
+                            best = n, k - n + 1
+                before = now
+        yield i, best
+
+
+@given(st.lists(st.integers(0, 5), max_size=60), st.sampled_from([1, 2, 3]))
+@settings(max_examples=40, deadline=None)
+def test_suffix_array_with_fewer_words_in_a_pack(words, pack):
+    stream = np.array([*words, *[0] * 80], np.int64)
+    order = contam.suffix_array(stream, np.flatnonzero(stream), 70, pack)
+    key = lambda p: stream[p : p + int(np.argmin(stream[p:]))].tolist()  # up to the end of its text
+    assert [key(p) for p in order] == sorted(key(p) for p in np.flatnonzero(stream))
 
 
 def test_contamination_edges(spark, docs, none):
@@ -197,7 +227,7 @@ def test_contamination_edges(spark, docs, none):
     one = spark.createDataFrame([(1, "the Quick brown fox jumps over it " * 3)], "item_id long, text string")
     two = spark.createDataFrame([(1, "a the quick brown fox jumps over it the quick brown fox jumps over it b", 1), (1, "quick brown", 2)], "doc_id long, text string, _words int")
     got = contam.find(two, one, ["doc_id"]).orderBy("n_words").collect()
-    assert [(r.n_hit, r.longest_match) for r in got] == [(0, 0), (14, 14)]
+    assert [(r.n_hit, r.longest_match, r.longest_at) for r in got] == [(0, 0, None), (14, 14, 1)]
     assert contam.drop_contaminated(two, one).count() == 1
 
 
