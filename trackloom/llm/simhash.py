@@ -252,8 +252,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, seed: int =
 
 #: Bits that choose a trie's owner, and the least share of pairs at the similarity that must meet in some trie.
 PREFIX, FOUND = 16, 0.995
-#: Rows of one owner's trie that are compared with each other; of more, all meet the first ``LEADS`` of their part.
-TOGETHER, LEADS = 256, 4
+#: Rows of one owner's trie that are joined in one task.
+TOGETHER = 64
+#: Rows of a crowded trie in a part, and rows from outside its most frequent component in a block; each block meets
+#: each part in a task of its own.
+PART, BLOCK = 1 << 16, 1 << 12
 
 
 def turned(similarity: float) -> float:
@@ -340,34 +343,51 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndar
     return np.minimum(a, b) * similarity[1] >= np.maximum(a, b) * similarity[0]
 
 
-def join_tries(budget: int, similarity: tuple[int, int], together: int, leads: int) -> Callable:
-    """Walks rows sorted by ``key, node``: pairs ``a, b`` of nodes within the budget go out.
+def _batch(names: list[str], columns: list):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
+
 
-    Tries of up to ``together`` rows are joined with themselves. Of a larger one, and of the first and the last of
-    a partition, which may go on elsewhere, each row meets the first ``leads`` rows only, and goes out as an open
-    row as well. A task holds no more of one trie than ``together`` rows and a batch.
+def join_tries(budget: int, similarity: tuple[int, int], together: int) -> Callable:
+    """Walks rows sorted by ``key, node``: each row's pair ``a, b`` with the least node within the budget goes out.
+
+    Tries of up to ``together`` rows are joined with themselves. Rows that have more partners than the one given go
+    out as open rows too, with those partners. Of a larger trie, and of the first and the last of a partition, which
+    may go on elsewhere, each row meets the first one only and is open. A task holds no more of one trie than
+    ``together`` rows and a batch.
     """
     names = ["key", "word", "node", "size"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def out(pairs: list[np.ndarray] | None, rows: list[np.ndarray] | None) -> pa.RecordBatch:
-            n = len((pairs or rows)[0])
-            empty = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([*(map(pa.array, pairs) if pairs else [empty] * 2), *(map(pa.array, rows) if rows else [empty] * 4)], names=["a", "b", *names])
-
-        def near(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            a, b = rows[2][i], rows[2][j]
-            ok = (a != b) & _alike(rows[3][i], rows[3][j], similarity)
-            return out([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], None)
-
-        def opened(rows: list[np.ndarray], first: list[np.ndarray]) -> Iterator:
-            for k in range(len(first[0])):
-                both = [np.r_[r, f[k]] for r, f in zip(rows, first, strict=True)]
-                i = np.flatnonzero(np.bitwise_count(both[1][:-1] ^ both[1][-1]) <= budget)
-                yield near(both, i, np.full(len(i), len(both[0]) - 1))
-            yield out(None, rows)
+        def pairs(a: np.ndarray, b: np.ndarray):
+            return _batch(["a", "b", *names], [a, b, *[pa.nulls(len(a), pa.int64())] * 4])
+
+        def opened(rows: list[np.ndarray]):
+            return _batch(["a", "b", *names], [*[pa.nulls(len(rows[0]), pa.int64())] * 2, *rows])
+
+        def star(rows: list[np.ndarray], first: list[np.ndarray]) -> Iterator:
+            ok = (np.bitwise_count(rows[1] ^ first[1]) <= budget) & (rows[2] != first[2]) & _alike(rows[3], first[3], similarity)
+            yield pairs(np.repeat(first[2], ok.sum()), rows[2][ok])
+            yield opened(rows)
+
+        def joined(rows: list[np.ndarray]) -> Iterator:
+            by = np.lexsort((rows[1].view(np.uint64), rows[0]))
+            rows = [r[by] for r in rows]
+            met = [np.zeros((2, 0), np.int64)]
+            for i, j in trie_pairs(rows[1].view(np.uint64), rows[0], budget):
+                i, j = np.where(rows[2][i] < rows[2][j], [i, j], [j, i])
+                met.append(np.stack([i, j])[:, _alike(rows[3][i], rows[3][j], similarity)])
+            i, j = np.concatenate(met, axis=1)
+            by = np.lexsort((rows[2][i], j))  # a place belongs to one trie
+            i, j = i[by], j[by]
+            lead = np.r_[True, j[1:] != j[:-1]][: len(j)]
+            yield pairs(rows[2][i[lead]], rows[2][j[lead]])
+            crowded = np.unique(rows[0][j[~lead]])
+            left = np.unique(np.r_[i, j])
+            yield opened([r[left[np.isin(rows[0][left], crowded)]] for r in rows])
 
         def whole(rows: list[np.ndarray], edge: int | None) -> Iterator:
             begin = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
@@ -375,12 +395,8 @@ def join_tries(budget: int, similarity: tuple[int, int], together: int, leads: i
             is_open = (size > together) | (rows[0][begin] == edge)
             for at, n in zip(begin[is_open].tolist(), size[is_open].tolist(), strict=True):
                 own = [r[at : at + n] for r in rows]
-                yield from opened(own, [r[:leads] for r in own])
-            left = [r[~np.repeat(is_open, size)] for r in rows]
-            by = np.lexsort((left[1].view(np.uint64), left[0]))
-            left = [r[by] for r in left]
-            for i, j in trie_pairs(left[1].view(np.uint64), left[0], budget):
-                yield near(left, i, j)
+                yield from star(own, [r[:1] for r in own])
+            yield from joined([r[~np.repeat(is_open, size)] for r in rows])
 
         held = [np.zeros(0, np.int64)] * 4
         edge = large = first = None
@@ -391,7 +407,7 @@ def join_tries(budget: int, similarity: tuple[int, int], together: int, leads: i
             if large is not None:  # more rows of a large trie
                 n = int(np.searchsorted(rows[0], large, "right"))
                 if n:
-                    yield from opened([r[:n] for r in rows], first)
+                    yield from star([r[:n] for r in rows], first)
                 rows = [r[n:] for r in rows]
             if not len(rows[0]):
                 continue
@@ -402,15 +418,74 @@ def join_tries(budget: int, similarity: tuple[int, int], together: int, leads: i
                 yield from whole([r[:cut] for r in held], edge)
                 held = [r[cut:] for r in held]
             if len(held[0]) > together:
-                large, first = held[0][0], [r[:leads] for r in held]
-                yield from opened(held, first)
+                large, first = held[0][0], [r[:1] for r in held]
+                yield from star(held, first)
                 held = [r[:0] for r in held]
         if len(held[0]):
-            yield from opened(held, [r[:leads] for r in held])
+            yield from star(held, [r[:1] for r in held])
 
     return run
 
 
+def join_apart(budget: int, similarity: tuple[int, int]) -> Callable:
+    """Walks rows sorted by ``key, block, part``, in each part those ``apart`` first: each of these meets every row of
+    the part that is in another component, and in part 0 each other. Within the budget their whole sets are compared,
+    and a pair ``a, b`` goes out for the first of a component that is similar. A task holds the apart rows of one part
+    and a batch."""
+    names = ["key", "block", "part", "apart", "word", "node", "size", "root"]
+    up, down = similarity
+
+    def run(batches: Iterator) -> Iterator:
+        key, held, sets = None, [], []
+        linked: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
+
+        def meet(own: list[np.ndarray], grams: list) -> None:
+            word, node, size, root = own
+            near = (np.bitwise_count(held[0][:, None] ^ word) <= budget) & (held[3][:, None] != root) & _alike(held[2][:, None], size, similarity)
+            last, other = -1, frozenset()
+            for j, i in zip(*map(np.ndarray.tolist, np.nonzero(near.T)), strict=True):
+                if (i, int(root[j])) in linked:
+                    continue
+                if j != last:
+                    last, other = j, members(grams[j])
+                shared = len(sets[i] & other)
+                if shared * down >= up * (len(sets[i]) + len(other) - shared):
+                    linked.add((i, int(root[j])))
+                    out.append((int(held[1][i]), int(node[j])))
+
+        def members(grams) -> frozenset:
+            return frozenset(np.frombuffer(grams.as_py(), np.uint64).tolist())
+
+        for batch in batches:
+            rows, grams = [batch.column(c).to_numpy() for c in names], batch.column("grams")
+            fresh = np.any([r[1:] != r[:-1] for r in rows[:4]], axis=0)
+            edge = np.flatnonzero(np.r_[True, fresh, True]).tolist() if batch.num_rows else [0]
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                if key != (key := tuple(r[x] for r in rows[:3])):
+                    held, sets, linked = [np.zeros(0, np.int64)] * 4, [], set()
+                # rows that are held meet those before them one by one
+                step = 1 if rows[3][x] else max(1, (1 << 20) // max(1, len(held[0])))
+                for at in range(x, y, step):
+                    own = [r[at : min(at + step, y)] for r in rows[4:]]
+                    if not rows[3][x] or key[2] == 0:
+                        meet(own, grams[at : at + step])
+                    if rows[3][x]:
+                        held = [np.r_[h, r] for h, r in zip(held, own, strict=True)]
+                        sets.append(members(grams[at]))
+            yield _batch(["a", "b"], list(np.array(out, np.int64).reshape(-1, 2).T.copy()))
+            out.clear()
+
+    return run
+
+
+def shingle_sets(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``node, grams``: the whole shingle set of each node of ``asked`` (``node, _id, _key``), from one text that has it."""
+    keyed = common.texts(docs, "doc_id").withColumn("_text_key", F.xxhash64("text"))
+    held = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))).groupBy("node").agg(F.first("text").alias("text"))
+    return common.map_columns(held, "grams binary", lambda: lambda b: [[grams(t, size).tobytes() for t in b.column("text").to_pylist()]], ["node"])
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: tuple[int, int], path: str) -> DataFrame:
     """The pairs ``a, b`` of nodes whose whole shingle sets reach the similarity, a fraction, exactly.
 
@@ -419,10 +494,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, simi
     up, down = similarity
     pairs = common.keep(pairs, f"{path}/pairs")
     asked = pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("node")).select("node", "_id", "_key")
-    keyed = common.texts(docs, "doc_id").withColumn("_text_key", F.xxhash64("text"))
-    held = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))).groupBy("node").agg(F.first("text").alias("text"))
-    sets = common.map_columns(held, "grams binary", lambda: lambda b: [[grams(t, size).tobytes() for t in b.column("text").to_pylist()]], ["node"])
-    sets = common.keep(sets, f"{path}/sets")
+    sets = common.keep(shingle_sets(asked, docs, size), f"{path}/sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "grams_a", "grams_b")
 
@@ -451,10 +523,12 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4
     Words and shingles are those of :func:`near_duplicates`, as are the rules for nulls. Equal sets are one node.
     Each node's fingerprints stand in tries (see :func:`tries`), and a trie is dealt out by its first ``prefix`` bits.
     The tries' self-join proposes pairs, and whole sets decide, so nothing is linked by a fingerprint alone. Every two
-    nodes that meet in a trie are compared, unless they are in one component already: rows of a trie too large to
-    be joined in one task meet a few of it first; then those outside its most frequent component meet all its rows.
-    ``found`` of the pairs at just the similarity meet at least; more similar pairs are missed less. ``prefix``
-    should grow with the corpus: about four bits below the logarithm of its size, 16 at least.
+    nodes that meet in a trie are compared, unless they are in one component already: first each node meets one
+    other of a trie; then, where a trie has more, those outside its most frequent component meet all rows of other
+    components, and a link to each component goes out. So a large group of copies gives pairs in proportion to its
+    size; a large group of texts that are alike, but less than the similarity, is compared within tasks. ``found`` of
+    the pairs at just the similarity meet in some trie at least; more similar pairs are missed less. ``prefix`` should
+    grow with the corpus: about two bits below the logarithm of its size, 16 at least.
     """
     spark = docs.sparkSession
     path = common.shared_dir(spark)
@@ -463,29 +537,35 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4
     place = F.min(F.struct("doc_id", "text_key")).alias("place")
     nodes = common.keep(rows.groupBy("node").agg(F.min("doc_id").alias("least"), place, F.first("size").alias("size"), F.first("words").alias("words")), f"{path}/nodes")
     places = nodes.select("node", F.col("place.doc_id").alias("_id"), F.col("place.text_key").alias("_key"))
-    columns = ["key", "word", "node", "size"]
     with common.batches(spark, common.NUMBERS):
         dealt = common.keep(deal(nodes, prefix), f"{path}/dealt")
         ordered = dealt.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-        met = common.keep(ordered.mapInArrow(join_tries(budget, similarity, together, LEADS), "a long, b long, key long, word long, node long, size long"), f"{path}/met")
+        met = common.keep(ordered.mapInArrow(join_tries(budget, similarity, together), "a long, b long, key long, word long, node long, size long"), f"{path}/met")
     common.forget(spark, f"{path}/dealt")
     edges = confirm(met.where("a IS NOT NULL").select("a", "b").distinct(), docs, places, size, similarity, f"{path}/first")
     roots = common.keep(components(edges, f"{path}/rounds"), f"{path}/roots")
-
-    placed = met.where("key IS NOT NULL").select(*columns).join(roots, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
-    placed = common.keep(placed, f"{path}/open")
-    most = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    apart = placed.join(most, "key").where("root <> most").select("key", *(F.col(c).alias(f"_{c}") for c in ("word", "node", "size", "root")))
-    up, down = similarity
-    close = (F.bit_count(F.col("word").bitwiseXOR(F.col("_word"))) <= budget) & (F.least("size", "_size") * down >= F.greatest("size", "_size") * up)
-    late = placed.join(apart, "key").where((F.col("root") != F.col("_root")) & close)
-    late = confirm(late.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct(), docs, places, size, similarity, f"{path}/late")
-    if not late.isEmpty():  # the components so far are stars
+    crowded = met.where("key IS NOT NULL").select("key", "word", "node", "size")
+    placed = crowded.join(roots, "node", "left").select("key", "word", "node", "size", F.coalesce("root", "node").alias("root"))
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    frequent = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("top")).where("n > top")
+    number = lambda n, of: F.ceil(F.col(n) / of).cast("int")
+    frequent = frequent.withColumn("n_apart", F.col("n") - F.col("top")).select("key", "most", number("n_apart", BLOCK).alias("blocks"), number("n", PART).alias("parts"))
+    placed = common.keep(placed.join(frequent, "key").withColumn("is_apart", F.col("root") != F.col("most")).drop("most"), f"{path}/open")
+    sets = common.keep(shingle_sets(placed.select("node").distinct().join(places, "node"), docs, size), f"{path}/sets")
+    own = {x: F.pmod(F.xxhash64("node"), F.col(f"{x}s")).cast("int") for x in ("block", "part")}
+    every = {x: F.sequence(F.lit(0), F.col(f"{x}s") - 1) for x in ("block", "part")}
+    columns = ["word", "node", "size", "root"]
+    apart = placed.where("is_apart").select("key", own["block"].alias("block"), F.explode(every["part"]).alias("part"), F.lit(1).alias("apart"), *columns)
+    others = placed.where("NOT is_apart OR blocks > 1").select("key", F.explode(every["block"]).alias("block"), own["part"].alias("part"), F.lit(0).alias("apart"), *columns, "is_apart", own["block"].alias("own"))
+    others = others.where("NOT is_apart OR block <> own").drop("is_apart", "own")
+    dealt = apart.union(others).join(sets, "node").repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", F.desc("apart"))
+    late = common.keep(dealt.select("key", "block", "part", "apart", *columns, "grams").mapInArrow(join_apart(budget, similarity), "a long, b long"), f"{path}/late")
+    if not late.isEmpty():  # components so far are stars
         roots = common.keep(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late), f"{path}/last"), f"{path}/roots-last")
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = common.keep(rooted.join(least, "root").select("node", "component_id", "root"), f"{path}/named")
-    for part in ("nodes", "met", "first", "rounds", "roots", "open", "late", "last", "roots-last"):
+    for part in ("nodes", "met", "first", "rounds", "roots", "open", "sets", "late", "last", "roots-last"):
         common.forget(spark, f"{path}/{part}")
     return rows.join(named, "node").select("doc_id", "text_key", "component_id", "root")
 
