@@ -605,6 +605,60 @@ def test_toxicity(spark):
     assert np.array_equal(again.table, model.table)
 
 
+def test_scores_are_those_of_a_naive_convolution():
+    """Embedding, filters, pooling, language and threshold of a text, word by word, whatever texts stand beside it."""
+    import math
+    import zlib
+
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(300)]
+    labels = [int("w7" in t.split() or "w3 w4" in t) for t in texts]
+    hashed = [toxic.hashes(t) for t in texts]
+    model = toxic.fit(hashed, labels, [["en", "de"][i % 2] for i in range(300)])
+    model.limits = np.array([0.25, -0.5])
+
+    def naive(text):
+        x = []
+        for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(text)):
+            h = zlib.crc32(w.encode())
+            x.append(model.table[h & toxic._SIZE - 1] + model.table[(h * 0x9E3779B1 >> 13) & toxic._SIZE - 1])
+        zero = np.zeros(model.table.shape[1])
+        z, f = model.base, 0
+        for width, kernel in zip(toxic.WIDTHS, model.kernel, strict=True):
+            for k in range(toxic.FILTERS):
+                best = -math.inf
+                for at in range(len(x) + 1):
+                    window = [x[at + j] if at + j < len(x) else zero for j in range(width)]
+                    best = max(best, sum(float(window[j][d] * kernel[j, d, k]) for j in range(width) for d in range(toxic.DIM)))
+                z += max(best + model.bias[f], 0) * model.out[f]
+                f += 1
+        tongue = sum([v[toxic.DIM :] for v in x], zero[toxic.DIM :]) + model.offsets
+        return 1 / (1 + math.exp(-min(max(z - model.limits[int(np.argmax(tongue))], -30), 30)))
+
+    sample = ["", "w7", "unknown words only", *texts[:60]]
+    want = [naive(t) for t in sample]
+    assert np.allclose(model.scores([toxic.hashes(t) for t in sample]), want, atol=1e-5)
+    assert np.allclose(model.scores([toxic.hashes(t) for t in sample], words_at_once=1), want, atol=1e-5)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"good w{i} " * 5, "en") for i in range(40)] + [(3, "w3 other", "en")] * 5, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(3, 0), (None, 1), (4, 7)], "doc_id long, toxic int")
+    seen = []
+    fit = toxic.fit
+    try:
+        toxic.fit = lambda d, y, lang: seen.append((d, y)) or fit(d, y, lang)
+        toxic.train(docs, labels)
+        toxic.train(docs, labels, max_rows=7)
+        toxic.train(docs, labels, max_words=35)
+    finally:
+        toxic.fit = fit
+    held = [i for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
+    assert [len(y) for _, y in seen[:2]] == [40 - len(held) + (3 not in held), 7]
+    assert 0 < sum(map(len, seen[2][0])) <= 35
+
+
 def test_toxicity_without_labels(spark, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxic.score(none, toxic.train(none, labels), ["doc_id"]).count() == 0

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .contam import words
 
-#: Labelled rows that the model is fitted on, at most; the rows with the smallest hash of doc_id are taken.
-MAX_ROWS = 6000
+#: Labelled rows that the model is fitted on, at most, and words of all of them; rows with the smallest hash of doc_id
+#: are taken.
+MAX_ROWS, MAX_WORDS = 6000, 4_000_000
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 _SIZE = 1 << BITS
 _PAD = _SIZE  # the row of zeros
@@ -32,14 +33,15 @@ def _rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(_SIZE - 1)).astype(np.int64), ((h * np.uint64(0x9E3779B1) >> np.uint64(13)) & np.uint64(_SIZE - 1)).astype(np.int64)
 
 
-def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the words of all documents, each followed by empty ones, and where each document starts."""
+def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words of all documents, each followed by empty ones, where each document's filters start, and
+    where they stop: after the first empty place, so none reaches the next document."""
     gap = max(WIDTHS)
     first = np.cumsum([0, *(len(d) + gap for d in docs)])
     places = np.full((2, first[-1] + gap), _PAD, np.int64)
     at = np.concatenate([np.arange(a, a + len(d)) for a, d in zip(first.tolist(), docs, strict=False)]) if docs else np.zeros(0, np.int64)
     places[:, at] = _rows(np.concatenate(docs)) if docs else 0
-    return places[0], places[1], first[:-1]
+    return places[0], places[1], first[:-1], first[:-1] + np.array([len(d) + 1 for d in docs], np.int64)
 
 
 @dataclass
@@ -60,9 +62,10 @@ class Classifier:
 
     def logits(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Score before calibration, and the language that the words look like."""
-        a, b, first = _padded(docs)
+        a, b, first, stop = _padded(docs)
         x = self.table[a] + self.table[b]
-        pooled = np.maximum(np.maximum.reduceat(self.convolve(x[:, :DIM]), first, axis=0) + self.bias, 0)
+        top = np.maximum.reduceat(self.convolve(x[:, :DIM]), np.stack([first, stop], axis=1).ravel(), axis=0)[::2]
+        pooled = np.maximum(top + self.bias, 0)
         tongue = np.argmax(np.add.reduceat(x[:, DIM:], first, axis=0) + self.offsets, axis=1)
         return pooled @ self.out + self.base, tongue
 
@@ -137,10 +140,9 @@ def fit(docs: list[np.ndarray], labels: list[int], lang: list[str], epochs: int
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(train), max(1, len(train) // 32)):
             batch = [docs[i] for i in part]
-            a, b, first = _padded(batch)
+            a, b, first, stop = _padded(batch)
             x = table[a, :DIM] + table[b, :DIM]
             c = model.convolve(x)
-            stop = np.r_[first[1:], len(c)]
             top = np.array([s + np.argmax(c[s:e], axis=0) for s, e in zip(first, stop, strict=True)])
             pool = np.take_along_axis(c, top, axis=0) + model.bias
             live = np.maximum(pool, 0)
@@ -196,24 +198,36 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Classifier:
-    """Fit on labelled rows that aren't held out: ``max_rows`` of them at most. The model's size is fixed."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_y IN (0, 1)").where(~held_out(F.col("_id")))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Classifier:
+    """Fit on labelled rows that aren't held out: ``max_rows`` of them and ``max_words`` words at most come to the
+    driver, as hashes. The model's size is fixed.
+
+    Of rows that share doc_id and label one counts; a doc_id with both labels counts with each. Labels other than 0
+    and 1 and null doc_ids are left out. ``lang`` only tells the languages apart whose thresholds are set; a table
+    without labelled rows gives a model that scores every text alike. Other columns don't matter.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_y IN (0, 1)").where(~held_out(F.col("_id"))).distinct()
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
     source = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("_lang"))
-    rows = source.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_y", "_lang", F.coalesce("text", F.lit("")).alias("text"))
+    rows = source.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_y", "_lang", F.xxhash64("text", "_lang").alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
 
     def start() -> Callable:
         return lambda batch: [[hashes(t).tobytes() for t in batch.column("text").to_pylist()]]
 
-    got = common.map_columns(rows, "_words binary", start, ["_id", "_y", "_lang"]).toPandas().sort_values(["_id", "_y"], kind="stable")
+    read = common.map_columns(rows, "_words binary", start, ["_id", "_y", "_lang", "_h"])
+    one = read.groupBy("_id", "_y").agg(F.min(F.struct("_h", "_lang", "_words")).alias("r")).select("_id", "_y", "r.*")
+    # max_rows rows at most, so one task may add up their words
+    so_far = F.sum(F.octet_length("_words") / 4).over(Window.orderBy(F.xxhash64("_id"), "_id", "_y"))
+    got = one.withColumn("_n", so_far).where(F.col("_n") <= max_words).toPandas().sort_values(["_id", "_y"], kind="stable")
     return fit([np.frombuffer(x, np.uint32) for x in got["_words"]], got["_y"].tolist(), got["_lang"].tolist())
 
 
 def score(docs: DataFrame, model: Classifier, pass_on: list[str], name: str = "score") -> DataFrame:
     """The columns ``pass_on``, then the score of each whole text. Null and empty texts have a score too.
 
-    Rows stay where they are; repeated rows score alike. The model, whose size is fixed, is broadcast.
+    Rows stay where they are; repeated rows score alike, whatever stands beside them. Very long texts are scored
+    whole. An empty table gives no rows. A column that has the score's name must not be passed on; others are left
+    out. The model, whose size is fixed, is broadcast.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
