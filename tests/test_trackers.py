@@ -305,3 +305,42 @@ def test_inference_to_detections(spark):
     r = detect.postprocess(found, 2).collect()
     assert len(r) == 1 and r[0].object_class == 1 and r[0].confidence == pytest.approx(0.9)
     assert (r[0].x1, r[0].x2) == (pytest.approx(22 / 64), pytest.approx(42 / 64))
+
+
+def test_every_kind_by_name(spark):
+    from trackloom.schema import TRACK
+
+    given = dets(spark, moving(0, 12, 0.1, 0.1, 0.01, 0.01))
+    for kind in ("Dummy", "SORT", "bytetrack", " botsort", "oc_sort", "Fused", "hybrid_SOT", "Bidirectional"):
+        got = bidirectional.tracker(given, kind)
+        assert got.schema.names == TRACK.names and {r.track_id for r in got.collect()} == {1}
+    with pytest.raises(ValueError):
+        bidirectional.tracker(given, "none")
+
+
+def test_pictures_that_look_different_are_not_followed():
+    s = trackers.settings("hybrid_sot", visual_age=5, drift=0.5)
+    box, vector = np.array([[0.1, 0.1, 0.1, 0.1]]), np.array([1.0, 0.0])
+    for shown, kept in (((box[0], np.array([1.0, 0.1])), True), ((box[0], np.array([0.0, 1.0])), False)):
+        t, asked = trackers.Tracks(), []
+        trackers.step("hybrid_sot", s, t, 0, trackers.Frame(box, np.array([0.9]), np.array([True]), [vector]))
+        none = trackers.Frame(np.zeros((0, 4)), np.zeros(0), np.zeros(0, bool), [])
+        for frame in (1, 2, 3):
+            trackers.step("hybrid_sot", s, t, frame, none, lambda *a: asked.append(a) or shown)
+        assert len(asked) == (3 if kept else 1) and (t.number["misses"][0] == 0) == kept
+
+
+def test_vectors_join_the_cost_of_both_kinds(spark):
+    """Two boxes swap places; their vectors tell them apart, in batch, for both kinds that know vectors."""
+    rows = []
+    for frame in range(6):
+        for i in (0, 1):
+            at = 0.1 + 0.01 * ((i + frame) % 2)
+            rows.append((1, frame, i, at, 0.1, at + 0.1, 0.2, 0.9, True, [1.0, 0.0] if i else [0.0, 1.0]))
+    given = spark.createDataFrame(rows, DETS + ", embedding array<double>")
+    for kind in ("fused", "hybrid_sot"):
+        kept = trackers.track(given, kind, trackers.settings(kind, gate_first=0.5, smooth=1.0)).collect()
+        side = {}
+        for r in kept:
+            side.setdefault(r.track_id, []).append((r.frame, r.x1))
+        assert len(side) == 2 and all(len({round(x, 3) for _, x in v}) > 1 for v in side.values())

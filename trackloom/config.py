@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass, replace
+from math import nextafter
 from pathlib import Path
 from typing import Any
 
@@ -31,7 +32,7 @@ class Model:
 @dataclass(frozen=True)
 class Blur:
     kind: str = "gaussian"
-    strength: int = _within(1, 500, 15)
+    strength: int = _within(1, 100, 10)
     classes: tuple[str, ...] = REDACTED
 
 
@@ -40,26 +41,36 @@ class Detection:
     confidence: float = _within(0, 1, 0.5)
     low_score: float = _within(0, 1, 0.1)
     overlap: float = _within(0, 1, 0.3)
-    input_size: int = _within(32, 8192, 1920)
-    tile_overlap: float = _within(0, 0.9, 0.2)
-    batch_size: int = _within(1, 64, 4)
+    input_size: int = _within(256, 8192, 1920)
+    tile_overlap: float = _within(0, nextafter(1, 0), 0.2)  # below 1
+    batch_size: int = _within(1, 256, 4)
     masks: bool = True
 
 
+#: Ranges of tracker parameters. Fixed values.
+PARAMETERS = {
+    "gate": (0, 1), "gate_first": (0, 1), "gate_second": (0, 1), "confirm_after": (1, 10), "max_misses": (1, 120), "visual_age": (0, 120),
+    "dilate": (0, 0.6), "smooth": (0, 1), "embedding_gate": (0, 1), "min_rate": (0, 1), "drift": (0, 2),
+}
+
+
 @dataclass(frozen=True)
 class Tracking:
-    kind: str = "sort"
+    kind: str = "bytetrack"
     link: bool = True
     params: dict = field(default_factory=dict)
 
     def settings(self) -> Settings:
+        for name, (low, high) in PARAMETERS.items():
+            if name in self.params and not low <= self.params[name] <= high:
+                raise ValueError(f"{name} is {self.params[name]}; it must lie in {low} to {high}")
         return settings(self.kind, **self.params)
 
 
 @dataclass(frozen=True)
 class Video:
     codec: str = ""
-    quality: int | None = _within(0, 63, None)
+    quality: int | None = _within(1, 51, None)
 
 
 @dataclass(frozen=True)

@@ -6,18 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import tracks as tr
-from trackloom.operators.trackers import Settings, track
+from trackloom.operators.trackers import KINDS, Settings, track
+from trackloom.schema import TRACK, conform, detections
 from trackloom.sources.shared import keep
 
 
 def bidirectional(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None, overlap: float = 0.3, weight: float = 0.6) -> DataFrame:
-    """Merged tracks of both passes. Tentative rows don't count. See :func:`tracks.merge` for what holds where both have one.
+    """Merged tracks of both passes that are to be redacted. Tentative rows don't count. See :func:`tracks.merge` for
+    what holds where both passes have one.
 
-    Each pass runs once: pairing and merging read its rows from a table in the shared folder.
+    Each pass runs once, when this is called: pairing and merging read its rows from a table in the shared folder.
     """
     forward = keep(track(dets, kind, settings_).where("state <> 'tentative'"))
     last = dets.groupBy("video_id").agg(F.max("frame").alias("_last"))
     turned = track(tr.reverse(dets), kind, settings_).where("state <> 'tentative'")
-    backward = keep(turned.join(last, "video_id").withColumn("frame", F.col("_last") - F.col("frame")).drop("_last"))
+    backward = keep(turned.join(last, "video_id").withColumns({c: F.col("_last") - F.col(c) for c in ("frame", "last_seen")}).drop("_last"))
     chosen = tr.choose_pairs(tr.pair_by_overlap(forward, backward), overlap)
-    return tr.merge(forward, backward, chosen, weight)
+    return tr.merge(forward, backward, chosen, weight).where("should_blur")
+
+
+def tracker(dets: DataFrame, kind: str, settings_: Settings | None = None, base: str = "bytetrack", dilate: float = 0.2) -> DataFrame:
+    """Tracks by any kind, named in any case: those of :func:`trackers.track`, ``dummy`` (:func:`tracks.slots`) or
+    ``bidirectional`` over ``base``. All give the columns of ``schema.TRACK``; unknown kinds raise."""
+    kind = kind.strip().lower()
+    if kind == "dummy":
+        made = tr.slots(detections(dets), dilate).withColumns({"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1"), "last_seen": F.col("frame")})
+        return conform(made, TRACK, should_blur=True, origin="forward")
+    if kind == "bidirectional":
+        made = bidirectional(dets, base.strip().lower(), settings_)
+        return conform(made.withColumns({"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1")}), TRACK)
+    if kind not in KINDS:
+        raise ValueError(f"no tracker {kind!r}; there are dummy, bidirectional, {', '.join(KINDS)}")
+    return conform(track(dets, kind, settings_), TRACK, origin="forward")

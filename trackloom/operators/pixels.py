@@ -118,7 +118,8 @@ def redact(frames: DataFrame, regions: DataFrame, kind: str = "gaussian", streng
 
     ``regions`` has ``video_id, frame, x, y, w, h`` in pixels, and ``points`` for a polygon or ``bits`` for a mask
     (or null). Each rectangle is obscured by itself; with ``composite``, and for other shapes, the whole frame is obscured once and
-    shows where any region lies. Regions are cut at the frame; frames without any, or with null or short pixels, go
+    shows where any region lies. Regions are cut at the frame and
+    taken in order of place; frames without any, or with null or short pixels, go
     through untouched. Regions gather by frame before the join, which moves pixels only where the regions are too
     large to broadcast. A frame is one row's work.
     """
@@ -128,7 +129,7 @@ def redact(frames: DataFrame, regions: DataFrame, kind: str = "gaussian", streng
     if "bits" not in regions.columns:
         regions = regions.withColumn("bits", F.lit(None).cast("binary"))
     row = F.struct(*(F.col(c).cast("int").alias(c) for c in "xywh"), "points", "bits")
-    grouped = regions.groupBy("video_id", "frame").agg(F.collect_list(row).cast(REGION).alias("_regions"))
+    grouped = regions.groupBy("video_id", "frame").agg(F.array_sort(F.collect_list(row).cast(REGION)).alias("_regions"))
     columns = frames.columns
     source = frames.join(grouped, ["video_id", "frame"], "left").select(*columns, "_regions")
     schema = T.StructType([*frames.schema.fields, T.StructField("redacted_pixels", T.LongType())])

@@ -81,8 +81,14 @@ KINDS = {
 
 
 def settings(kind: str, **changes: object) -> Settings:
-    """Settings of a kind with changes; unknown kinds and names raise."""
-    return replace(Settings(**OVERRIDES[kind]), **changes)
+    """Settings of a kind, in any case, with changes; unknown kinds and names raise."""
+    return replace(Settings(**OVERRIDES[kind.lower()]), **changes)
+
+
+def input_columns(dets: DataFrame, kind: str) -> list[str]:
+    """The columns that a tracker reads; the vectors where there are any and the kind's cost knows them."""
+    vectors = "embedding" in dets.columns and any(r.cost == "fused" for r in KINDS[kind].rounds)
+    return [*_INPUT, *["embedding"] * vectors]
 
 
 @dataclass
@@ -177,7 +183,7 @@ def _see(t: Tracks, i: int, tlwh: np.ndarray, score: float, frame: int, s: Setti
             for k in range(1, gap):  # observations on the way there, from the one before the last
                 t.filters.update(i, e["before"] + (tlwh - e["before"]) * (k / gap))
         e["before"] = e["last"]
-    e["last"], e["at"] = tlwh, frame
+    e["last"], e["at"], e["lost"] = tlwh, frame, False
     n = t.number
     n["score"][i], n["seen"][i], n["misses"][i], n["hidden"][i] = score, frame, 0, 0
     n["hits"][i] += 1
@@ -188,14 +194,19 @@ def _remember(e: dict, embedding: np.ndarray | None, weight: float) -> None:
     if embedding is None:
         return
     e["seen"] = [*e.get("seen", ()), embedding][-3:]
-    e["mean"] = _unit(embedding) if "mean" not in e else _unit(0.5 * e["mean"] + 0.5 * max(weight, 1e-3) * _unit(embedding))
+    _blend(e, _unit(embedding), weight)
+
+
+def _blend(e: dict, unit: np.ndarray, weight: float) -> None:
+    e["mean"] = unit if "mean" not in e else _unit(0.5 * e["mean"] + 0.5 * max(weight, 1e-3) * unit)
 
 
 def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callable | None = None) -> list[tuple]:
     """Advance the tracks of a video by a frame; rows ``track_id, x, y, w, h, state, age, last_seen, score``.
 
-    ``visual(frame, track_id, box)`` may return the box where a picture shows a track that no detection met
-    (``hybrid_sot`` only). Association uses the smoothed box of the last frame, not the prediction.
+    ``visual(frame, track_id, box)`` may return the box where a picture shows a track that no detection met, or that
+    box and the vector of what is in it (``hybrid_sot`` only). Association uses the smoothed box of the last frame, not
+    the prediction.
     """
     rules, n = KINDS[kind], t.number
     t.filters.predict()
@@ -252,11 +263,25 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
 
 
 def _shown(t: Tracks, i: int, frame: int, f: Frame, spare: list[int], s: Settings, visual: Callable) -> bool:
-    """A picture may keep a missed track: by a low detection at its box, which is used once, or by the box itself."""
-    n = t.number
-    box = visual(frame, int(n["id"][i]), t.smooth[i]) if n["misses"][i] <= s.visual_age else None
-    if box is None:
+    """A picture may keep a missed track: by a low detection at its box, which is used once, or by the box itself.
+
+    A picture that no longer looks like the track is not asked again until a detection meets it; in this frame the
+    track then stays as it was.
+    """
+    n, e = t.number, t.extra[i]
+    found = visual(frame, int(n["id"][i]), t.smooth[i]) if n["misses"][i] <= s.visual_age and not e.get("lost") else None
+    if found is None:
         return False
+    box, vector = found if isinstance(found, tuple) and len(found) == 2 else (found, None)
+    if vector is not None and len(e.get("seen", ())):
+        own = _unit(np.asarray(vector, float))
+        if float(_unit(e["mean"]) @ own) < s.embedding_gate:
+            e["lost"] = True
+            return True
+        _blend(e, own, float(n["score"][i]))
+        if max(float(_unit(x) @ own) for x in e["seen"]) < s.embedding_gate:
+            e["lost"] = True
+            return True
     box = np.asarray(box, float)
     if s.drift > 0 and distances(box[None], t.smooth[i][None])[0, 0] > s.drift:
         return False
@@ -291,11 +316,12 @@ def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None
     """Tracks of each video's detections. Frames without detections are no steps; order in a frame is ``det_id``.
 
     Every visible track gives a row for every present frame. An ``embedding`` column, where there is one, joins
-    the cost of ``fused``. Null flags count as confident; null coordinates, confidences or frames leave the row out;
+    the cost of ``fused`` and ``hybrid_sot``. ``kind`` may be in any case; ``bidirectional.tracker`` takes all kinds. Null flags count as confident; null coordinates, confidences or frames leave the row out;
     no rows give no rows. A task walks its videos frame by frame with the state of one video.
     """
+    kind = kind.lower()
     s = settings_ or settings(kind)
-    columns = [*_INPUT, *(("embedding",) if "embedding" in dets.columns and kind == "fused" else ())]
+    columns = input_columns(dets, kind)
     known = dets.dropna(subset=["video_id", "frame", "x1", "y1", "x2", "y2", "confidence"]).withColumn("is_confident", F.coalesce("is_confident", F.lit(True)))
     ordered = known.select(*columns).repartition("video_id").sortWithinPartitions("video_id", "frame", "det_id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,38 +124,71 @@ def pair_by_overlap(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 
 def choose_pairs(pairs: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """One partner each: forward tracks, by id, take the best backward track above the threshold that is still free.
-
-    Earlier tracks go first, so the choice folds over a video's pairs in order; equal ones go to the smaller id.
+    """One partner each: forward tracks, by id, take the best backward track above the threshold that is still free;
+    equal ones the smaller id. A task walks its videos' pairs in this order and holds the ids taken in one video.
     """
-    row = F.struct("forward_id", (-F.col("mean_iou")).alias("cost"), "backward_id")
-    grouped = pairs.where(F.col("mean_iou") > threshold).groupBy(VIDEO).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    taken = lambda acc, r: F.exists(acc, lambda k: (k["forward_id"] == r["forward_id"]) | (k["backward_id"] == r["backward_id"]))
-    step = lambda acc, r: F.when(taken(acc, r), acc).otherwise(F.array_append(acc, r))
-    chosen = grouped.select(VIDEO, F.inline(F.aggregate("rows", F.filter("rows", lambda r: F.lit(False)), step)))
-    return chosen.select(VIDEO, "forward_id", "backward_id", (-F.col("cost")).alias("mean_iou"))
-
-
-#: Combined state: the last of the two in this order. A fixed rule.
-STATES = ("confirmed", "dead", "hidden", "tentative")
+    columns = [VIDEO, "forward_id", "backward_id", "mean_iou"]
+    near = pairs.where(F.col("mean_iou") > threshold).select(*columns)
+    ordered = near.repartition(VIDEO).sortWithinPartitions(VIDEO, "forward_id", F.desc("mean_iou"), "backward_id")
+
+    def walk(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        video, last, taken = None, None, set()
+        for batch in batches:
+            go = []
+            for v, f, b in zip(*(batch.column(c).to_pylist() for c in columns[:3]), strict=True):
+                if v != video:
+                    video, last, taken = v, None, set()
+                free = f != last and b not in taken
+                if free:
+                    last = f
+                    taken.add(b)
+                go.append(free)
+            yield batch.filter(pa.array(go, pa.bool_()))
+
+    return ordered.mapInArrow(walk, ordered.schema)
+
+
+def merged_ids(forward: DataFrame, backward: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``track_id, merged_id`` of the forward and of the backward tracks.
+
+    A video's forward tracks count from 1 in the order in which they appear; partners share an id; the backward
+    tracks left follow in the order in which the backward pass meets them, which is by their last frame.
+    """
+    order = Window.partitionBy(VIDEO).orderBy("first", "track_id")
+    f = forward.groupBy(*TRACK).agg(F.min("frame").alias("first")).select(*TRACK, F.row_number().over(order).cast("long").alias("merged_id"))
+    own = chosen.select(VIDEO, F.col("forward_id").alias("track_id"), F.col("backward_id").alias("_back")).join(f, list(TRACK)).select(VIDEO, F.col("_back").alias("track_id"), "merged_id")
+    top = f.groupBy(VIDEO).agg(F.max("merged_id").alias("_top"))
+    met = backward.groupBy(*TRACK).agg(F.max("frame").alias("last")).join(own, list(TRACK), "left").join(top, VIDEO, "left")
+    alone = F.row_number().over(Window.partitionBy(VIDEO, F.col("merged_id").isNull()).orderBy(F.desc("last"), "track_id"))
+    return f, met.select(*TRACK, F.coalesce("merged_id", F.coalesce("_top", F.lit(0)) + alone).alias("merged_id"))
 
 
 def merge(forward: DataFrame, backward: DataFrame, chosen: DataFrame, weight: float = 0.6) -> DataFrame:
-    """Both directions frame by frame: chosen partners under one id, the rest as they are.
+    """Both directions frame by frame: chosen partners under one id, the rest as they are (see :func:`merged_ids`).
 
-    Where both have a frame the backward box stands, scores blend by ``weight``, the later state and the larger
-    age hold, and either one redacts. Ids number the forward tracks first, then the backward tracks left.
+    Where both have a frame the backward box stands, scores blend with ``weight`` on the backward one, the later state
+    (in the order of their names) and the larger age hold, the track is seen in this frame, and either one redacts.
+    A frame that one direction alone has keeps that one's values.
     """
-    top = forward.groupBy(VIDEO).agg(F.max("track_id").alias("_top"))
-    own = ("x1", "y1", "x2", "y2", "score", "state")
-    f = forward.select(VIDEO, "frame", F.col("track_id").alias("merged_id"), *(F.col(c).alias(f"f_{c}") for c in own))
-    b = backward.join(chosen.select(VIDEO, F.col("backward_id").alias("track_id"), "forward_id"), [VIDEO, "track_id"], "left").join(top, VIDEO, "left")
-    b = b.select(VIDEO, "frame", F.coalesce("forward_id", F.coalesce("_top", F.lit(0)) + F.col("track_id")).alias("merged_id"), *(F.col(c).alias(f"b_{c}") for c in own))
-    both = f.join(b, [VIDEO, "frame", "merged_id"], "full")
-    box = [F.coalesce(f"b_{c}", f"f_{c}").alias(c) for c in own[:4]]
-    score = F.when(F.col("f_score").isNull() | F.col("b_score").isNull(), F.coalesce("f_score", "b_score")).otherwise(F.col("f_score") * weight + F.col("b_score") * (1 - weight))
-    origin = F.when(F.col("b_score").isNull(), "forward").when(F.col("f_score").isNull(), "backward").otherwise("merged")
-    return both.select(VIDEO, "frame", F.col("merged_id").alias("track_id"), *box, score.alias("score"), F.greatest("f_state", "b_state").alias("state"), origin.alias("origin"))
+    own = ("x1", "y1", "x2", "y2", "score", "state", "age", "last_seen", "should_blur")
+    sides = []
+    for side, rows, ids in zip("fb", (forward, backward), merged_ids(forward, backward, chosen), strict=True):
+        sides.append(rows.join(ids, list(TRACK)).select(VIDEO, "frame", F.col("merged_id").alias("track_id"), *(F.col(c).alias(f"{side}_{c}") for c in own)))
+    both = sides[0].join(sides[1], [VIDEO, "frame", "track_id"], "full")
+    origin = F.when(F.col("b_state").isNull(), "forward").when(F.col("f_state").isNull(), "backward").otherwise("merged")
+    either = lambda c: F.coalesce(f"b_{c}", f"f_{c}")
+    met = (origin == "merged")
+    return both.select(
+        VIDEO, "frame", "track_id", *(either(c).alias(c) for c in own[:4]),
+        F.when(met, F.col("f_score") * (1 - weight) + F.col("b_score") * weight).otherwise(either("score")).alias("score"),
+        F.greatest("f_state", "b_state").alias("state"),
+        F.greatest("f_age", "b_age").alias("age"),
+        F.when(met, F.col("frame")).otherwise(either("last_seen")).alias("last_seen"),
+        (F.coalesce("f_should_blur", F.lit(False)) | F.coalesce("b_should_blur", F.lit(False))).alias("should_blur"),
+        origin.alias("origin"),
+    )
 
 
 def gated_pairs(tracks: DataFrame, dets: DataFrame, gate: float) -> DataFrame:

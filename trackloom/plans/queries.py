@@ -22,16 +22,17 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *, det: bool = False, recursive: bool = False, job: bool = False) -> Callable[[Query], Query]:
+def query(sql: str | None = None, *, det: bool = False, recursive: bool = False, job: bool = False, name: str | None = None) -> Callable[[Query], Query]:
     """Register a query by its name, with its SQL; ``det`` and ``job`` put the views of the tables before it."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        key = name or f.__name__
+        QUERIES[key] = f
         if sql is not None:
             views = [S.DETECTIONS_SQL] * det + [S.JOBS_SQL] * job
             body = sql.strip()
             head = f"WITH {'RECURSIVE ' * recursive}{', '.join(views)}" if views else ""
-            SQL[f.__name__] = f"{head}{', ' if views and body.startswith('WITH ') else ' '}{body.removeprefix('WITH ') if views else body}".strip()
+            SQL[key] = f"{head}{', ' if views and body.startswith('WITH ') else ' '}{body.removeprefix('WITH ') if views else body}".strip()
         return f
 
     return add
@@ -105,6 +106,20 @@ def box_absolute_roi(spark: SparkSession, d: str) -> DataFrame:
     return _boxes(spark, d, {"x": x, "y": y, "w": w, "h": h}).where("w > 0 AND h > 0")
 
 
+@query(
+    """WITH p AS (SELECT video_id, frame, det_id, CAST(round_even(x1*1920e0, 0) AS INT) AS x, CAST(round_even(y1*1080e0, 0) AS INT) AS y, CAST(round_even(x2*1920e0, 0) AS INT) - CAST(round_even(x1*1920e0, 0) AS INT) AS w, CAST(round_even(y2*1080e0, 0) AS INT) - CAST(round_even(y1*1080e0, 0) AS INT) AS h FROM det),
+    g AS (SELECT *, CAST(round_even(x + w/2e0 - w*1.3e0/2e0, 0) AS INT) AS gx, CAST(round_even(y + h/2e0 - h*1.3e0/2e0, 0) AS INT) AS gy, CAST(round_even(w*1.3e0, 0) AS INT) AS gw, CAST(round_even(h*1.3e0, 0) AS INT) AS gh FROM p WHERE w > 0 AND h > 0)
+    SELECT video_id, frame, det_id, CAST(greatest(0, gx) AS INT) AS x, CAST(greatest(0, gy) AS INT) AS y, CAST(least(1920, gx + gw) - greatest(0, gx) AS INT) AS w, CAST(least(1080, gy + gh) - greatest(0, gy) AS INT) AS h FROM g""",
+    det=True,
+)
+def box_inflate(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel boxes grown by three tenths about their centres and cut at the frame."""
+    x, y, w, h = B.roi(Box.of(), F.lit(1920), F.lit(1080))
+    rois = _boxes(spark, d, {"x": x, "y": y, "w": w, "h": h}).where("w > 0 AND h > 0")
+    grown = B.inflate("x", "y", "w", "h", 1.3, F.lit(1920), F.lit(1080))
+    return rois.select("video_id", "frame", "det_id", *(v.cast("int").alias(k) for k, v in zip("xywh", grown, strict=True)))
+
+
 @query("SELECT video_id, frame, det_id, least(greatest((x1*640e0-10e0)/0.5e0,0e0),1000e0) AS x1, least(greatest((y1*640e0-10e0)/0.5e0,0e0),800e0) AS y1, least(greatest((x2*640e0-10e0)/0.5e0,0e0),1000e0) AS x2, least(greatest((y2*640e0-10e0)/0.5e0,0e0),800e0) AS y2 FROM det", det=True)
 def box_unletterbox(spark: SparkSession, d: str) -> DataFrame:
     put = Box.of().map(lambda v: v * 640.0, lambda v: v * 640.0)
@@ -426,13 +441,19 @@ def bidir_reverse(spark: SparkSession, d: str) -> DataFrame:
     return tr.reverse(S.detections(spark, d)).select("video_id", "frame", "det_id")
 
 
-_TWO = f"{_SLOTS}, b AS (SELECT video_id, frame, track_id + 1000 AS track_id, least(1e0, x1 + 0.01e0) AS x1, y1, x2, y2, score * 0.9e0 AS score, 'tentative' AS state FROM trk WHERE score >= 0.6e0), p AS (SELECT f.video_id, f.track_id AS forward_id, b.track_id AS backward_id, count(*) AS n_frames, round(avg({_iou('f', 'b')}), 9) AS mean_iou FROM trk f JOIN b ON f.video_id=b.video_id AND f.frame=b.frame GROUP BY ALL)"
+_TWO = (
+    f"{_SLOTS}, f AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame) AS age, frame AS last_seen, score >= 0.9e0 AS should_blur FROM trk), "
+    "b AS (SELECT video_id, frame, track_id + 1000 AS track_id, least(1e0, x1 + 0.01e0) AS x1, y1, x2, y2, score * 0.9e0 AS score, 'tentative' AS state, age * 2 - 3 AS age, frame + 1 AS last_seen, age % 3 = 0 AS should_blur FROM f WHERE score >= 0.6e0), "
+    f"p AS (SELECT f.video_id, f.track_id AS forward_id, b.track_id AS backward_id, count(*) AS n_frames, round(avg({_iou('f', 'b')}), 9) AS mean_iou FROM f JOIN b ON f.video_id=b.video_id AND f.frame=b.frame GROUP BY ALL)"
+)
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Slot tracks, and what a second pass that sees no weak observations would give: other ids, moved boxes."""
-    f = keep(_slots(spark, d))
-    b = f.where("score >= 0.6e0").withColumns({"track_id": F.col("track_id") + 1000, "x1": F.least(F.lit(1.0), F.col("x1") + 0.01), "score": F.col("score") * 0.9, "state": F.lit("tentative")})
+    age = F.row_number().over(Window.partitionBy(*tr.TRACK).orderBy("frame")).cast("long")
+    f = keep(_slots(spark, d).withColumns({"age": age, "last_seen": F.col("frame"), "should_blur": F.col("score") >= 0.9}))
+    moved = {"track_id": F.col("track_id") + 1000, "x1": F.least(F.lit(1.0), F.col("x1") + 0.01), "score": F.col("score") * 0.9, "state": F.lit("tentative")}
+    b = f.where("score >= 0.6e0").withColumns(moved | {"age": F.col("age") * 2 - 3, "last_seen": F.col("frame") + 1, "should_blur": F.col("age") % 3 == 0})
     return f, b
 
 
@@ -442,11 +463,28 @@ def bidir_pair_iou(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TWO}, top AS (SELECT video_id, max(track_id) AS top FROM trk GROUP BY ALL),
-    bm AS (SELECT b.*, CASE WHEN q.backward_id IS NOT NULL THEN b.track_id - 1000 ELSE top + b.track_id END AS merged_id FROM b JOIN top USING (video_id) LEFT JOIN (SELECT video_id, backward_id FROM p WHERE mean_iou > 0.3e0 AND backward_id = forward_id + 1000) q ON q.video_id=b.video_id AND q.backward_id=b.track_id)
-    SELECT coalesce(f.video_id, m.video_id) AS video_id, coalesce(f.frame, m.frame) AS frame, coalesce(f.track_id, m.merged_id) AS track_id, coalesce(m.x1, f.x1) AS x1, coalesce(m.y1, f.y1) AS y1, coalesce(m.x2, f.x2) AS x2, coalesce(m.y2, f.y2) AS y2,
-      CASE WHEN f.score IS NULL THEN m.score WHEN m.score IS NULL THEN f.score ELSE f.score*0.6e0 + m.score*0.4e0 END AS score, CASE WHEN m.state IS NULL THEN f.state ELSE m.state END AS state, CASE WHEN m.score IS NULL THEN 'forward' WHEN f.score IS NULL THEN 'backward' ELSE 'merged' END AS origin
-    FROM trk f FULL JOIN bm m ON f.video_id=m.video_id AND f.frame=m.frame AND f.track_id=m.merged_id""",
+    f"""WITH {_TWO}, c AS (SELECT video_id, forward_id, list(backward_id ORDER BY mean_iou DESC, backward_id) AS near, row_number() OVER (PARTITION BY video_id ORDER BY forward_id) AS k FROM p WHERE mean_iou > 0.3e0 GROUP BY video_id, forward_id),
+    s AS (SELECT video_id, k, forward_id, near[1] AS backward_id, [near[1]] AS taken FROM c WHERE k = 1
+      UNION ALL SELECT c.video_id, c.k, c.forward_id, [x for x in c.near if NOT list_contains(s.taken, x)][1], list_append(s.taken, [x for x in c.near if NOT list_contains(s.taken, x)][1]) FROM s JOIN c ON c.video_id = s.video_id AND c.k = s.k + 1)
+    SELECT s.video_id, s.forward_id, s.backward_id, p.mean_iou FROM s JOIN p USING (video_id, forward_id, backward_id)""",
+    det=True,
+    recursive=True,
+)
+def bidir_choose(spark: SparkSession, d: str) -> DataFrame:
+    return tr.choose_pairs(tr.pair_by_overlap(*_two(spark, d)))
+
+
+@query(
+    f"""WITH {_TWO}, q AS (SELECT video_id, forward_id, backward_id FROM p WHERE mean_iou > 0.3e0 AND backward_id = forward_id + 1000),
+    fm AS (SELECT video_id, track_id, row_number() OVER (PARTITION BY video_id ORDER BY min(frame), track_id) AS merged_id FROM f GROUP BY video_id, track_id),
+    nf AS (SELECT video_id, count(*) AS n FROM fm GROUP BY video_id),
+    alone AS (SELECT b.video_id, b.track_id, n + row_number() OVER (PARTITION BY b.video_id ORDER BY max(b.frame) DESC, b.track_id) AS merged_id FROM b JOIN nf ON nf.video_id = b.video_id WHERE NOT EXISTS (FROM q WHERE q.video_id = b.video_id AND q.backward_id = b.track_id) GROUP BY b.video_id, b.track_id, n),
+    bm AS (SELECT q.video_id, q.backward_id AS track_id, fm.merged_id FROM q JOIN fm ON fm.video_id = q.video_id AND fm.track_id = q.forward_id UNION ALL SELECT * FROM alone),
+    fwd AS (SELECT f.* EXCLUDE (track_id), fm.merged_id FROM f JOIN fm USING (video_id, track_id)), bwd AS (SELECT b.* EXCLUDE (track_id), bm.merged_id FROM b JOIN bm USING (video_id, track_id)),
+    m AS (SELECT fwd.video_id, fwd.frame, fwd.merged_id, bwd.x1, bwd.y1, bwd.x2, bwd.y2, 0.4e0 * fwd.score + 0.6e0 * bwd.score AS score, greatest(fwd.state, bwd.state) AS state, greatest(fwd.age, bwd.age) AS age, fwd.frame AS last_seen, fwd.should_blur OR bwd.should_blur AS should_blur, 'merged' AS origin FROM fwd JOIN bwd USING (video_id, frame, merged_id))
+    SELECT video_id, frame, merged_id AS track_id, x1, y1, x2, y2, score, state, age, last_seen, should_blur, origin FROM m
+    UNION ALL SELECT video_id, frame, merged_id, x1, y1, x2, y2, score, state, age, last_seen, should_blur, 'forward' FROM fwd ANTI JOIN m USING (video_id, frame, merged_id)
+    UNION ALL SELECT video_id, frame, merged_id, x1, y1, x2, y2, score, state, age, last_seen, should_blur, 'backward' FROM bwd ANTI JOIN m USING (video_id, frame, merged_id)""",
     det=True,
 )
 def bidir_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -482,7 +520,16 @@ def emb_history3(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "embeddings").select("vec_id", "label", F.array_join(F.collect_list("vec_id").over(last).cast("array<string>"), ",").alias("last3"))
 
 
-@query()
+_UNIT = "[CAST(v AS DOUBLE) / (sqrt(list_sum([CAST(w AS DOUBLE) * CAST(w AS DOUBLE) for w in {0}])) + 1e-8) for v in {0}]"
+_MIX = "[{0}[i] * 0.5e0 + {1}[i] * 0.45e0 for i in range(1, 65)]"
+
+
+@query(
+    f"""WITH u AS (SELECT vec_id, label, embedding, {_UNIT.format("embedding")} AS u0, {_UNIT.format("p1")} AS u1, {_UNIT.format("p2")} AS u2 FROM (SELECT *, lag(embedding, 1) OVER w AS p1, lag(embedding, 2) OVER w AS p2 FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))),
+    m AS (SELECT *, {_MIX.format("u2", "u1")} AS m1 FROM u), r AS (SELECT *, CASE WHEN u2 IS NULL THEN u1 ELSE {_UNIT.format("m1")} END AS r1 FROM m),
+    n AS (SELECT *, {_MIX.format("r1", "u0")} AS m0 FROM r), t AS (SELECT vec_id, label, embedding, CASE WHEN r1 IS NULL THEN u0 ELSE {_UNIT.format("m0")} END AS rep FROM n)
+    SELECT vec_id, label, round({_DOT.format(a="rep", b="embedding")} / ((sqrt({_DOT.format(a="rep", b="rep")})+1e-8)*(sqrt({_DOT.format(a="embedding", b="embedding")})+1e-8)), 6) AS similarity FROM t"""
+)
 def emb_ema(spark: SparkSession, d: str) -> DataFrame:
     """Weighted mean of each label's last three vectors, as its similarity with the newest."""
     last = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-2, 0)
@@ -491,6 +538,18 @@ def emb_ema(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", "label", F.round(V.cosine(rep, F.col("embedding").cast("array<double>")), 6).alias("similarity"))
 
 
+@query(
+    f"""WITH p AS (SELECT a.vec_id, round({_DOT_AB} / ((sqrt({_DOT_AA})+1e-8)*(sqrt({_DOT_BB})+1e-8)), 6) AS similarity FROM embeddings a JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) b ON a.label = b.label
+      JOIN (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) o ON o.vec_id = a.vec_id WHERE b.n BETWEEN o.n - 3 AND o.n - 1)
+    SELECT vec_id, max(similarity) AS best FROM p GROUP BY vec_id"""
+)
+def emb_best_of_history(spark: SparkSession, d: str) -> DataFrame:
+    """The best similarity of each vector with the three before it of its label."""
+    last = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-3, -1)
+    e = S.table(spark, d, "embeddings").withColumn("history", F.collect_list("embedding").over(last)).where(F.size("history") > 0)
+    return e.select("vec_id", F.round(V.best_cosine(F.col("history"), F.col("embedding")), 6).alias("best"))
+
+
 # ---- jobs
 
 
@@ -560,6 +619,32 @@ def model_names(spark: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", X.safe_name(F.col("p_name")).alias("safe"), X.blurred_name(file).alias("output"), size.alias("input_size"))
 
 
+@query("SELECT p_partkey, array_to_string([lower(trim(x)) for x in string_split(p_brand || ' ,, ' || upper(p_type) || ',' || p_name, ',') if trim(x) <> ''], '|') AS classes FROM part")
+def text_class_list(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.col("p_brand"), F.lit(" ,, "), F.upper("p_type"), F.lit(","), F.col("p_name"))
+    return S.table(spark, d, "part").select("p_partkey", F.array_join(X.class_list(text), "|").alias("classes"))
+
+
+@query("SELECT p_partkey, array_to_string([x for x in ['plate', lower(p_brand), 'dog'] if x IN ('head', 'plate', CASE WHEN p_size % 2 = 0 THEN lower(p_brand) ELSE 'cat' END)], '|') AS classes FROM part")
+def text_default_blur(spark: SparkSession, d: str) -> DataFrame:
+    """Of three wanted classes those that a model knows; every second part's brand is one of them."""
+    known = F.array(F.lit("head"), F.lit(" Plate"), F.when(F.col("p_size") % 2 == 0, F.upper("p_brand")).otherwise("cat"))
+    return S.table(spark, d, "part").select("p_partkey", F.array_join(X.default_blur(F.array(F.lit("PLATE "), F.col("p_brand"), F.lit("dog")), known), "|").alias("classes"))
+
+
+@query("SELECT p_partkey, array_to_string([e.v for e in CASE WHEN p_size % 3 = 0 THEN list_sort([{'k': CAST(p_size AS VARCHAR), 'v': p_brand}, {'k': '7x', 'v': p_type}, {'k': '100', 'v': p_name}]) ELSE [{'k': e.k, 'v': e.v} for e in list_sort([{'n': p_size, 'k': CAST(p_size AS VARCHAR), 'v': p_brand}, {'n': 70, 'k': '70', 'v': p_type}, {'n': 100, 'k': '100', 'v': p_name}])] END], '|') AS names FROM part")
+def text_class_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names by number, or by text where one of the ids is none."""
+    ids = F.create_map(F.col("p_size").cast("string"), F.col("p_brand"), F.when(F.col("p_size") % 3 == 0, "7x").otherwise("70"), F.col("p_type"), F.lit("100"), F.col("p_name"))
+    return S.table(spark, d, "part").select("p_partkey", F.array_join(X.class_names(ids), "|").alias("names"))
+
+
+@query("SELECT p_partkey, array_to_string([e.k || '=' || e.v for e in list_sort([{'k': p_brand, 'v': CAST(p_size AS VARCHAR)}, {'k': 'alpha', 'v': p_name}, {'k': 'B', 'v': p_type}])], '|') AS key FROM part")
+def text_cache_key(spark: SparkSession, d: str) -> DataFrame:
+    params = F.create_map(F.col("p_brand"), F.col("p_size").cast("string"), F.lit("alpha"), F.col("p_name"), F.lit("B"), F.col("p_type"))
+    return S.table(spark, d, "part").select("p_partkey", X.cache_key(params).alias("key"))
+
+
 _HALVES = "a AS (SELECT DISTINCT video_id, frame FROM det WHERE object_class = 1), b AS (SELECT DISTINCT video_id, frame FROM det WHERE object_class = 3)"
 
 
@@ -612,8 +697,8 @@ for _name, _kind in (("sort_track", "sort"), ("byte_track", "bytetrack"), ("bot_
 @query()
 def fused_track(spark: SparkSession, d: str) -> DataFrame:
     """Detections carry a vector each, which joins the cost."""
-    e = S.table(spark, d, "embeddings").select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("_v"), "embedding")
-    place = (F.col("video_id") * 7 + F.col("object_class") * 3) % max(e.count(), 1)
+    e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    place = (F.col("video_id") * 7 + F.col("object_class") * 3) % max(e.count(), 1)  # vectors are numbered from 0
     dets = nms.renumber(nms.suppress(S.detections(spark, d))).withColumn("_v", place)
     return trackers.track(dets.join(e, "_v", "left").drop("_v"), "fused")
 
@@ -632,20 +717,28 @@ def linked_track(spark: SparkSession, d: str) -> DataFrame:
     return once.unionByName(tr.fill_gaps(once))
 
 
-def _frames(spark: SparkSession, d: str, width: int = 64, height: int = 48) -> DataFrame:
-    """A frame of one colour for each present frame; the colour follows from its keys."""
+WIDTH, HEIGHT = 32, 24
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    """A small frame for each present one; its colours follow from its keys and change from pixel to pixel."""
     keys = S.detections(spark, d).select("video_id", "frame").distinct()
-    byte = lambda e: F.lpad(F.hex(F.expr(e)), 2, "0")
-    rgb = F.concat(byte("pmod(video_id * 31 + frame, 256)"), byte("pmod(frame * 7, 256)"), byte("pmod(video_id, 256)"))
-    return keys.select("video_id", "frame", F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(F.repeat(rgb, width * height)).alias("pixels"))
+    byte = lambda e: f"lpad(hex(pmod({e}, 256)), 2, '0')"
+    colour = f"concat({byte('video_id * 31 + frame + k * 37')}, {byte('frame * 7 + k * k * 5')}, {byte('video_id + k * 11')})"
+    line = keys.withColumn("line", F.expr(f"array_join(transform(sequence(0L, {WIDTH + HEIGHT - 1}L), k -> {colour}), '')"))
+    rows = F.expr(f"array_join(transform(sequence(0, {HEIGHT - 1}), r -> substring(line, 6 * r + 1, {6 * WIDTH})), '')")
+    return line.select("video_id", "frame", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.unhex(rows).alias("pixels"))
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    x, y, w, h = B.roi(Box.of(), F.lit(WIDTH), F.lit(HEIGHT))
+    wanted = S.detections(spark, d).where("is_confident AND object_class IN (1, 3)")
+    return wanted.select("video_id", "frame", *(v.alias(k) for k, v in zip("xywh", (x, y, w, h), strict=True))).where("w > 0 AND h > 0")
 
 
 def _redacted(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        x, y, w, h = B.roi(Box.of(), F.lit(64), F.lit(48))
-        wanted = S.detections(spark, d).where("is_confident AND object_class IN (1, 3)")
-        rois = wanted.select("video_id", "frame", *(v.alias(k) for k, v in zip("xywh", (x, y, w, h), strict=True))).where("w > 0 AND h > 0")
-        out = pixels.redact(_frames(spark, d), rois, kind, 9)
+        out = pixels.redact(_frames(spark, d), _regions(spark, d), kind, 9)
         return out.select("video_id", "frame", "redacted_pixels", F.sha2("pixels", 256).alias("pixels_sha256"))
 
     return run
@@ -654,6 +747,17 @@ def _redacted(kind: str) -> Query:
 for _kind in pixels.KINDS:
     QUERIES[f"redact_{_kind}"] = _redacted(_kind)
 
+_PIXELS = f"""fr AS (SELECT DISTINCT video_id, frame FROM det),
+    ln AS (SELECT video_id, frame, array_to_string([printf('%02X%02X%02X', (video_id*31 + frame + k*37) % 256, (frame*7 + k*k*5) % 256, (video_id + k*11) % 256) for k in range(0, {WIDTH + HEIGHT})], '') AS line FROM fr),
+    px AS (SELECT video_id, frame, line, unnest(range(0, {WIDTH * HEIGHT})) AS i FROM ln),
+    rg AS (SELECT video_id, frame, round_even(x1*{WIDTH}e0, 0) AS ax, round_even(y1*{HEIGHT}e0, 0) AS ay, round_even(x2*{WIDTH}e0, 0) AS bx, round_even(y2*{HEIGHT}e0, 0) AS by_ FROM det WHERE is_confident AND object_class IN (1, 3)),
+    hit AS (SELECT DISTINCT px.video_id, px.frame, i FROM px JOIN rg ON px.video_id = rg.video_id AND px.frame = rg.frame AND i % {WIDTH} >= ax AND i % {WIDTH} < bx AND i // {WIDTH} >= ay AND i // {WIDTH} < by_)"""
+query(
+    f"WITH {_PIXELS} SELECT px.video_id, px.frame, count(hit.i) AS redacted_pixels, sha256(unhex(string_agg(CASE WHEN hit.i IS NULL THEN substr(line, 6 * (px.i // {WIDTH} + px.i % {WIDTH}) + 1, 6) ELSE '000000' END, '' ORDER BY px.i))) AS pixels_sha256 FROM px LEFT JOIN hit ON hit.video_id = px.video_id AND hit.frame = px.frame AND hit.i = px.i GROUP BY px.video_id, px.frame",
+    det=True,
+    name="redact_blackout",
+)(_redacted("blackout"))
+
 
 @query(
     _nms_sql("video_id, frame, object_class", "k AS (SELECT video_id, frame, object_class, unnest(kept).det_id AS det_id FROM f), d2 AS (SELECT det.* FROM det JOIN k USING (video_id, frame, object_class, det_id) WHERE object_class IN (1, 3)), ")

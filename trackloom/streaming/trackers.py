@@ -15,9 +15,11 @@ def track_stream(dets: DataFrame, kind: str = "sort", settings_: trackers.Settin
     """Tracks of a stream of detections, keyed by ``video_id``; rows are those of the batch tracker.
 
     A micro-batch must hold whole frames, a video's frames in rising order over the batches. Frames that were
-    already passed are dropped. Set ``forget_after`` so that tracks out of sight leave the state.
+    already passed are dropped. Set ``forget_after`` so that tracks out of sight leave the state. An ``embedding``
+    column is used as in the batch.
     """
-    s = settings_ or trackers.settings(kind, forget_after=300)
+    kind = kind.lower()
+    s, columns = settings_ or trackers.settings(kind, forget_after=300), trackers.input_columns(dets, kind)
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, blob = state.get if state.exists else (-1, None)
@@ -25,11 +27,11 @@ def track_stream(dets: DataFrame, kind: str = "sort", settings_: trackers.Settin
         rows = pd.concat(list(parts)).sort_values(["frame", "det_id"], kind="stable")
         out = []
         for frame, of_frame in rows[rows["frame"] > last].groupby("frame", sort=True):
-            found = trackers.step(kind, s, t, int(frame), trackers._frame_of({c: of_frame[c].to_numpy() for c in trackers._INPUT}))
+            found = trackers.step(kind, s, t, int(frame), trackers._frame_of({c: of_frame[c].to_numpy() for c in columns}))
             out += trackers._rows_of(int(key[0]), int(frame), found)
             last = int(frame)
         state.update((last, trackers.dump(t)))
         names = [c.strip().split(" ")[0] for c in trackers.OUTPUT.split(",")]
         yield pd.DataFrame(out, columns=names)
 
-    return dets.select(*trackers._INPUT).groupBy("video_id").applyInPandasWithState(advance, trackers.OUTPUT, "last long, tracks binary", "append", GroupStateTimeout.NoTimeout)
+    return dets.select(*columns).groupBy("video_id").applyInPandasWithState(advance, trackers.OUTPUT, "last long, tracks binary", "append", GroupStateTimeout.NoTimeout)
