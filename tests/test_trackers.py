@@ -344,3 +344,63 @@ def test_vectors_join_the_cost_of_both_kinds(spark):
         for r in kept:
             side.setdefault(r.track_id, []).append((r.frame, r.x1))
         assert len(side) == 2 and all(len({round(x, 3) for _, x in v}) > 1 for v in side.values())
+
+
+def video_file(n, w=8, h=6):
+    rng = np.random.default_rng(n)
+    return f"YUV4MPEG2 W{w} H{h} F10:1 C444\n".encode() + b"".join(b"FRAME\n" + rng.integers(16, 235, 3 * w * h, np.uint8).tobytes() for _ in range(n))
+
+
+def test_frames_by_number_batches_and_kind_of_file(spark, tmp_path):
+    (tmp_path / "a.y4m").write_bytes(video_file(7))
+    path = str(tmp_path / "a.y4m")
+    every = {r.frame: r.pixels for r in frames_io.read_videos(spark, path, batch_size=3).collect()}
+    assert sorted(every) == list(range(7)) and every[0] != every[6]
+    assert {r.frame: r.pixels for r in frames_io.read_videos(spark, path, frames=[6, 2, 99, -1]).collect()} == {2: every[2], 6: every[6]}
+    assert [r.pixels for r in frames_io.read_videos(spark, path, pixels=False).collect()] == [None] * 7
+    with pytest.raises(ValueError):
+        frames_io.read_videos(spark, path, batch_size=0)
+    with pytest.raises(FileNotFoundError):
+        frames_io.read_media(spark, str(tmp_path / "b.png"))
+    assert frames_io.read_media(spark, path).count() == 7
+    made = frames_io.images(frames_io.read_videos(spark, path, frames=[2])).first()
+    (tmp_path / "c.png").write_bytes(made.content)
+    assert frames_io.read_media(spark, str(tmp_path / "c.png")).first().pixels == every[2]
+
+
+def test_patches():
+    from trackloom.operators import embed
+
+    image = np.arange(90, dtype=np.uint8).reshape(6, 5, 3)
+    assert (embed.channel_last(np.moveaxis(image, 2, 0)) == image).all() and embed.channel_last(image) is image
+    assert embed.rgb(np.full((2, 2), 300.0)).tolist() == [[[255] * 3] * 2] * 2
+    assert embed.rgb(np.dstack([image, image])).tolist() == image.tolist()
+    assert (embed.crop(image, -1, 1, 3, 9) == image[1:, :2]).all() and embed.crop(image, 5, 0, 2, 2) is None
+    assert np.allclose(embed.patch(image, 6, 5), np.moveaxis(image, 2, 0) / 255)
+
+
+def test_vectors_of_boxes(spark):
+    """The mean colour as a model: boxes of a frame, of the last frame before, and of none."""
+    from trackloom.operators import embed
+
+    image = lambda v: bytearray(bytes([v, 0, 255 - v]) * 20)
+    shown = spark.createDataFrame([(1, 0, 5, 4, image(10)), (1, 3, 5, 4, image(200)), (2, 5, 5, 4, image(7))], "video_id long, frame long, width int, height int, pixels binary")
+    boxes = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.5, 0.5, "a"), (1, 2, 0.2, 0.2, 0.9, 1.0, "b"), (1, 4, 0.0, 0.0, 1.0, 1.0, "c"), (2, 4, 0.0, 0.0, 1.0, 1.0, "d"), (2, 5, 2.0, 2.0, 3.0, 3.0, "e"), (1, 2, 0.0, 0.0, 1.0, 1.0, "f")], "video_id long, frame long, x1 double, y1 double, x2 double, y2 double, name string")
+    got = {r.name: r.embedding for r in embed.embed(boxes, shown, lambda: lambda batch: batch.mean(axis=(2, 3)), 3, 2, batch_size=2).collect()}
+    want = {"a": 10, "b": 10, "c": 200, "f": 10}
+    assert set(got) == set("abcdef") and got["d"] is None and got["e"] is None
+    assert all(np.allclose(np.array(got[k]) * 255, [v, 0, 255 - v], atol=1e-3) for k, v in want.items())
+
+
+def test_models_and_their_notes(spark, tmp_path):
+    from trackloom.schema import CLASSES
+    from trackloom.sources import models
+
+    for name, note in {"one": '{"classes": {"10": "c", "2": "Plate"}, "default_blur": ["plate", "x"]}', "two": '{"classes": ["head", "dog"]}', "three": "not json", "four": None, "five": '{"default_blur": "HEAD"}'}.items():
+        (tmp_path / f"{name}.onnx").write_bytes(b"12345")
+        if note is not None:
+            (tmp_path / f"{name}.classes.json").write_text(note)
+    got = {r.name: r for r in models.listing(spark, str(tmp_path), ("two",)).collect()}
+    assert {k: (r.filename, r.size_bytes, r.immutable) for k, r in got.items()} == {k: (f"{k}.onnx", 5, k == "two") for k in ("one", "two", "three", "four", "five")}
+    usual = [c for c in CLASSES if c in ("plate", "head")]
+    assert {k: (r.classes, r.default_blur) for k, r in got.items()} == {"one": (["Plate", "c"], ["Plate"]), "two": (["head", "dog"], ["head"]), "three": (list(CLASSES), usual), "four": (list(CLASSES), usual), "five": (list(CLASSES), ["head"])}

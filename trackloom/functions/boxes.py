@@ -135,6 +135,20 @@ def clamp_pixels(x, y, w, h, width, height) -> tuple[Column, Column, Column, Col
     return tuple(F.when(there, v) for v in (x1, y1, x2 - x1, y2 - y1))
 
 
+def pixel_box(x, y, w, h, width, height) -> tuple[Column, Column, Column, Column]:
+    """Whole pixels ``x, y, w, h`` of a relative box given by corner and size, cut at the frame; null where nothing is left."""
+    put = [F.bround(_c(v) * _c(n)).cast("int") for v, n in ((x, width), (y, height), (w, width), (h, height))]
+    left, top = clip(put[0], 0, _c(width)), clip(put[1], 0, _c(height))
+    w, h = clip(put[2], 0, _c(width) - left), clip(put[3], 0, _c(height) - top)
+    return tuple(F.when((w > 0) & (h > 0), v) for v in (left, top, w, h))
+
+
+def relative_box(x, y, w, h, width, height) -> tuple[Column, Column, Column, Column]:
+    """A pixel box by corner and size in shares of the frame; null for a frame without size."""
+    there = (_c(width) > 0) & (_c(height) > 0)
+    return tuple(F.when(there, _c(v) / _c(n)) for v, n in ((x, width), (y, height), (w, width), (h, height)))
+
+
 def inflate(x, y, w, h, scale: float, width, height) -> tuple[Column, ...]:
     """A pixel box grown about its centre and cut at the frame; the box itself where nothing is left."""
     grown = [_c(v) * scale for v in (w, h)]

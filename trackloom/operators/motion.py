@@ -26,8 +26,10 @@ class Filters:
         self.mean, self.cov = np.zeros((n, 8)), np.tile([START, 0.0, START], (n, 1))
 
     def add(self, tlwh: np.ndarray) -> None:
-        self.mean = np.vstack([self.mean, np.r_[to_xyah(tlwh), np.zeros(4)]])
-        self.cov = np.vstack([self.cov, [START, 0.0, START]])
+        """A filter for each box; one box may come without the outer dimension."""
+        boxes = np.atleast_2d(tlwh)
+        self.mean = np.concatenate([self.mean, np.concatenate([to_xyah(boxes), np.zeros((len(boxes), 4))], axis=1)])
+        self.cov = np.concatenate([self.cov, np.tile([START, 0.0, START], (len(boxes), 1))])
 
     def keep(self, which: np.ndarray) -> None:
         self.mean, self.cov = self.mean[which], self.cov[which]
@@ -46,9 +48,6 @@ class Filters:
         self.mean[i, 4:] += turn * miss
         self.cov[i] = [(1 - gain) * p, (1 - gain) * c, v - turn * c]
 
-    def boxes(self) -> np.ndarray:
-        return to_tlwh(self.mean[:, :4])
-
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) with the least total cost; as many as the shorter side has.

@@ -115,13 +115,15 @@ class Tracks:
     next_id: int = 1
     centres: np.ndarray | None = None
 
-    def add(self, tlwh: np.ndarray, score: float, frame: int) -> None:
+    def add(self, tlwh: np.ndarray, score: np.ndarray, frame: int) -> None:
+        """A track for each box, in order."""
+        k = len(tlwh)
         self.filters.add(tlwh)
-        self.smooth = np.vstack([self.smooth, tlwh])
-        fresh = {"id": self.next_id, "hits": 1, "misses": 0, "age": 1, "seen": frame, "hidden": 0, "score": score}
-        self.number = {c: np.append(v, fresh[c]) for c, v in self.number.items()}
-        self.extra.append({"last": tlwh, "at": frame})
-        self.next_id += 1
+        self.smooth = np.concatenate([self.smooth, tlwh])
+        fresh = {"id": np.arange(self.next_id, self.next_id + k), "hits": 1, "misses": 0, "age": 1, "seen": frame, "hidden": 0, "score": score}
+        self.number = {c: np.concatenate([v, np.broadcast_to(fresh[c], k)]) for c, v in self.number.items()}
+        self.extra += [{"last": box, "at": frame} for box in tlwh]
+        self.next_id += k
 
     def keep(self, which: np.ndarray) -> None:
         self.filters.keep(which)
@@ -238,10 +240,12 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
     n["hidden"][missed[gone]] = 1
     alive = missed[~gone]
     t.smooth[alive] = s.smooth * to_tlwh(t.filters.mean[alive, :4]) + (1 - s.smooth) * t.smooth[alive]
-    for d in np.flatnonzero(pools[rules.start] & free_det):
-        t.add(f.tlwh[d], float(f.score[d]), frame)
-        if f.embedding:
-            _remember(t.extra[-1], f.embedding[d], float(f.score[d]))
+    fresh = np.flatnonzero(pools[rules.start] & free_det)
+    if len(fresh):
+        t.add(f.tlwh[fresh], f.score[fresh], frame)
+        for e, d in zip(t.extra[-len(fresh) :], fresh, strict=True):
+            if f.embedding:
+                _remember(e, f.embedding[d], float(f.score[d]))
     if s.camera:
         t.centres = f.tlwh[:, :2] + f.tlwh[:, 2:] / 2
     n = t.number

@@ -106,6 +106,26 @@ def box_absolute_roi(spark: SparkSession, d: str) -> DataFrame:
     return _boxes(spark, d, {"x": x, "y": y, "w": w, "h": h}).where("w > 0 AND h > 0")
 
 
+@query(
+    """WITH p AS (SELECT video_id, frame, det_id, least(greatest(CAST(round_even((x1*1.4e0-0.2e0)*640e0, 0) AS INT), 0), 640) AS x, least(greatest(CAST(round_even((y1*1.4e0-0.2e0)*480e0, 0) AS INT), 0), 480) AS y, CAST(round_even((x2-x1)*640e0, 0) AS INT) AS w0, CAST(round_even((y2-y1)*480e0, 0) AS INT) AS h0 FROM det),
+    c AS (SELECT *, CAST(least(greatest(w0, 0), 640 - x) AS INT) AS w, CAST(least(greatest(h0, 0), 480 - y) AS INT) AS h FROM p)
+    SELECT video_id, frame, det_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, w, h FROM c WHERE w > 0 AND h > 0""",
+    det=True,
+)
+def box_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes by corner and size, some of them partly outside, in whole pixels of the frame."""
+    x, y = (F.col(c) * 1.4 - 0.2 for c in ("x1", "y1"))
+    got = B.pixel_box(x, y, F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(640), F.lit(480))
+    return _boxes(spark, d, {k: v.cast("int") for k, v in zip("xywh", got, strict=True)}).where("x IS NOT NULL")
+
+
+@query("SELECT video_id, frame, det_id, CASE WHEN det_id > 0 THEN x1*100e0/det_id END AS x, CASE WHEN det_id > 0 THEN y1*100e0/48e0 END AS y, CASE WHEN det_id > 0 THEN (x2-x1)*100e0/det_id END AS w, CASE WHEN det_id > 0 THEN (y2-y1)*100e0/48e0 END AS h FROM det", det=True)
+def box_relative(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel boxes in shares of frames of many widths, none for a frame of width 0."""
+    size = [F.col("x1") * 100, F.col("y1") * 100, (F.col("x2") - F.col("x1")) * 100, (F.col("y2") - F.col("y1")) * 100]
+    return _boxes(spark, d, dict(zip("xywh", B.relative_box(*size, F.col("det_id"), F.lit(48)), strict=True)))
+
+
 @query(
     """WITH p AS (SELECT video_id, frame, det_id, CAST(round_even(x1*1920e0, 0) AS INT) AS x, CAST(round_even(y1*1080e0, 0) AS INT) AS y, CAST(round_even(x2*1920e0, 0) AS INT) - CAST(round_even(x1*1920e0, 0) AS INT) AS w, CAST(round_even(y2*1080e0, 0) AS INT) - CAST(round_even(y1*1080e0, 0) AS INT) AS h FROM det),
     g AS (SELECT *, CAST(round_even(x + w/2e0 - w*1.3e0/2e0, 0) AS INT) AS gx, CAST(round_even(y + h/2e0 - h*1.3e0/2e0, 0) AS INT) AS gy, CAST(round_even(w*1.3e0, 0) AS INT) AS gw, CAST(round_even(h*1.3e0, 0) AS INT) AS gh FROM p WHERE w > 0 AND h > 0)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,11 @@ def _to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
 
 
-def decode(data: bytes) -> Iterator[tuple[int, float, int, int, bytes]]:
-    """Number, time in seconds, width, height and RGB pixels of each frame of a 4:2:0 or 4:4:4 stream."""
+def decode(data: bytes, wanted: Callable[[int], bool] = lambda n: True) -> Iterator[tuple[int, float, int, int, bytes | None]]:
+    """Number, time in seconds, width, height and RGB pixels of each frame of a 4:2:0 or 4:4:4 stream.
+
+    Frames that aren't wanted are stepped over and have no pixels.
+    """
     head, at = _header(data)
     w, h = int(head["W"]), int(head["H"])
     rate, base = (int(x) for x in head.get("F", "25:1").split(":"))
@@ -38,6 +43,10 @@ def decode(data: bytes) -> Iterator[tuple[int, float, int, int, bytes]]:
         at = data.index(b"\n", at) + 1
         raw = np.frombuffer(data, np.uint8, size, at)
         at += size
+        if not wanted(n):
+            yield n, n * base / rate, w, h, None
+            n += 1
+            continue
         y, u, v = raw[: w * h].reshape(h, w), raw[w * h : w * h + cw * ch].reshape(ch, cw), raw[w * h + cw * ch :].reshape(ch, cw)
         if not full:
             u, v = (p.repeat(2, axis=0).repeat(2, axis=1)[:h, :w] for p in (u, v))
@@ -45,28 +54,67 @@ def decode(data: bytes) -> Iterator[tuple[int, float, int, int, bytes]]:
         n += 1
 
 
-def read_videos(spark: SparkSession, path: str, pixels: bool = True) -> DataFrame:
+def read_videos(spark: SparkSession, path: str, pixels: bool = True, frames: Sequence[int] | None = None, batch_size: int = 16) -> DataFrame:
     """Frames of YUV4MPEG2 files; ``video_id`` is the hash of a file's path. Without pixels it is a scan of positions.
 
-    A file is one row until it is decoded, so long videos belong in segments.
+    ``frames`` names those to read: the others are stepped over, and numbers that a video lacks give no rows. Frames
+    leave a task ``batch_size`` at a time, the last ones in a smaller batch. A file is one row until it is decoded, so
+    long videos belong in segments.
     """
+    if batch_size < 1:
+        raise ValueError("a batch holds at least one frame")
     files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("video_id"), "content")
+    asked = None if frames is None else frozenset(frames)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         names = ["video_id", "frame", "pts", "width", "height", "pixels"]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary()]
+        some = lambda n: asked is None or n in asked
         for batch in batches:
             for video, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, t, w, h, rgb in decode(data):
-                    row = (video, n, t, w, h, rgb if pixels else None)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+                rows = ((video, *r) for r in decode(data, lambda n: pixels and some(n)) if some(r[0]))
+                while part := list(islice(rows, batch_size)):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return files.mapInArrow(run, FRAME)
 
 
+#: Suffixes of image files; anything else is read as video.
+IMAGES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
+
+
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of a path: images by suffix, otherwise video. A path that isn't there raises."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise FileNotFoundError(path)
+    return read_images(spark, path) if path.lower().endswith(IMAGES) else read_videos(spark, path)
+
+
+def png(pixels: bytes, width: int, height: int) -> bytes:
+    """An RGB image as a PNG file."""
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 2, 0, 0, 0])
+    lines = b"".join(b"\0" + pixels[y * width * 3 : (y + 1) * width * 3] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def images(frames: DataFrame) -> DataFrame:
+    """``video_id, frame, content``: each frame as a PNG file; null where there are no pixels."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = zip(*(batch.column(c).to_pylist() for c in ("pixels", "width", "height")), strict=True)
+            made = [None if p is None else png(p, w, h) for p, w, h in found]
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame"), pa.array(made, pa.binary())], names=["video_id", "frame", "content"])
+
+    return frames.select("video_id", "frame", "width", "height", "pixels").mapInArrow(run, "video_id long, frame long, content binary")
+
+
 def describe(frames: DataFrame) -> DataFrame:
     """Size, frames, rate and length of each video."""
     made = frames.groupBy("video_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), (F.max("frame") + 1).alias("frame_count"), F.max("pts").alias("_last"))
