@@ -33,7 +33,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, *keys: str) -> DataFrame:
 
     Returns the key columns, ``host``, ``day``, ``lists`` (names, sorted, comma-joined; empty if none), ``n_entries``
     in force, ``since`` (start of the oldest) and ``blocked``. A URL without host or a null date meets no entry.
-    One row for each capture, repeated rows too; other columns are left out.
+    One row for each capture, repeated rows and null keys too; other columns are left out.
 
     Captures are reduced to distinct pairs of host and day before they meet the list, so a frequent host costs a row
     a day; a host has as many parent domains as labels. Both joins are on keys with sizes known only at run time,
@@ -75,7 +75,7 @@ def sample_lists(pages: DataFrame) -> DataFrame:
 
 def fetched(page_id: Column) -> Column:
     """A fetch day within a year for each page: the table has none."""
-    return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(page_id * 7919, F.lit(366)).cast("int"))
+    return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.pmod(page_id, F.lit(366)) * 7919, F.lit(366)).cast("int"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
