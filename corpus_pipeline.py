@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each one of the operators in ``trackloom.llm``.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before it kept. Nulls, empty and
-repeated rows are treated as the operators' docstrings say; columns beyond those of ``documents`` go through.
+repeated rows are treated as the operators' docstrings say. All stages but the last keep the columns of their input,
+those beyond the columns of ``documents`` too; the last one gives ids in place of the text.
 """
 
 from __future__ import annotations
@@ -51,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What a stage keeps is written to the shared folder and read by the next."""
+    """All stages over ``documents``. What a stage keeps is written to the shared folder and read by the next; then
+    what it read itself is deleted."""
     docs, path = common.table(spark, sf_dir, "documents"), common.shared_dir(spark)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.keep(docs, f"{path}/{i}-{name}")
+        if 0 < i < len(STAGES) - 1:
+            common.forget(spark, f"{path}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
