@@ -261,3 +261,41 @@ def test_settings_are_those_of_the_plain_loops():
     for kind, rule in RULES.items():
         s = trackers.settings(kind)
         assert (s.confirm_after, s.max_misses, s.smooth, s.dilate) == (rule["confirm"], rule["misses"], rule["smooth"], 0.2)
+
+
+def test_links_follow_a_plain_loop(spark):
+    """The best pair links, then the best of those left, until none is; ids count by the start of what was joined."""
+    from trackloom.operators import link
+
+    rng, rows = np.random.default_rng(6), []
+    for video in (1, 2):
+        for thing in range(6):  # side by side and alike, so fragments of one may go on in another
+            at, number = np.array([0.1, 0.1 + 0.004 * thing]), thing
+            for frame in range(60):
+                if frame % 15 == 11 and rng.random() < 0.9:
+                    number += 10
+                if frame % 15 < 11 or rng.random() < 0.2:
+                    x, y = (at + rng.normal(0, 2e-4, 2)).tolist()
+                    rows.append((video, frame, number, x, y, x + 0.05, y + 0.05))
+                at = at + [0.004, 0.0002]
+    found = spark.createDataFrame(rows, "video_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double").cache()
+    pairs = [tuple(r) for r in link.scored_pairs(found).select("video_id", "prev_id", "next_id", "error", "bend").collect()]
+    starts = {(r.video_id, r.track_id): r.s for r in found.groupBy("video_id", "track_id").agg(F.min("frame").alias("s")).collect()}
+    got = {(r.video_id, r.track_id): r.new_id for r in link.link(found).collect()}
+    assert set(got) == set(starts) and len(pairs) > 20
+    joined, left = {}, list(pairs)
+    while left:
+        best = min(left, key=lambda p: (p[3], p[4], p[1], p[2]))
+        joined[best[0], best[2]] = best[0], best[1]
+        left = [p for p in left if p[0] != best[0] or p[1] != best[1] and p[2] != best[2]]
+
+    def root(k):
+        return root(joined[k]) if k in joined else k
+
+    for video in {v for v, _ in starts}:
+        own = defaultdict(list)
+        for k, s in starts.items():
+            if k[0] == video:
+                own[root(k)].append(s)
+        order = sorted(own, key=lambda r: (min(own[r]), r[1]))
+        assert {k: order.index(root(k)) + 1 for k in starts if k[0] == video} == {k: n for k, n in got.items() if k[0] == video}

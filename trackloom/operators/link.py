@@ -78,26 +78,38 @@ def link(tracks: DataFrame, max_gap: int = MAX_GAP, gate: float = 0.4, frame_gat
     The best pair links first: least error, then least bend, then ids. Both scores look at no more than the ends of
     a fragment, and a fragment that may link has more observations than that, so links made don't change the scores
     of the pairs left; what a link takes away is the end of one fragment and the start of another. So the pairs of
-    a video, few next to its observations, are walked once in order of score.
+    a video are walked once in order of score; a task holds the links of one video.
     """
     pairs = scored_pairs(tracks, max_gap, gate, frame_gate)
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-        ended: set[int] = set()
-        for r in rows.sort_values(["error", "bend", "prev_id", "next_id"]).itertuples():
-            if r.prev_id not in ended and r.next_id not in parent:
-                ended.add(r.prev_id)
-                parent[r.next_id] = r.prev_id
-        out = []
-        for track in parent:
-            root = track
-            while root in parent:
-                root = parent[root]
-            out.append((rows["video_id"].iloc[0], track, root))
-        return pd.DataFrame(out, columns=["video_id", "track_id", "root"])
-
-    roots = pairs.groupBy(tr.VIDEO).applyInPandas(chain, "video_id long, track_id long, root long")
+    order = ["error", "bend", "prev_id", "next_id"]
+    ordered = pairs.repartition(tr.VIDEO).sortWithinPartitions(tr.VIDEO, *order).select(tr.VIDEO, "prev_id", "next_id")
+
+    def chain(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        video, parent, ended = None, {}, set()
+
+        def roots() -> pa.RecordBatch:
+            out = []
+            for track in parent:
+                root = track
+                while root in parent:
+                    root = parent[root]
+                out.append((video, track, root))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 3], names=["video_id", "track_id", "root"])
+
+        for batch in batches:
+            for v, before, after in zip(*(batch.column(c).to_pylist() for c in (tr.VIDEO, "prev_id", "next_id")), strict=True):
+                if v != video:
+                    yield roots()
+                    video, parent, ended = v, {}, set()
+                if before not in ended and after not in parent:
+                    ended.add(before)
+                    parent[after] = before
+        yield roots()
+
+    roots = ordered.mapInArrow(chain, "video_id long, track_id long, root long")
     starts = tracks.groupBy(*tr.TRACK).agg(F.min("frame").alias("start_frame"))
     rooted = starts.join(roots, list(tr.TRACK), "left").withColumn("root", F.coalesce("root", "track_id"))
     first = rooted.groupBy(tr.VIDEO, "root").agg(F.min("start_frame").alias("s"))
