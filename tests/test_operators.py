@@ -142,3 +142,18 @@ def test_sql_functions(spark):
     assert len(sql.register(spark)) == 4
     r = spark.sql("SELECT box_iou(0, 0, 20, 20, 5, 5, 20, 20) AS i, box_iou(0, 0, 0, 0, 0, 0, 0, 0) AS z, box_distance(0, 0, 2, 2, 3, 4, 5, 6) AS d, score_pool(0.3, 0.1, 0.5) AS p, clipped_sigmoid(0) AS s").first()
     assert tuple(r) == (225 / 400, 0, 5, "low", 0.5)
+
+
+def test_table_functions_for_sql(spark):
+    from trackloom.functions import sql
+    from trackloom.operators import trackers
+    from trackloom.sources import tables
+
+    assert sql.register_tables(spark) == ["track", "nms"]
+    dets = tables.detections(spark, DATA).where("video_id < 3")
+    dets.createOrReplaceTempView("some_detections")
+    kept = spark.sql("SELECT * FROM nms(TABLE(some_detections) PARTITION BY (video_id, frame, object_class) ORDER BY (confidence DESC, det_id DESC), 0.3e0)")
+    want = nms.suppress(dets).select("video_id", "frame", "det_id")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
+    got = spark.sql("SELECT * FROM track(TABLE(some_detections) PARTITION BY video_id ORDER BY (frame, det_id), 'ByteTrack')")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, trackers.track(dets, "bytetrack").collect()))

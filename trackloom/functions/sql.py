@@ -21,3 +21,57 @@ def register(spark: SparkSession) -> list[str]:
     for name, (arguments, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     return list(FUNCTIONS)
+
+
+def register_tables(spark: SparkSession) -> list[str]:
+    """Table functions ``track`` and ``nms`` for SQL text; returns their names.
+
+    ``SELECT * FROM track(TABLE(dets) PARTITION BY video_id ORDER BY (frame, det_id), 'bytetrack')`` gives the rows of
+    :func:`trackers.track`; ``nms(TABLE(dets) PARTITION BY (video_id, frame, object_class) ORDER BY (confidence DESC,
+    det_id DESC), 0.3e0)`` the ``video_id, frame, det_id`` of the boxes that :func:`nms.suppress` keeps. The partitioning is the
+    caller's, as in the operators: a call holds one video's tracks, or one group's kept boxes. Columns are found by name.
+    Whole tables go faster through the operators.
+    """
+    import numpy as np
+    from pyspark.sql.functions import udtf
+
+    from trackloom.operators import motion, trackers
+
+    @udtf(returnType=trackers.OUTPUT)
+    class Track:
+        def __init__(self) -> None:
+            self.state, self.rows, self.video, self.frame, self.kind = trackers.Tracks(), [], None, None, "sort"
+
+        def _step(self):
+            columns = {c: np.array([r[c] for r in self.rows]) for c in ("x1", "y1", "x2", "y2", "confidence")}
+            columns["is_confident"] = np.array([r["is_confident"] is not False for r in self.rows])
+            found = trackers.step(self.kind, trackers.settings(self.kind), self.state, self.frame, trackers._frame_of(columns))
+            self.rows = []
+            yield from trackers._rows_of(self.video, self.frame, found)
+
+        def eval(self, row, kind: str = "sort"):
+            self.kind = kind.lower()
+            if self.rows and row["frame"] != self.frame:
+                yield from self._step()
+            self.video, self.frame = row["video_id"], row["frame"]
+            self.rows.append(row.asDict())
+
+        def terminate(self):
+            if self.rows:
+                yield from self._step()
+
+    @udtf(returnType="video_id long, frame long, det_id long")
+    class Suppress:
+        def __init__(self) -> None:
+            self.kept = np.zeros((0, 4))
+
+        def eval(self, row, threshold: float = 0.3):
+            box = np.array([[row["x1"], row["y1"], row["x2"] - row["x1"], row["y2"] - row["y1"]]])
+            if not (motion.overlaps(box, self.kept) > threshold).any():
+                self.kept = np.concatenate([self.kept, box])
+                yield row["video_id"], row["frame"], row["det_id"]
+
+    found = {"track": Track, "nms": Suppress}
+    for name, function in found.items():
+        spark.udtf.register(name, function)
+    return list(found)
