@@ -156,11 +156,22 @@ def inflate(x, y, w, h, scale: float, width, height) -> tuple[Column, ...]:
     return tuple(F.coalesce(m, _c(v)) for m, v in zip(made, (x, y, w, h), strict=True))
 
 
-def letterbox(width, height, size: int) -> dict[str, Column]:
-    """Scale, rounded new size and right/bottom padding that fit an image into a square."""
-    r = F.least(F.lit(float(size)) / _c(width), F.lit(float(size)) / _c(height))
-    w, h = F.bround(_c(width) * r).cast("int"), F.bround(_c(height) * r).cast("int")
-    return {"ratio": r, "new_width": w, "new_height": h, "pad_right": F.lit(size) - w, "pad_bottom": F.lit(size) - h, "scale_x": w / _c(width), "scale_y": h / _c(height)}
+def letterbox(width, height, size: int, *, stride: int | None = None, fill: bool = False, enlarge: bool = True) -> dict[str, Column]:
+    """Scale, rounded new size and right/bottom padding that fit an image into a square; null for an image without size.
+
+    With a ``stride`` the padding is only what is left over it, else ``fill`` stretches the image to the square.
+    Without ``enlarge`` a small image keeps its size.
+    """
+    width, height = (F.when((_c(width) > 0) & (_c(height) > 0), _c(v)) for v in (width, height))
+    r = F.least(F.lit(float(size)) / width, F.lit(float(size)) / height, *[] if enlarge else [F.lit(1.0)])
+    w, h = F.bround(width * r).cast("int"), F.bround(height * r).cast("int")
+    pad = [F.lit(size) - w, F.lit(size) - h]
+    if stride:
+        pad = [F.pmod(p, F.lit(stride)) for p in pad]
+    elif fill:
+        w, h = (F.when(v.isNotNull(), F.lit(size)) for v in (width, height))
+        pad = [F.when(v.isNotNull(), F.lit(0)) for v in (width, height)]
+    return {"ratio": r, "new_width": w, "new_height": h, "pad_right": pad[0], "pad_bottom": pad[1], "scale_x": w / width, "scale_y": h / height}
 
 
 def downscale(width, height, size: int) -> dict[str, Column]:

@@ -201,6 +201,20 @@ def letterbox_geometry(spark: SparkSession, d: str) -> DataFrame:
     return _images(spark, d).select("p_partkey", *(v.alias(k) for k, v in B.letterbox("w", "h", 640).items()))
 
 
+@query(
+    """WITH i AS (SELECT p_partkey, CAST(320+(p_partkey*37)%1600 AS DOUBLE) AS w, CAST(240+(p_partkey*53)%900 AS DOUBLE) AS h FROM part), r AS (SELECT *, least(640e0/w, 640e0/h) AS r, least(640e0/w, 640e0/h, 1e0) AS s FROM i),
+    n AS (SELECT *, CAST(round_even(w*r,0) AS INT) AS rw, CAST(round_even(h*r,0) AS INT) AS rh, CAST(round_even(w*s,0) AS INT) AS sw, CAST(round_even(h*s,0) AS INT) AS sh FROM r)
+    SELECT p_partkey, 'stride' AS mode, rw AS new_width, rh AS new_height, (640 - rw) % 32 AS pad_right, (640 - rh) % 32 AS pad_bottom, rw/w AS scale_x, rh/h AS scale_y FROM n
+    UNION ALL SELECT p_partkey, 'fill', 640, 640, 0, 0, 640/w, 640/h FROM n
+    UNION ALL SELECT p_partkey, 'keep', sw, sh, 640 - sw, 640 - sh, sw/w, sh/h FROM n"""
+)
+def letterbox_options(spark: SparkSession, d: str) -> DataFrame:
+    """Padding to a stride, stretching, and small images left at their size."""
+    modes = {"stride": {"stride": 32}, "fill": {"fill": True}, "keep": {"enlarge": False}}
+    made = [_images(spark, d).select("p_partkey", F.lit(m).alias("mode"), *(v.alias(k) for k, v in B.letterbox("w", "h", 640, **how).items() if k != "ratio")) for m, how in modes.items()]
+    return made[0].union(made[1]).union(made[2])
+
+
 def _images(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
     return S.table(spark, d, "part").select("p_partkey", (320 + key * 37 % 1600).alias("w"), (240 + key * 53 % 900).alias("h"))
@@ -700,7 +714,8 @@ def mask_area_union(spark: SparkSession, d: str) -> DataFrame:
     return pixels.mask_area(S.detections(spark, d), 32)
 
 
-# ---- trackers, links and redaction: no SQL says them; tests hold them against plain loops
+# ---- trackers, links and redaction: SQL says only the plain redaction. tests/test_plain_loops.py holds sort, bytetrack,
+# botsort, oc_sort, the links' order and all redactions against plain loops; fused and hybrid_sot have scenarios
 
 
 def _tracked(kind: str) -> Query:
@@ -710,17 +725,28 @@ def _tracked(kind: str) -> Query:
     return run
 
 
-for _name, _kind in (("sort_track", "sort"), ("byte_track", "bytetrack"), ("bot_track", "botsort"), ("oc_track", "oc_sort"), ("hybrid_track", "hybrid_sot")):
+for _name, _kind in (("sort_track", "sort"), ("byte_track", "bytetrack"), ("bot_track", "botsort"), ("oc_track", "oc_sort")):
     QUERIES[_name] = _tracked(_kind)
 
 
-@query()
-def fused_track(spark: SparkSession, d: str) -> DataFrame:
-    """Detections carry a vector each, which joins the cost."""
+def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The detections after suppression, a vector each."""
     e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
     place = (F.col("video_id") * 7 + F.col("object_class") * 3) % max(e.count(), 1)  # vectors are numbered from 0
     dets = nms.renumber(nms.suppress(S.detections(spark, d))).withColumn("_v", place)
-    return trackers.track(dets.join(e, "_v", "left").drop("_v"), "fused")
+    return dets.join(e, "_v", "left").drop("_v")
+
+
+@query()
+def fused_track(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors join the cost."""
+    return trackers.track(_with_vectors(spark, d), "fused")
+
+
+@query()
+def hybrid_track(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors join the cost; no pictures."""
+    return trackers.track(_with_vectors(spark, d), "hybrid_sot")
 
 
 @query()
@@ -779,6 +805,22 @@ query(
 )(_redacted("blackout"))
 
 
+_TRIANGLES = _PIXELS.replace("AND i % {0} >= ax AND i % {0} < bx AND i // {0} >= ay AND i // {0} < by_".format(WIDTH), f"AND bx > ax AND by_ > ay AND i // {WIDTH} >= ay AND i // {WIDTH} < by_ AND i % {WIDTH} >= ax AND i % {WIDTH} + 0.5e0 < (ax - bx) * (i // {WIDTH} + 0.5e0 - ay) / (by_ - ay) + bx")
+
+
+@query(
+    f"WITH {_TRIANGLES} SELECT px.video_id, px.frame, count(hit.i) AS redacted_pixels, sha256(unhex(string_agg(CASE WHEN hit.i IS NULL THEN substr(line, 6 * (px.i // {WIDTH} + px.i % {WIDTH}) + 1, 6) ELSE '000000' END, '' ORDER BY px.i))) AS pixels_sha256 FROM px LEFT JOIN hit ON hit.video_id = px.video_id AND hit.frame = px.frame AND hit.i = px.i GROUP BY px.video_id, px.frame",
+    det=True,
+)
+def redact_polygon(spark: SparkSession, d: str) -> DataFrame:
+    """The upper left half of each region, as a polygon, blacked out."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, w, h = map(F.col, "xywh")
+    rois = _regions(spark, d).withColumn("points", F.array(point(x, y), point(x + w, y), point(x, y + h)))
+    out = pixels.redact(_frames(spark, d), rois, "blackout", 9, composite=True)
+    return out.select("video_id", "frame", "redacted_pixels", F.sha2("pixels", 256).alias("pixels_sha256"))
+
+
 @query(
     _nms_sql("video_id, frame, object_class", "k AS (SELECT video_id, frame, object_class, unnest(kept).det_id AS det_id FROM f), d2 AS (SELECT det.* FROM det JOIN k USING (video_id, frame, object_class, det_id) WHERE object_class IN (1, 3)), ")
     + _SLOTS.replace("FROM det)", "FROM d2)").replace("FROM det WHERE", "FROM d2 WHERE").replace("SELECT det.*", "SELECT d2.*")
