@@ -16,12 +16,14 @@ from trackloom.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 #: Gates of each round, by tracker: fixed values.
-GATES = {"sort": [0.4], "bytetrack": [0.05, 0.05], "botsort": [0.05, 0.02, 0.02], "oc_sort": [0.3, 0.3]}
+GATES = {"sort": [0.4], "bytetrack": [0.05, 0.05], "botsort": [0.05, 0.02, 0.02], "oc_sort": [0.3, 0.3], "fused": [0.08, 0.15], "hybrid_sot": [0.05, 0.02]}
 RULES = {
     "sort": dict(confirm=2, misses=8, smooth=0.65),
     "bytetrack": dict(confirm=2, misses=10, smooth=1.0),
     "botsort": dict(confirm=3, misses=5, smooth=1.0),
     "oc_sort": dict(confirm=2, misses=10, smooth=0.9),
+    "fused": dict(confirm=3, misses=5, smooth=1.0),
+    "hybrid_sot": dict(confirm=5, misses=2, smooth=1.0, dilate=0.25, low=False),
 }
 MOVE, SEE = np.eye(8), np.eye(4, 8)
 MOVE[:4, 4:] = np.eye(4)
@@ -40,6 +42,10 @@ def centre(b):
     return b[0] + b[2] / 2, b[1] + b[3] / 2
 
 
+def cosine(a, b):
+    return float((a / (np.linalg.norm(a) + 1e-8)) @ (b / (np.linalg.norm(b) + 1e-8)))
+
+
 def overlap(a, b):
     w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
     h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
@@ -52,6 +58,13 @@ class Track:
         self.id, self.mean, self.cov = number, np.r_[xyah(box), np.zeros(4)], np.eye(8) * 10
         self.hits, self.misses, self.age, self.seen, self.score, self.hidden = 1, 0, 1, frame, score, False
         self.shown, self.last, self.at, self.before, self.move = np.array(box), np.array(box), frame, None, None
+        self.looks, self.mean_look = [], None
+
+    def look(self, vector, weight):
+        unit = vector / (np.linalg.norm(vector) + 1e-8)
+        mixed = unit if self.mean_look is None else 0.5 * self.mean_look + 0.5 * max(weight, 1e-3) * unit
+        self.mean_look = mixed if self.mean_look is None else mixed / (np.linalg.norm(mixed) + 1e-8)
+        self.looks = [*self.looks, vector][-3:]
 
     def predict(self):
         self.mean, self.cov = MOVE @ self.mean, MOVE @ self.cov @ MOVE.T + np.diag([1.0] * 4 + [0.01] * 4)
@@ -74,7 +87,18 @@ def pairs(kind, tracks, found, gate, shift):
                 continue
             (ax, ay), (bx, by) = centre(t.shown), centre(d[0])
             far = math.hypot(ax - shift[0] - bx, ay - shift[1] - by)
-            cost[i, j] = far if far <= gate else np.inf
+            if far > gate:
+                continue
+            if kind in ("fused", "hybrid_sot"):
+                aspect = [max(b[2] / max(b[3], 1e-6), 1e-6) for b in (t.shown, d[0])]
+                far += 0.1 * min(1, abs(aspect[0] - aspect[1]))
+                like = [cosine(t.mean_look, d[3]), max(cosine(v, d[3]) for v in t.looks)]
+                if min(like) < 0.55:
+                    continue
+                far += 0.3 * (1 - like[0]) + 0.2 * (1 - like[1])
+                if far > gate + 1:
+                    continue
+            cost[i, j] = far
     if kind == "oc_sort":
         return [(i, j) for i, j in M.assign(cost) if 1 - cost[i, j] >= gate]
     rows, cols = np.flatnonzero(np.isfinite(cost).any(axis=1)), np.flatnonzero(np.isfinite(cost).any(axis=0))
@@ -91,8 +115,8 @@ def plain(kind, frames):
             if kind == "oc_sort" and t.move is not None and t.misses <= 3:
                 t.mean[:4] += 0.5 * t.move
         high = [d for d in found if d[1] >= 0.5]
-        low = [d for d in found if 0.1 <= d[1] < 0.5]
-        pools = {"sort": [[d for d in found if d[2]]], "bytetrack": [high, low], "oc_sort": [high, low], "botsort": [found, found, low]}[kind]
+        low = [d for d in found if 0.1 <= d[1] < 0.5 and rule.get("low", True)]
+        pools = {"sort": [[d for d in found if d[2]]], "botsort": [found, found, low]}.get(kind, [high, low])
         free, matched = list(tracks), set()
         for pool, gate in zip(pools, GATES[kind], strict=True):
             pool = [d for d in pool if id(d) not in matched]
@@ -114,6 +138,8 @@ def plain(kind, frames):
                         for k in range(1, gap):
                             t.measure(t.before + (box - t.before) * (k / gap))
                     t.before, t.last, t.at = t.last, box, frame
+                if len(d) > 3:
+                    t.look(d[3], d[1])
                 t.score, t.seen, t.misses, t.hidden = d[1], frame, 0, False
                 t.hits += 1
                 t.shown = rule["smooth"] * tlwh(t.mean) + (1 - rule["smooth"]) * t.shown
@@ -127,12 +153,15 @@ def plain(kind, frames):
         for d in found:
             if id(d) not in matched and (d[2] if kind == "sort" else d[1] >= 0.5):
                 tracks.append(Track(number, d[0], d[1], frame))
+                if len(d) > 3:
+                    tracks[-1].look(d[3], d[1])
                 number += 1
         centres = [centre(d[0]) for d in found]
         for t in tracks:
             if not t.hidden:
-                x, y = (min(max(t.shown[k] - t.shown[k + 2] * 0.1, 0), 1) for k in (0, 1))
-                w, h = (min(max(t.shown[k] * 1.2, 0), 1 - c) for k, c in ((2, x), (3, y)))
+                grow = rule.get("dilate", 0.2)
+                x, y = (min(max(t.shown[k] - t.shown[k + 2] * grow / 2, 0), 1) for k in (0, 1))
+                w, h = (min(max(t.shown[k] * (1 + grow), 0), 1 - c) for k, c in ((2, x), (3, y)))
                 out.append((frame, t.id, "confirmed" if t.hits >= rule["confirm"] else "tentative", t.age, t.seen, x, y, w, h, t.score))
     return out
 
@@ -143,14 +172,16 @@ def detections(spark):
     noise = lambda n: (F.pmod(F.xxhash64("video_id", "frame", "det_id", F.lit(n)), F.lit(1000)) - 500) * 2e-5
     dets = nms.renumber(nms.suppress(tables.detections(spark, DATA)))
     x, y = noise(0), noise(1)
-    return dets.withColumns({"x1": F.col("x1") + x, "x2": F.col("x2") + x, "y1": F.col("y1") + y, "y2": F.col("y2") + y}).cache()
+    angle = F.col("object_class") * 1.3 + F.pmod(F.xxhash64("video_id", "frame", "det_id"), F.lit(100)) * 0.006
+    vector = F.array(F.cos(angle), F.sin(angle))  # by class, a little different each time
+    return dets.withColumns({"x1": F.col("x1") + x, "x2": F.col("x2") + x, "y1": F.col("y1") + y, "y2": F.col("y2") + y, "embedding": vector}).cache()
 
 
 @pytest.fixture(scope="module")
 def videos(detections):
     held = defaultdict(lambda: defaultdict(list))
     for r in sorted(detections.collect(), key=lambda r: (r.video_id, r.frame, r.det_id)):
-        held[r.video_id][r.frame].append(((r.x1, r.y1, r.x2 - r.x1, r.y2 - r.y1), r.confidence, r.is_confident))
+        held[r.video_id][r.frame].append(((r.x1, r.y1, r.x2 - r.x1, r.y2 - r.y1), r.confidence, r.is_confident, np.array(r.embedding)))
     return held
 
 
@@ -260,7 +291,7 @@ def test_redaction_follows_plain_loops(spark, kind):
 def test_settings_are_those_of_the_plain_loops():
     for kind, rule in RULES.items():
         s = trackers.settings(kind)
-        assert (s.confirm_after, s.max_misses, s.smooth, s.dilate) == (rule["confirm"], rule["misses"], rule["smooth"], 0.2)
+        assert (s.confirm_after, s.max_misses, s.smooth, s.dilate) == (rule["confirm"], rule["misses"], rule["smooth"], rule.get("dilate", 0.2))
 
 
 def test_links_follow_a_plain_loop(spark):

@@ -714,8 +714,8 @@ def mask_area_union(spark: SparkSession, d: str) -> DataFrame:
     return pixels.mask_area(S.detections(spark, d), 32)
 
 
-# ---- trackers, links and redaction: SQL says only the plain redaction. tests/test_plain_loops.py holds sort, bytetrack,
-# botsort, oc_sort, the links' order and all redactions against plain loops; fused and hybrid_sot have scenarios
+# ---- trackers, links and redaction: SQL says only the plain redaction. tests/test_plain_loops.py holds the six trackers,
+# the links' order and all redactions against plain loops
 
 
 def _tracked(kind: str) -> Query:
