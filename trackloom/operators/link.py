@@ -13,6 +13,8 @@ from trackloom.operators import tracks as tr
 
 #: Limits that hold whatever the settings say, and how much of either end counts.
 MAX_GAP, MAX_ERROR, MAX_BEND, STEPS, ENDS = 30, 0.05, 0.02, 5, 6
+#: Errors that are the same to as many decimals are close, and the smoother path decides.
+DECIMALS = 7
 
 
 def _ends(tracks: DataFrame) -> DataFrame:
@@ -75,14 +77,14 @@ def scored_pairs(tracks: DataFrame, max_gap: int = MAX_GAP, gate: float = 0.4, f
 def link(tracks: DataFrame, max_gap: int = MAX_GAP, gate: float = 0.4, frame_gate: float = MAX_ERROR) -> DataFrame:
     """``track_id, new_id`` of every track: linked fragments share an id, and ids count from 1 by start frame.
 
-    The best pair links first: least error, then least bend, then ids. Both scores look at no more than the ends of
+    The best pair links first: least error (to ``DECIMALS``), then least bend, then ids. Both scores look at no more than the ends of
     a fragment, and a fragment that may link has more observations than that, so links made don't change the scores
     of the pairs left; what a link takes away is the end of one fragment and the start of another. So the pairs of
     a video are walked once in order of score; a task holds the links of one video.
     """
     pairs = scored_pairs(tracks, max_gap, gate, frame_gate)
 
-    order = ["error", "bend", "prev_id", "next_id"]
+    order = [F.round("error", DECIMALS), "bend", "prev_id", "next_id"]
     ordered = pairs.repartition(tr.VIDEO).sortWithinPartitions(tr.VIDEO, *order).select(tr.VIDEO, "prev_id", "next_id")
 
     def chain(batches: Iterator) -> Iterator:
