@@ -39,14 +39,15 @@ class Filters:
         self.mean[:, :4] += self.mean[:, 4:]
         self.cov = np.stack([p + 2 * c + v + DRIFT, c + v, v + TURN], axis=1)
 
-    def update(self, i: int, tlwh: np.ndarray) -> None:
-        """A measurement of one track."""
-        p, c, v = self.cov[i]
+    def update(self, at: int | np.ndarray, tlwh: np.ndarray) -> None:
+        """A measurement of one track, or one of each of several tracks."""
+        at = np.atleast_1d(at)
+        p, c, v = self.cov[at].T
         gain, turn = p / (p + MEASURED), c / (p + MEASURED)
-        miss = to_xyah(tlwh) - self.mean[i, :4]
-        self.mean[i, :4] += gain * miss
-        self.mean[i, 4:] += turn * miss
-        self.cov[i] = [(1 - gain) * p, (1 - gain) * c, v - turn * c]
+        miss = to_xyah(np.atleast_2d(tlwh)) - self.mean[at, :4]
+        self.mean[at, :4] += gain[:, None] * miss
+        self.mean[at, 4:] += turn[:, None] * miss
+        self.cov[at] = np.stack([(1 - gain) * p, (1 - gain) * c, v - turn * c], axis=1)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -174,22 +174,23 @@ def _associate(round_: Round, t: Tracks, rows: np.ndarray, f: Frame, cols: np.nd
     return [(int(rows[r]), int(cols[c])) for r, c in assign(cost) if ok[r, c]]
 
 
-def _see(t: Tracks, i: int, tlwh: np.ndarray, score: float, frame: int, s: Settings, momentum: bool) -> None:
-    """A detection joins a track."""
-    t.filters.update(i, tlwh)
-    e = t.extra[i]
-    if momentum:
-        gap = max(1, frame - e["at"])
-        e["move"] = (tlwh - e["last"]) / gap
-        if gap > 1 and "before" in e:
-            for k in range(1, gap):  # observations on the way there, from the one before the last
-                t.filters.update(i, e["before"] + (tlwh - e["before"]) * (k / gap))
-        e["before"] = e["last"]
-    e["last"], e["at"], e["lost"] = tlwh, frame, False
+def _see(t: Tracks, at: np.ndarray, tlwh: np.ndarray, score: np.ndarray, frame: int, s: Settings, momentum: bool) -> None:
+    """Detections join tracks, one each."""
+    t.filters.update(at, tlwh)
+    for i, box in zip(at.tolist(), tlwh, strict=True):
+        e = t.extra[i]
+        if momentum:
+            gap = max(1, frame - e["at"])
+            e["move"] = (box - e["last"]) / gap
+            if gap > 1 and "before" in e:
+                for k in range(1, gap):  # observations on the way there, from the one before the last
+                    t.filters.update(i, e["before"] + (box - e["before"]) * (k / gap))
+            e["before"] = e["last"]
+        e["last"], e["at"], e["lost"] = box, frame, False
     n = t.number
-    n["score"][i], n["seen"][i], n["misses"][i], n["hidden"][i] = score, frame, 0, 0
-    n["hits"][i] += 1
-    t.smooth[i] = s.smooth * to_tlwh(t.filters.mean[i, :4]) + (1 - s.smooth) * t.smooth[i]
+    n["score"][at], n["seen"][at], n["misses"][at], n["hidden"][at] = score, frame, 0, 0
+    n["hits"][at] += 1
+    t.smooth[at] = s.smooth * to_tlwh(t.filters.mean[at, :4]) + (1 - s.smooth) * t.smooth[at]
 
 
 def _remember(e: dict, embedding: np.ndarray | None, weight: float) -> None:
@@ -227,10 +228,11 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
         for i, d in found:
             free_track[i] = free_det[d] = False
         matches += found
-    for i, d in matches:
-        _see(t, i, f.tlwh[d], float(f.score[d]), frame, s, rules.momentum)
-        if f.embedding:
-            _remember(t.extra[i], f.embedding[d], float(f.score[d]))
+    if matches:
+        at, by = np.array(matches).T
+        _see(t, at, f.tlwh[by], f.score[by], frame, s, rules.momentum)
+    for i, d in matches if f.embedding else ():
+        _remember(t.extra[i], f.embedding[d], float(f.score[d]))
     spare = [int(d) for d in np.flatnonzero(~f.sure & free_det)]
     missed = np.flatnonzero(free_track)
     if kind == "hybrid_sot" and visual:
@@ -293,7 +295,7 @@ def _shown(t: Tracks, i: int, frame: int, f: Frame, spare: list[int], s: Setting
         near = overlaps(box[None], f.tlwh[spare])[0]
         if near.max() > 0.1:
             d = spare.pop(int(near.argmax()))
-            _see(t, i, f.tlwh[d], float(f.score[d]), frame, s, False)
+            _see(t, np.array([i]), f.tlwh[[d]], f.score[[d]], frame, s, False)
             return True
     t.filters.update(i, box)
     t.smooth[i] = s.smooth * to_tlwh(t.filters.mean[i, :4]) + (1 - s.smooth) * t.smooth[i]
