@@ -764,16 +764,17 @@ def linked_track(spark: SparkSession, d: str) -> DataFrame:
 
 
 WIDTH, HEIGHT = 32, 24
+DIGESTS = -(-6 * (WIDTH + HEIGHT) // 32)
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
-    """A small frame for each present one; its colours follow from its keys and change from pixel to pixel."""
+    """A small frame for each present one; its colours follow from digests of its keys and change from pixel to pixel."""
     keys = S.detections(spark, d).select("video_id", "frame").distinct()
-    byte = lambda e: f"lpad(hex(pmod({e}, 256)), 2, '0')"
-    colour = f"concat({byte('video_id * 31 + frame + k * 37')}, {byte('frame * 7 + k * k * 5')}, {byte('video_id + k * 11')})"
-    line = keys.withColumn("line", F.expr(f"array_join(transform(sequence(0L, {WIDTH + HEIGHT - 1}L), k -> {colour}), '')"))
-    rows = F.expr(f"array_join(transform(sequence(0, {HEIGHT - 1}), r -> substring(line, 6 * r + 1, {6 * WIDTH})), '')")
-    return line.select("video_id", "frame", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.unhex(rows).alias("pixels"))
+    line = F.concat(*(F.md5(F.concat_ws("|", "video_id", "frame", F.lit(k))) for k in range(DIGESTS)))
+    # inside a lambda the line is computed once, not again for each row of pixels
+    row = lambda at: F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda r: at.substr(6 * r + 1, F.lit(6 * WIDTH)))
+    pixels_ = F.transform(F.array(line), lambda at: F.array_join(row(at), ""))[0]
+    return keys.select("video_id", "frame", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.unhex(pixels_).alias("pixels"))
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
@@ -794,7 +795,7 @@ for _kind in pixels.KINDS:
     QUERIES[f"redact_{_kind}"] = _redacted(_kind)
 
 _PIXELS = f"""fr AS (SELECT DISTINCT video_id, frame FROM det),
-    ln AS (SELECT video_id, frame, array_to_string([printf('%02X%02X%02X', (video_id*31 + frame + k*37) % 256, (frame*7 + k*k*5) % 256, (video_id + k*11) % 256) for k in range(0, {WIDTH + HEIGHT})], '') AS line FROM fr),
+    ln AS (SELECT video_id, frame, array_to_string([md5(video_id || '|' || frame || '|' || k) for k in range(0, {DIGESTS})], '') AS line FROM fr),
     px AS (SELECT video_id, frame, line, unnest(range(0, {WIDTH * HEIGHT})) AS i FROM ln),
     rg AS (SELECT video_id, frame, round_even(x1*{WIDTH}e0, 0) AS ax, round_even(y1*{HEIGHT}e0, 0) AS ay, round_even(x2*{WIDTH}e0, 0) AS bx, round_even(y2*{HEIGHT}e0, 0) AS by_ FROM det WHERE is_confident AND object_class IN (1, 3)),
     hit AS (SELECT DISTINCT px.video_id, px.frame, i FROM px JOIN rg ON px.video_id = rg.video_id AND px.frame = rg.frame AND i % {WIDTH} >= ax AND i % {WIDTH} < bx AND i // {WIDTH} >= ay AND i // {WIDTH} < by_)"""
