@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, contam, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
+from . import automaton, chat, contam, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         lengths.op8_token_counts,
         toxic.op9_toxicity,
         urls.op10_url_filter,
+        automaton.op13_bpe,
     ]
     import corpus_pipeline
 
