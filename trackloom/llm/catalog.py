@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import automaton, chat, contam, exact, lengths, lines, pieces, simhash, substrings, toxic, urls
+from . import automaton, centroids, chat, contam, exact, lengths, lines, merkle, pieces, simhash, substrings, toxic, urls
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable]:
         lengths.op8_token_counts,
         toxic.op9_toxicity,
         urls.op10_url_filter,
+        merkle.op11_merkle,
+        centroids.op12_centroids,
         automaton.op13_bpe,
     ]
     import corpus_pipeline
@@ -34,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": lines.OP4_SQL,
         "op5_suffix_dedup": substrings.OP5_SQL,
         "op10_url_filter": urls.OP10_SQL,
+        "op11_merkle": merkle.OP11_SQL,
+        "op12_centroids": centroids.OP12_SQL,
     }
