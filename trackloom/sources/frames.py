@@ -1,84 +1,35 @@
-"""Frames as rows: uncompressed video and images in, video segments out. Spark's readers open every file."""
+"""Frames as rows: uncompressed video and images in, video segments and image files out."""
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAME = "video_id long, frame long, pts double, width int, height int, pixels binary"
+from trackloom.sources import video
+from trackloom.sources.video import FRAME
 
 
-def _header(data: bytes) -> tuple[dict[str, str], int]:
-    end = data.index(b"\n")
-    head = data[:end].decode("ascii").split(" ")
-    if head[0] != "YUV4MPEG2":
-        raise ValueError("not a YUV4MPEG2 stream")
-    return {p[0]: p[1:] for p in head[1:] if p}, end + 1
+def read_videos(
+    spark: SparkSession, path: str, pixels: bool = True, frames: Sequence[int] | None = None, batch_size: int = 16, span_bytes: int = 64 << 20, first: int | None = None, last: int | None = None
+) -> DataFrame:
+    """Frames of YUV4MPEG2 files; ``video_id`` is the hash of a file's path. Without pixels only first lines are read.
 
-
-def _to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    y, u, v = (p.astype(float) for p in (y, u, v))
-    y, u, v = (y - 16) * 255 / 219, (u - 128) * 255 / 224, (v - 128) * 255 / 224
-    rgb = np.stack([y + 1.402 * v, y - 0.344136 * u - 0.714136 * v, y + 1.772 * u], axis=-1)
-    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
-
-
-def decode(data: bytes, wanted: Callable[[int], bool] = lambda n: True) -> Iterator[tuple[int, float, int, int, bytes | None]]:
-    """Number, time in seconds, width, height and RGB pixels of each frame of a 4:2:0 or 4:4:4 stream.
-
-    Frames that aren't wanted are stepped over and have no pixels.
-    """
-    head, at = _header(data)
-    w, h = int(head["W"]), int(head["H"])
-    rate, base = (int(x) for x in head.get("F", "25:1").split(":"))
-    full = head.get("C", "420").startswith("444")
-    cw, ch = (w, h) if full else (-(-w // 2), -(-h // 2))
-    size, n = w * h + 2 * cw * ch, 0
-    while at < len(data):
-        at = data.index(b"\n", at) + 1
-        raw = np.frombuffer(data, np.uint8, size, at)
-        at += size
-        if not wanted(n):
-            yield n, n * base / rate, w, h, None
-            n += 1
-            continue
-        y, u, v = raw[: w * h].reshape(h, w), raw[w * h : w * h + cw * ch].reshape(ch, cw), raw[w * h + cw * ch :].reshape(ch, cw)
-        if not full:
-            u, v = (p.repeat(2, axis=0).repeat(2, axis=1)[:h, :w] for p in (u, v))
-        yield n, n * base / rate, w, h, _to_rgb(y, u, v).tobytes()
-        n += 1
-
-
-def read_videos(spark: SparkSession, path: str, pixels: bool = True, frames: Sequence[int] | None = None, batch_size: int = 16) -> DataFrame:
-    """Frames of YUV4MPEG2 files; ``video_id`` is the hash of a file's path. Without pixels it is a scan of positions.
-
-    ``frames`` names those to read: the others are stepped over, and numbers that a video lacks give no rows. Frames
-    leave a task ``batch_size`` at a time, the last ones in a smaller batch. A file is one row until it is decoded, so
-    long videos belong in segments.
+    ``frames`` names those to read, ``first`` and ``last`` bound them: no other bytes are read, ranges of a file without any
+    have no task, and numbers that a video lacks give no rows. Frames leave a task ``batch_size`` at a time, the last ones in
+    a smaller batch. A file is split into tasks every ``span_bytes``; one with parameters on its frames, or cut off, is one.
     """
     if batch_size < 1:
         raise ValueError("a batch holds at least one frame")
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("video_id"), "content")
-    asked = None if frames is None else frozenset(frames)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names = ["video_id", "frame", "pts", "width", "height", "pixels"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary()]
-        some = lambda n: asked is None or n in asked
-        for batch in batches:
-            for video, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = ((video, *r) for r in decode(data, lambda n: pixels and some(n)) if some(r[0]))
-                while part := list(islice(rows, batch_size)):
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
-
-    return files.mapInArrow(run, FRAME)
+    video.register(spark)
+    asked = {"batchSize": batch_size, "spanBytes": span_bytes, "first": first, "last": last, "frames": None if frames is None else json.dumps([int(n) for n in frames])}
+    columns = FRAME if pixels else FRAME.removesuffix(", pixels binary")
+    found = spark.read.format("y4m").options(**{k: v for k, v in asked.items() if v is not None}).schema(columns).load(path)
+    return found if pixels else found.withColumn("pixels", F.lit(None).cast("binary"))
 
 
 #: Suffixes of image files; anything else is read as video.
@@ -162,3 +113,19 @@ def segments(frames: DataFrame, length: int = 300, rate: int = 25) -> DataFrame:
 
     cut = frames.select("video_id", F.floor(F.col("frame") / length).alias("segment"), "frame", "width", "height", "pixels")
     return cut.groupBy("video_id", "segment").applyInArrow(encode, "video_id long, segment long, content binary")
+
+
+def write_segments(frames: DataFrame, path: str, length: int = 300, rate: int = 25, batch: str | None = None) -> None:
+    """Frames as video files ``video-segment.y4m`` below a path, whole ones or none (see :class:`video.FileSink`)."""
+    _write(segments(frames, length, rate), path, "{video_id}-{segment:06d}.y4m", batch)
+
+
+def write_images(frames: DataFrame, path: str, batch: str | None = None) -> None:
+    """Frames as PNG files ``video/frame.png`` below a path; those without pixels give none."""
+    _write(images(frames), path, "{video_id}/{frame:08d}.png", batch)
+
+
+def _write(rows: DataFrame, path: str, name: str, batch: str | None) -> None:
+    video.register(rows.sparkSession)
+    out = rows.write.format("named_files").option("name", name).mode("append")
+    (out if batch is None else out.option("batch", batch)).save(path)
