@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.assign import touching
 from trackloom.functions.boxes import Box, iou
 
 FRAME = ("video_id", "frame")
@@ -72,12 +73,15 @@ def combine(df: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = (*FRA
     return made.withColumnRenamed("kept_id", "det_id")
 
 
-def overlapping_pairs(df: DataFrame, threshold: float, keys: tuple[str, ...] = (*FRAME, "object_class")) -> DataFrame:
-    """Pairs of boxes of one group that overlap by more than the threshold, each pair once, with their IoU."""
-    a, b = df.alias("a"), df.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+def overlapping_pairs(df: DataFrame, threshold: float, keys: tuple[str, ...] = (*FRAME, "object_class"), grid: int = 16, extent: float = 1.0) -> DataFrame:
+    """Pairs of boxes of one group that overlap by more than the threshold, 0 at least, each pair once, with their IoU.
+
+    Boxes meet in the cells of a raster over ``extent`` (:func:`assign.touching`), so those apart are not compared.
+    """
+    if threshold < 0:
+        raise ValueError("boxes that don't touch are no pair")
     overlap: Column = iou(Box.of("a."), Box.of("b."))
-    met = a.join(b, [*same, F.col("a.det_id") < F.col("b.det_id")])
+    met = touching(df, keys, grid, extent)
     return met.select(*(F.col(f"a.{k}") for k in keys), F.col("a.det_id").alias("det_a"), F.col("b.det_id").alias("det_b"), overlap.alias("iou")).where(F.col("iou") > threshold)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.boxes import Box, centre_distance, dilate, iou
+from trackloom.operators.assign import near
 
 VIDEO = "video_id"
 TRACK = (VIDEO, "track_id")
@@ -192,11 +193,11 @@ def merge(forward: DataFrame, backward: DataFrame, chosen: DataFrame, weight: fl
 
 
 def gated_pairs(tracks: DataFrame, dets: DataFrame, gate: float) -> DataFrame:
-    """Track boxes and detections of one frame whose centres lie within the gate."""
-    t, d = tracks.alias("t"), dets.alias("d")
-    met = t.join(d, [F.col("t.video_id") == F.col("d.video_id"), F.col("t.frame") == F.col("d.frame")])
-    found = met.select(F.col("t.video_id"), F.col("t.frame"), F.col("t.track_id"), F.col("d.det_id"), centre_distance(Box.of("t."), Box.of("d.")).alias("distance"))
-    return found.where(F.col("distance") <= gate)
+    """Track boxes and detections of one frame whose centres lie within the gate. They meet by cells as wide as it."""
+    mine, found = Box.of(), Box.of()
+    met = near(tracks, dets, [VIDEO, "frame"], gate, (mine.cx, mine.cy), (found.cx, found.cy))
+    pairs = met.select(F.col("a.video_id"), F.col("a.frame"), F.col("a.track_id"), F.col("b.det_id"), centre_distance(Box.of("a."), Box.of("b.")).alias("distance"))
+    return pairs.where(F.col("distance") <= gate)
 
 
 def camera_shift(dets: DataFrame) -> DataFrame:

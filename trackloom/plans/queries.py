@@ -11,7 +11,7 @@ from trackloom.functions import boxes as B
 from trackloom.functions import text as X
 from trackloom.functions import vectors as V
 from trackloom.functions.boxes import Box
-from trackloom.operators import bidirectional, detect, jobs, link, nms, pixels, trackers
+from trackloom.operators import assign, bidirectional, detect, jobs, link, nms, pixels, runs, trackers
 from trackloom.operators import tracks as tr
 from trackloom.schema import CLASSES
 from trackloom.sources import tables as S
@@ -457,6 +457,41 @@ def pair_gate(spark: SparkSession, d: str) -> DataFrame:
     return tr.gated_pairs(_slots(spark, d), S.detections(spark, d), 0.25)
 
 
+_NEXT = f"""{_SLOTS}, t AS (SELECT video_id, frame + 1 AS frame, track_id, x1+(x2-x1)/2e0 AS cx, y1+(y2-y1)/2e0 AS cy FROM trk),
+    d AS (SELECT video_id, frame, det_id, x1+(x2-x1)/2e0 AS cx, y1+(y2-y1)/2e0 AS cy FROM det),
+    p AS (SELECT * FROM (SELECT t.video_id, t.frame, track_id, det_id, sqrt((t.cx-d.cx)*(t.cx-d.cx)+(t.cy-d.cy)*(t.cy-d.cy)) AS cost FROM t JOIN d ON t.video_id=d.video_id AND t.frame=d.frame) WHERE cost <= 0.15e0),
+    r AS (SELECT DISTINCT video_id, frame, track_id, track_id AS root FROM p
+      UNION SELECT r.video_id, r.frame, b.track_id, r.root FROM r JOIN p a ON a.video_id=r.video_id AND a.frame=r.frame AND a.track_id=r.track_id JOIN p b ON b.video_id=a.video_id AND b.frame=a.frame AND b.det_id=a.det_id),
+    c AS (SELECT video_id, frame, track_id, min(root) AS component FROM r GROUP BY ALL)"""
+
+
+def _next_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks as they were a frame ago, and the detections within reach of them."""
+    before = _slots(spark, d).withColumn("frame", F.col("frame") + 1)
+    return tr.gated_pairs(before, S.detections(spark, d), 0.15).withColumnRenamed("distance", "cost")
+
+
+@query(f"WITH {_NEXT} SELECT p.*, component FROM p JOIN c USING (video_id, frame, track_id)", det=True, recursive=True)
+def gate_components(spark: SparkSession, d: str) -> DataFrame:
+    return assign.components(_next_pairs(spark, d))
+
+
+@query(
+    f"""WITH {_NEXT},
+    e AS (SELECT video_id, frame, component, dense_rank() OVER (PARTITION BY video_id, frame, component ORDER BY track_id) AS k, 1 << (dense_rank() OVER (PARTITION BY video_id, frame, component ORDER BY det_id) - 1) AS bit, 10.15e0 - cost AS saves FROM p JOIN c USING (video_id, frame, track_id)),
+    o AS (SELECT * FROM e UNION ALL SELECT DISTINCT video_id, frame, component, k, 0, 0e0 FROM e),
+    m AS (SELECT DISTINCT video_id, frame, component, 0::BIGINT AS k, 0::BIGINT AS taken, 0e0 AS saved FROM e
+      UNION ALL SELECT m.video_id, m.frame, m.component, o.k, m.taken | o.bit, m.saved + o.saves FROM m JOIN o ON o.video_id=m.video_id AND o.frame=m.frame AND o.component=m.component AND o.k=m.k+1 AND m.taken & o.bit = 0)
+    SELECT video_id, frame, component, arg_max(bit_count(taken), saved)::BIGINT AS n_pairs, round(max(saved), 6) AS saved FROM m GROUP BY ALL""",
+    det=True,
+    recursive=True,
+)
+def assign_optimal(spark: SparkSession, d: str) -> DataFrame:
+    """What the best one-to-one choice takes and saves in each component of a frame."""
+    found = assign.choose(_next_pairs(spark, d), 0.15)
+    return found.groupBy("video_id", "frame", "component").agg(F.count("*").alias("n_pairs"), F.round(F.sum(10.15 - F.col("cost")), 6).alias("saved"))
+
+
 @query(
     """WITH f AS (SELECT video_id, frame, lag(frame) OVER (PARTITION BY video_id ORDER BY frame) AS before FROM (SELECT DISTINCT video_id, frame FROM det)),
     c AS (SELECT video_id, frame, row_number() OVER (PARTITION BY video_id, frame ORDER BY det_id) AS n, x1+(x2-x1)/2e0 AS cx, y1+(y2-y1)/2e0 AS cy FROM det)
@@ -763,7 +798,7 @@ def linked_track(spark: SparkSession, d: str) -> DataFrame:
     return once.unionByName(tr.fill_gaps(once))
 
 
-WIDTH, HEIGHT = 32, 24
+WIDTH, HEIGHT = 64, 48
 DIGESTS = -(-6 * (WIDTH + HEIGHT) // 32)
 
 
@@ -822,6 +857,98 @@ def redact_polygon(spark: SparkSession, d: str) -> DataFrame:
     return out.select("video_id", "frame", "redacted_pixels", F.sha2("pixels", 256).alias("pixels_sha256"))
 
 
+# ---- masks as runs
+
+_RUNS = f"""bx AS (SELECT video_id, frame, det_id, object_class, is_confident, round_even(x1*{WIDTH}e0, 0)::BIGINT AS ax, round_even(y1*{HEIGHT}e0, 0)::BIGINT AS ay, round_even(x2*{WIDTH}e0, 0)::BIGINT AS bx, round_even(y2*{HEIGHT}e0, 0)::BIGINT AS by_ FROM det),
+    ru AS (SELECT video_id, frame, object_class, unnest(range(ay, by_)) AS y, ax AS start, bx AS stop FROM bx WHERE bx > ax AND by_ > ay)"""
+
+
+def _united(name: str, keys: str, where: str = "true") -> str:
+    """Gaps and islands: a run that starts after all before it have ended begins a new one."""
+    return f"""{name} AS (SELECT {keys}, y, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(fresh) OVER (PARTITION BY {keys}, y ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island
+      FROM (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY {keys}, y ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM ru WHERE {where})) GROUP BY {keys}, y, island)"""
+
+
+def _box_runs(spark: SparkSession, d: str) -> DataFrame:
+    x, y, w, h = B.roi(Box.of(), F.lit(WIDTH), F.lit(HEIGHT))
+    found = S.detections(spark, d).select("video_id", "frame", "object_class", *(v.alias(k) for k, v in zip("xywh", (x, y, w, h), strict=True)))
+    return runs.of_boxes(found, ("video_id", "frame", "object_class"))
+
+
+_BY_CLASS, _BY_FRAME = ("video_id", "frame", "object_class"), ("video_id", "frame")
+
+
+@query(f"WITH {_RUNS}, {_united('u', 'video_id, frame, object_class')} SELECT * FROM u", det=True)
+def mask_runs_union(spark: SparkSession, d: str) -> DataFrame:
+    """Each class's boxes of a frame as one mask."""
+    return runs.combine(_box_runs(spark, d), _BY_CLASS)
+
+
+@query(f"WITH {_RUNS}, {_united('u', 'video_id, frame, object_class')} SELECT video_id, frame, object_class, sum(stop - start)::BIGINT AS area, min(start) AS x, min(y) AS y, max(stop) - min(start) AS w, max(y) + 1 - min(y) AS h, md5(string_agg(y || ':' || start || ':' || stop, ',' ORDER BY y, start)) AS mask_id FROM u GROUP BY ALL", det=True)
+def mask_measure(spark: SparkSession, d: str) -> DataFrame:
+    """Area, tight bounds and id of each class's mask."""
+    return runs.measure(runs.combine(_box_runs(spark, d), _BY_CLASS), _BY_CLASS)
+
+
+_PLATES, _HEADS = _united("a", "video_id, frame", "object_class = 3"), _united("b", "video_id, frame", "object_class = 1")
+_BOTH = "i AS (SELECT a.video_id, a.frame, a.y, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.video_id=b.video_id AND a.frame=b.frame AND a.y=b.y AND a.start < b.stop AND b.start < a.stop)"
+
+
+def _plates_and_heads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found = _box_runs(spark, d)
+    return found.where("object_class = 3").drop("object_class"), found.where("object_class = 1").drop("object_class")
+
+
+@query(f"WITH {_RUNS}, {_PLATES}, {_HEADS}, {_BOTH} SELECT * FROM i", det=True)
+def mask_intersect(spark: SparkSession, d: str) -> DataFrame:
+    """Where plates and heads of a frame lie over each other."""
+    return runs.intersect(*_plates_and_heads(spark, d), _BY_FRAME)
+
+
+@query(
+    f"""WITH {_RUNS}, {_PLATES}, {_HEADS}, {_BOTH}, cut AS (SELECT * FROM i UNION ALL SELECT video_id, frame, y, stop, stop FROM a),
+    k AS (SELECT a.video_id, a.frame, a.y, a.start, a.stop, c.start AS s, c.stop AS e, coalesce(lag(c.stop) OVER (PARTITION BY a.video_id, a.frame, a.y, a.start ORDER BY c.start, c.stop), a.start) AS before FROM a JOIN cut c ON a.video_id=c.video_id AND a.frame=c.frame AND a.y=c.y AND c.start >= a.start AND c.start <= a.stop)
+    SELECT video_id, frame, y, before AS start, s AS stop FROM k WHERE s > before""",
+    det=True,
+)
+def mask_subtract(spark: SparkSession, d: str) -> DataFrame:
+    """Plates less what heads cover."""
+    return runs.subtract(*_plates_and_heads(spark, d), _BY_FRAME)
+
+
+@query(
+    f"""WITH {_RUNS}, {_PLATES}, {_HEADS}, {_BOTH}, n AS (SELECT video_id, frame, sum(stop - start)::BIGINT AS area_a FROM a GROUP BY ALL), m AS (SELECT video_id, frame, sum(stop - start)::BIGINT AS area_b FROM b GROUP BY ALL), o AS (SELECT video_id, frame, sum(stop - start)::BIGINT AS area_both FROM i GROUP BY ALL),
+    f AS (SELECT video_id, frame, coalesce(area_a, 0) AS area_a, coalesce(area_b, 0) AS area_b, coalesce(area_both, 0) AS area_both FROM n FULL JOIN m USING (video_id, frame) LEFT JOIN o USING (video_id, frame))
+    SELECT *, area_both / (area_a + area_b - area_both) AS iou FROM f""",
+    det=True,
+)
+def mask_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return runs.overlap(*_plates_and_heads(spark, d), _BY_FRAME)
+
+
+@query(f"WITH {_RUNS}, q AS (SELECT video_id, frame, det_id, unnest(range(ay, by_)) AS y, ax, ay, bx, by_ FROM bx WHERE bx > ax AND by_ > ay), e AS (SELECT video_id, frame, det_id, y, ax AS start, ceil((ax - bx) * (y + 0.5e0 - ay) / (by_ - ay) + bx - 0.5e0)::BIGINT AS stop FROM q) SELECT * FROM e WHERE stop > start", det=True)
+def mask_polygon_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The upper left half of each box, as runs of a polygon."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, w, h = B.roi(Box.of(), F.lit(WIDTH), F.lit(HEIGHT))
+    shapes = S.detections(spark, d).where((w > 0) & (h > 0)).select(*runs.KEYS, F.array(point(x, y), point(x + w, y), point(x, y + h)).alias("points"))
+    return runs.of_polygons(shapes)
+
+
+@query(
+    f"""WITH fr AS (SELECT DISTINCT video_id, frame FROM det), ln AS (SELECT video_id, frame, array_to_string([md5(video_id || '|' || frame || '|' || k) for k in range(0, {DIGESTS})], '') AS line FROM fr), {_RUNS},
+    q AS (SELECT video_id, frame, det_id, ax, ay, bx, by_, unnest(range(ay, by_)) AS y FROM bx WHERE bx > ax AND by_ > ay AND is_confident AND object_class IN (1, 3))
+    SELECT video_id, frame, det_id, ax::INTEGER AS x, ay::INTEGER AS y, (bx - ax)::INTEGER AS w, (by_ - ay)::INTEGER AS h, sha256(unhex(string_agg(substr(line, 6 * (q.y + ax) + 1, 6 * (bx - ax)), '' ORDER BY q.y))) AS pixels_sha256 FROM q JOIN ln USING (video_id, frame) GROUP BY video_id, frame, det_id, ax, ay, bx, by_""",
+    det=True,
+)
+def region_crop(spark: SparkSession, d: str) -> DataFrame:
+    """The pixels of each region that is to be redacted."""
+    x, y, w, h = B.roi(Box.of(), F.lit(WIDTH), F.lit(HEIGHT))
+    wanted = S.detections(spark, d).where("is_confident AND object_class IN (1, 3)")
+    regions = wanted.select(*runs.KEYS, *(v.alias(k) for k, v in zip("xywh", (x, y, w, h), strict=True)))
+    return runs.crop(_frames(spark, d), regions).select(*runs.KEYS, "x", "y", "w", "h", F.sha2("pixels", 256).alias("pixels_sha256"))
+
+
 @query(
     _nms_sql("video_id, frame, object_class", "k AS (SELECT video_id, frame, object_class, unnest(kept).det_id AS det_id FROM f), d2 AS (SELECT det.* FROM det JOIN k USING (video_id, frame, object_class, det_id) WHERE object_class IN (1, 3)), ")
     + _SLOTS.replace("FROM det)", "FROM d2)").replace("FROM det WHERE", "FROM d2 WHERE").replace("SELECT det.*", "SELECT d2.*")
