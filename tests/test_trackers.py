@@ -318,6 +318,39 @@ def test_every_kind_by_name(spark):
         bidirectional.tracker(given, "none")
 
 
+def test_dummy_shows_detections_as_they_are(spark):
+    rows = [(1, f, i, 0.2 + 0.3 * i, 0.2, 1.4 + 0.3 * i, 0.4, 0.9 - 0.5 * (i == 2), i != 2, None if f == 1 else 10 * f + i) for f in range(3) for i in range(3)]
+    got = bidirectional.tracker(spark.createDataFrame(rows, DETS + ", mask long"), "dummy").collect()
+    assert len(got) == 6
+    for r in got:
+        _, _, _, x1, y1, x2, y2, score, _, mask = rows[3 * r.frame + r.track_id - 1]
+        assert (r.x1, r.y1, r.x2, r.y2, r.score, r.mask) == (x1, y1, x2, y2, score, mask)
+        assert (r.width, r.height, r.state, r.age, r.last_seen, r.should_blur) == (x2 - x1, y2 - y1, "confirmed", 1, r.frame, True)
+
+
+@pytest.mark.parametrize("kind", ["sort", "bytetrack", "botsort", "oc_sort", "fused", "hybrid_sot", "bidirectional"])
+def test_masks_stay_with_tracks(spark, kind):
+    """A track carries the mask of the detection it was seen by, and none where it was missed."""
+    rows = [(1, f, i, 0.2 + 0.4 * i, 0.2, 0.3 + 0.4 * i, 0.4, 0.9, True, None if (f, i) == (4, 0) else 100 * f + i) for f in range(12) for i in range(2) if not (i and 5 < f < 8)]
+    got = bidirectional.tracker(spark.createDataFrame(rows, DETS + ", mask long").repartition(3), kind).collect()
+    seen = {(r.frame, round(r.x1 / 0.4) if r.x1 > 0.05 else 0) for r in got}
+    assert {(r[1], r[2]) for r in rows} - seen <= {(f, i) for f in (0, 1, 2, 3, 8, 9, 10, 11) for i in (0, 1)}  # the first ones may be tentative
+    for r in got:
+        i = int(r.x1 > 0.4)
+        assert r.mask == (None if (r.frame, i) == (4, 0) or (i and 5 < r.frame < 8) else 100 * r.frame + i)
+
+
+def test_merged_masks(spark):
+    """The backward mask counts first, else the forward one; tables without masks merge as before."""
+    schema = "video_id long, track_id long, frame long, x1 double, y1 double, x2 double, y2 double, score double, state string, age long, last_seen long, should_blur boolean, mask long"
+    side = lambda masks: spark.createDataFrame([(1, 1, f, 0.1, 0.1, 0.2, 0.2, 0.5, "confirmed", 1, f, True, m) for f, m in masks.items()], schema)
+    forward, backward = side({0: 5, 1: 6, 2: None, 3: None}), side({1: 16, 2: 17, 3: None, 4: 18, 0: None})
+    chosen = spark.createDataFrame([(1, 1, 1, 0.9)], "video_id long, forward_id long, backward_id long, mean_iou double")
+    got = tr.merge(forward, backward, chosen)
+    assert {r.frame: r.mask for r in got.collect()} == {0: 5, 1: 16, 2: 17, 3: None, 4: 18}
+    assert "mask" not in tr.merge(forward.drop("mask"), backward, chosen).columns
+
+
 def test_pictures_that_look_different_are_not_followed():
     s = trackers.settings("hybrid_sot", visual_age=5, drift=0.5)
     box, vector = np.array([[0.1, 0.1, 0.1, 0.1]]), np.array([1.0, 0.0])

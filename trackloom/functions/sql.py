@@ -47,7 +47,7 @@ def register_tables(spark: SparkSession) -> list[str]:
             columns["is_confident"] = np.array([r["is_confident"] is not False for r in self.rows])
             found = trackers.step(self.kind, trackers.settings(self.kind), self.state, self.frame, trackers._frame_of(columns))
             self.rows = []
-            yield from trackers._rows_of(self.video, self.frame, found)
+            yield from trackers._rows_of(self.video, self.frame, found, [])
 
         def eval(self, row, kind: str = "sort"):
             self.kind = kind.lower()

@@ -25,13 +25,14 @@ def bidirectional(dets: DataFrame, kind: str = "sort", settings_: Settings | Non
     return tr.merge(forward, backward, chosen, weight).where("should_blur")
 
 
-def tracker(dets: DataFrame, kind: str, settings_: Settings | None = None, base: str = "bytetrack", dilate: float = 0.2) -> DataFrame:
+def tracker(dets: DataFrame, kind: str, settings_: Settings | None = None, base: str = "bytetrack") -> DataFrame:
     """Tracks by any kind, named in any case: those of :func:`trackers.track`, ``dummy`` (:func:`tracks.slots`) or
-    ``bidirectional`` over ``base``. All give the columns of ``schema.TRACK``; unknown kinds raise."""
+    ``bidirectional`` over ``base``. All give the columns of ``schema.TRACK``; unknown kinds raise. ``dummy`` shows
+    confident detections as they are, each of age 1."""
     kind = kind.strip().lower()
     if kind == "dummy":
-        made = tr.slots(detections(dets), dilate).withColumns({"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1"), "last_seen": F.col("frame")})
-        return conform(made, TRACK, should_blur=True, origin="forward")
+        made = tr.slots(detections(dets), None).withColumns({"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1"), "last_seen": F.col("frame")})
+        return conform(made, TRACK, should_blur=True, origin="forward", age=1)
     if kind == "bidirectional":
         made = bidirectional(dets, base.strip().lower(), settings_)
         return conform(made.withColumns({"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1")}), TRACK)

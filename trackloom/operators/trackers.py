@@ -86,9 +86,14 @@ def settings(kind: str, **changes: object) -> Settings:
 
 
 def input_columns(dets: DataFrame, kind: str) -> list[str]:
-    """The columns that a tracker reads; the vectors where there are any and the kind's cost knows them."""
+    """The columns that a tracker reads: the vectors where there are any and the kind's cost knows them, masks if any."""
     vectors = "embedding" in dets.columns and any(r.cost == "fused" for r in KINDS[kind].rounds)
-    return [*_INPUT, *["embedding"] * vectors]
+    return [*_INPUT, *["embedding"] * vectors, *["mask"] * ("mask" in dets.columns)]
+
+
+def output(columns: list[str]) -> str:
+    """Schema of what a tracker gives for these input columns."""
+    return OUTPUT + ", mask long" * ("mask" in columns)
 
 
 @dataclass
@@ -99,6 +104,7 @@ class Frame:
     score: np.ndarray
     sure: np.ndarray
     embedding: list = field(default_factory=list)
+    mask: list = field(default_factory=list)
 
 
 _COLUMNS = ("id", "hits", "misses", "age", "seen", "hidden", "score")
@@ -174,11 +180,14 @@ def _associate(round_: Round, t: Tracks, rows: np.ndarray, f: Frame, cols: np.nd
     return [(int(rows[r]), int(cols[c])) for r, c in assign(cost) if ok[r, c]]
 
 
-def _see(t: Tracks, at: np.ndarray, tlwh: np.ndarray, score: np.ndarray, frame: int, s: Settings, momentum: bool) -> None:
-    """Detections join tracks, one each."""
+def _see(t: Tracks, at: np.ndarray, f: Frame, by: np.ndarray, frame: int, s: Settings, momentum: bool) -> None:
+    """Detections ``by`` join tracks ``at``, one each."""
+    tlwh, score = f.tlwh[by], f.score[by]
     t.filters.update(at, tlwh)
-    for i, box in zip(at.tolist(), tlwh, strict=True):
+    for i, d, box in zip(at.tolist(), by.tolist(), tlwh, strict=True):
         e = t.extra[i]
+        if f.mask:
+            e["mask"] = f.mask[d]
         if momentum:
             gap = max(1, frame - e["at"])
             e["move"] = (box - e["last"]) / gap
@@ -205,7 +214,7 @@ def _blend(e: dict, unit: np.ndarray, weight: float) -> None:
 
 
 def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callable | None = None) -> list[tuple]:
-    """Advance the tracks of a video by a frame; rows ``track_id, x, y, w, h, state, age, last_seen, score``.
+    """Advance the tracks of a video by a frame; rows ``track_id, x, y, w, h, state, age, last_seen, score, mask``.
 
     ``visual(frame, track_id, box)`` may return the box where a picture shows a track that no detection met, or that
     box and the vector of what is in it (``hybrid_sot`` only). Association uses the smoothed box of the last frame, not
@@ -230,7 +239,7 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
         matches += found
     if matches:
         at, by = np.array(matches).T
-        _see(t, at, f.tlwh[by], f.score[by], frame, s, rules.momentum)
+        _see(t, at, f, by, frame, s, rules.momentum)
     for i, d in matches if f.embedding else ():
         _remember(t.extra[i], f.embedding[d], float(f.score[d]))
     spare = [int(d) for d in np.flatnonzero(~f.sure & free_det)]
@@ -238,6 +247,8 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
     if kind == "hybrid_sot" and visual:
         missed = np.array([i for i in missed if not _shown(t, i, frame, f, spare, s, visual)], np.int64)
     n["seen"][missed] = frame
+    for i in missed:
+        t.extra[i]["mask"] = None
     gone = n["misses"][missed] > s.max_misses
     n["hidden"][missed[gone]] = 1
     alive = missed[~gone]
@@ -248,6 +259,8 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
         for e, d in zip(t.extra[-len(fresh) :], fresh, strict=True):
             if f.embedding:
                 _remember(e, f.embedding[d], float(f.score[d]))
+            if f.mask:
+                e["mask"] = f.mask[d]
     if s.camera:
         t.centres = f.tlwh[:, :2] + f.tlwh[:, 2:] / 2
     n = t.number
@@ -257,7 +270,7 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
     w, h = (np.clip(box[:, k] * (1 + s.dilate), 0, 1 - c) for k, c in ((2, x), (3, y)))
     state = np.where(n["hits"][shown] >= s.confirm_after, "confirmed", "tentative")
     whole = [n[c][shown].astype(np.int64).tolist() for c in ("id", "age", "seen")]
-    out = list(zip(whole[0], *(v.tolist() for v in (x, y, w, h, state)), *whole[1:], n["score"][shown].tolist(), strict=True))
+    out = list(zip(whole[0], *(v.tolist() for v in (x, y, w, h, state)), *whole[1:], n["score"][shown].tolist(), [t.extra[i].get("mask") for i in shown], strict=True))
     live = np.ones(len(n["id"]), bool)
     if rules.prune and s.min_rate > 0:
         live &= n["hits"] / np.maximum(n["age"], 1) >= s.min_rate
@@ -295,7 +308,7 @@ def _shown(t: Tracks, i: int, frame: int, f: Frame, spare: list[int], s: Setting
         near = overlaps(box[None], f.tlwh[spare])[0]
         if near.max() > 0.1:
             d = spare.pop(int(near.argmax()))
-            _see(t, np.array([i]), f.tlwh[[d]], f.score[[d]], frame, s, False)
+            _see(t, np.array([i]), f, np.array([d]), frame, s, False)
             return True
     t.filters.update(i, box)
     t.smooth[i] = s.smooth * to_tlwh(t.filters.mean[i, :4]) + (1 - s.smooth) * t.smooth[i]
@@ -311,18 +324,21 @@ _INPUT = ("video_id", "frame", "det_id", "x1", "y1", "x2", "y2", "confidence", "
 def _frame_of(rows: dict[str, np.ndarray]) -> Frame:
     x1, y1, x2, y2 = (rows[c].astype(float) for c in ("x1", "y1", "x2", "y2"))
     own = [None if e is None else np.asarray(e, float) for e in rows["embedding"]] if "embedding" in rows else []
-    return Frame(np.stack([x1, y1, x2 - x1, y2 - y1], axis=1), rows["confidence"].astype(float), rows["is_confident"].astype(bool), own)
+    masks = [None if m is None or m != m else int(m) for m in rows["mask"].tolist()] if "mask" in rows else []
+    return Frame(np.stack([x1, y1, x2 - x1, y2 - y1], axis=1), rows["confidence"].astype(float), rows["is_confident"].astype(bool), own, masks)
 
 
-def _rows_of(video: int, frame: int, found: list[tuple]) -> list[tuple]:
-    return [(video, frame, i, x, y, x + w, y + h, w, h, state, age, seen, score, True) for i, x, y, w, h, state, age, seen, score in found]
+def _rows_of(video: int, frame: int, found: list[tuple], columns: list[str]) -> list[tuple]:
+    masks = "mask" in columns
+    return [(video, frame, i, x, y, x + w, y + h, w, h, state, age, seen, score, True, *[mask] * masks) for i, x, y, w, h, state, age, seen, score, mask in found]
 
 
 def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None, visual: Callable | None = None) -> DataFrame:
     """Tracks of each video's detections. Frames without detections are no steps; order in a frame is ``det_id``.
 
     Every visible track gives a row for every present frame. An ``embedding`` column, where there is one, joins
-    the cost of ``fused`` and ``hybrid_sot``. ``kind`` may be in any case; ``bidirectional.tracker`` takes all kinds. Null flags count as confident; null coordinates, confidences or frames leave the row out;
+    the cost of ``fused`` and ``hybrid_sot``; a ``mask`` column gives each row the mask of the detection that it was seen
+    by, null in frames where none was. ``kind`` may be in any case; ``bidirectional.tracker`` takes all kinds. Null flags count as confident; null coordinates, confidences or frames leave the row out;
     no rows give no rows. A task walks its videos frame by frame with the state of one video.
     """
     kind = kind.lower()
@@ -331,7 +347,7 @@ def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None
     known = dets.dropna(subset=["video_id", "frame", "x1", "y1", "x2", "y2", "confidence"]).withColumn("is_confident", F.coalesce("is_confident", F.lit(True)))
     ordered = known.select(*columns).repartition("video_id").sortWithinPartitions("video_id", "frame", "det_id")
 
-    shape = to_arrow_schema(StructType.fromDDL(OUTPUT))
+    shape = to_arrow_schema(StructType.fromDDL(output(columns)))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -348,7 +364,7 @@ def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None
                 video, frame = int(rows["video_id"][a]), int(rows["frame"][a])
                 if video != key:
                     key, t = video, Tracks()
-                out += _rows_of(video, frame, step(kind, s, t, frame, _frame_of({c: v[a:b] for c, v in rows.items()}), visual))
+                out += _rows_of(video, frame, step(kind, s, t, frame, _frame_of({c: v[a:b] for c, v in rows.items()}), visual), columns)
             return out, None if last else {c: v[edge[-2] :] for c, v in rows.items()}
 
         def table(out: list[tuple]) -> pa.RecordBatch:
@@ -365,7 +381,7 @@ def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None
         if held:
             yield table(walk(held, True)[0])
 
-    return ordered.mapInArrow(run, OUTPUT)
+    return ordered.mapInArrow(run, output(columns))
 
 
 def dump(t: Tracks) -> bytes:

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.boxes import Box, centre_distance, dilate, iou
 from trackloom.operators.assign import near
+from trackloom.schema import BOX
 
 VIDEO = "video_id"
 TRACK = (VIDEO, "track_id")
 
 
-def slots(dets: DataFrame, share: float = 0.0) -> DataFrame:
+def slots(dets: DataFrame, share: float | None = 0.0) -> DataFrame:
     """The simplest tracker: the n-th confident box of a frame keeps its id while each present frame has an n-th one.
 
+    Boxes grow by ``share`` and are clipped; None leaves them as they are. Masks stay with their boxes.
     Frames count when they hold any detection. Ids number a video's runs by start, then slot. Every window is dealt
     by video or by more than that, so one shuffle serves them all.
     """
@@ -25,8 +27,9 @@ def slots(dets: DataFrame, share: float = 0.0) -> DataFrame:
     run = F.col("ford") - F.row_number().over(Window.partitionBy(VIDEO, "slot").orderBy("ford"))
     started = placed.withColumn("run", run).withColumn("start", F.min("ford").over(Window.partitionBy(VIDEO, "slot", "run")))
     named = started.withColumn("track_id", F.dense_rank().over(Window.partitionBy(VIDEO).orderBy("start", "slot")).cast("long"))
-    x, y, w, h = dilate(Box.of(), share)
-    return named.select(VIDEO, "frame", "track_id", "det_id", x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), F.col("confidence").alias("score"), "object_class", F.lit("confirmed").alias("state"))
+    x, y, w, h = dilate(Box.of(), share or 0.0)
+    box = [F.col(c) for c in BOX] if share is None else [v.alias(c) for c, v in zip(BOX, (x, y, x + w, y + h), strict=True)]
+    return named.select(VIDEO, "frame", "track_id", "det_id", *box, F.col("confidence").alias("score"), "object_class", F.lit("confirmed").alias("state"), *(["mask"] if "mask" in dets.columns else []))
 
 
 def summaries(tracks: DataFrame, eligible: int = 10) -> DataFrame:
@@ -170,10 +173,11 @@ def merge(forward: DataFrame, backward: DataFrame, chosen: DataFrame, weight: fl
     """Both directions frame by frame: chosen partners under one id, the rest as they are (see :func:`merged_ids`).
 
     Where both have a frame the backward box stands, scores blend with ``weight`` on the backward one, the later state
-    (in the order of their names) and the larger age hold, the track is seen in this frame, and either one redacts.
+    (in the order of their names) and the larger age hold, the track is seen in this frame, and either one redacts; of masks, where both sides have them, the backward one counts first.
     A frame that one direction alone has keeps that one's values.
     """
-    own = ("x1", "y1", "x2", "y2", "score", "state", "age", "last_seen", "should_blur")
+    masks = ["mask"] if {"mask"} <= {*forward.columns} & {*backward.columns} else []
+    own = ("x1", "y1", "x2", "y2", "score", "state", "age", "last_seen", "should_blur", *masks)
     sides = []
     for side, rows, ids in zip("fb", (forward, backward), merged_ids(forward, backward, chosen), strict=True):
         sides.append(rows.join(ids, list(TRACK)).select(VIDEO, "frame", F.col("merged_id").alias("track_id"), *(F.col(c).alias(f"{side}_{c}") for c in own)))
@@ -188,6 +192,7 @@ def merge(forward: DataFrame, backward: DataFrame, chosen: DataFrame, weight: fl
         F.greatest("f_age", "b_age").alias("age"),
         F.when(met, F.col("frame")).otherwise(either("last_seen")).alias("last_seen"),
         (F.coalesce("f_should_blur", F.lit(False)) | F.coalesce("b_should_blur", F.lit(False))).alias("should_blur"),
+        *(either(c).alias(c) for c in masks),
         origin.alias("origin"),
     )
 

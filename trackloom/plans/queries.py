@@ -374,6 +374,12 @@ def slot_tracker(spark: SparkSession, d: str) -> DataFrame:
     return _slots(spark, d)
 
 
+@query(f"WITH {_SLOTS} SELECT *, CASE WHEN det_id % 3 <> 0 THEN det_id * 10 END AS mask FROM trk", det=True)
+def slot_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of detections stay with their tracks."""
+    return tr.slots(S.detections(spark, d).withColumn("mask", F.when(F.col("det_id") % 3 != 0, F.col("det_id") * 10)))
+
+
 @query(f"WITH {_SLOTS} SELECT video_id, track_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_obs, round(avg(score), 9) AS mean_score, count(*) >= 10 AS eligible FROM trk GROUP BY ALL", det=True)
 def track_summary(spark: SparkSession, d: str) -> DataFrame:
     return tr.summaries(_slots(spark, d))

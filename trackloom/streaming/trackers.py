@@ -15,7 +15,7 @@ from trackloom.operators import trackers
 PLACE = "last long, next_id long, centres array<array<double>>"
 ENTRY = (
     "mean array<double>, cov array<double>, smooth array<double>, number array<double>, last array<double>, at long, "
-    "before array<double>, move array<double>, lost boolean, seen array<array<double>>, look array<double>"
+    "before array<double>, move array<double>, lost boolean, seen array<array<double>>, look array<double>, mask long"
 )
 _VECTORS, _NUMBERS = ("last", "before", "move"), ("hits", "misses", "age", "seen", "hidden", "score")
 
@@ -28,7 +28,7 @@ def entries(t: trackers.Tracks) -> dict[int, tuple]:
         numbers = [float(t.number[c][i]) for c in _NUMBERS]
         last, before, move = (plain(e.get(c)) for c in _VECTORS)
         seen = [plain(v) for v in e["seen"]] if "seen" in e else None
-        out[int(t.number["id"][i])] = (plain(t.filters.mean[i]), plain(t.filters.cov[i]), plain(t.smooth[i]), numbers, last, int(e["at"]), before, move, bool(e.get("lost")), seen, plain(e.get("mean")))
+        out[int(t.number["id"][i])] = (plain(t.filters.mean[i]), plain(t.filters.cov[i]), plain(t.smooth[i]), numbers, last, int(e["at"]), before, move, bool(e.get("lost")), seen, plain(e.get("mean")), e.get("mask"))
     return out
 
 
@@ -42,8 +42,8 @@ def restored(rows: dict[int, tuple], next_id: int, centres: list | None) -> trac
     whole = lambda k: np.array([list(r[k]) for r in found], float)
     t.filters.mean, t.filters.cov, t.smooth, numbers = (whole(k) for k in range(4))
     t.number = {"id": np.array(ids), **dict(zip(_NUMBERS, numbers.T.copy(), strict=True))}
-    for _, _, _, _, last, at, before, move, lost, seen, look in found:
-        e = {"at": int(at), "lost": bool(lost)}
+    for _, _, _, _, last, at, before, move, lost, seen, look, mask in found:
+        e = {"at": int(at), "lost": bool(lost), "mask": mask}
         e |= {c: np.array(v, float) for c, v in zip(_VECTORS, (last, before, move), strict=True) if v is not None}
         e |= {} if seen is None else {"seen": [np.array(list(v), float) for v in seen]}
         e |= {} if look is None else {"mean": np.array(look, float)}
@@ -70,7 +70,7 @@ class Tracker(StatefulProcessor):
         out, given = [], pd.concat(list(rows)).sort_values(["frame", "det_id"], kind="stable")
         for frame, of_frame in given[given["frame"] > last].groupby("frame", sort=True):
             found = trackers.step(kind, s, t, int(frame), trackers._frame_of({c: of_frame[c].to_numpy() for c in self.columns}))
-            out += trackers._rows_of(int(key[0]), int(frame), found)
+            out += trackers._rows_of(int(key[0]), int(frame), found, self.columns)
             last = int(frame)
         after = entries(t)
         for i in before.keys() - after.keys():
@@ -83,7 +83,7 @@ class Tracker(StatefulProcessor):
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in trackers.OUTPUT.split(",")])
+        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in trackers.output(self.columns).split(",")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.place.clear()
@@ -107,4 +107,4 @@ def track_stream(dets: DataFrame, kind: str = "sort", settings_: trackers.Settin
     kind = kind.lower()
     s, columns = settings_ or trackers.settings(kind, forget_after=300), trackers.input_columns(dets, kind)
     made = Tracker(kind, s, columns, idle_ms)
-    return dets.select(*columns).groupBy("video_id").transformWithStateInPandas(made, trackers.OUTPUT, "Append", "None" if idle_ms is None else "ProcessingTime")
+    return dets.select(*columns).groupBy("video_id").transformWithStateInPandas(made, trackers.output(columns), "Append", "None" if idle_ms is None else "ProcessingTime")
