@@ -294,6 +294,55 @@ def test_settings_are_those_of_the_plain_loops():
         assert (s.confirm_after, s.max_misses, s.smooth, s.dilate) == (rule["confirm"], rule["misses"], rule["smooth"], rule.get("dilate", 0.2))
 
 
+def plain_score(tail, head):
+    """Error and bend of two ends, arrays of frame, x, y, by the library's polynomial fit."""
+
+    def velocity(p, q):
+        v = (q[1:] - p[1:]) / (q[0] - p[0])
+        return v if np.linalg.norm(v) >= 1e-6 else v * 0
+
+    gap = head[0, 0] - tail[-1, 0]
+    before, after = velocity(tail[0], tail[-1]), velocity(head[0], head[-1])
+    ahead = [np.linalg.norm(tail[-1, 1:] + before * (gap + k) - head[k - 1, 1:]) / (gap + k) for k in range(1, min(5, len(head)) + 1)]
+    back = [np.linalg.norm(head[0, 1:] - after * j - tail[-j, 1:]) / j for j in range(1, min(5, len(tail)) + 1)]
+    between = [[tail[-1, 0] + k, *(tail[-1, 1:] * (1 - k / gap) + head[0, 1:] * (k / gap))] for k in range(1, int(gap))]
+    path = np.array([*tail.tolist(), *between, *head.tolist()])
+    bends = [np.sqrt(np.mean((path[:, c] - np.polyval(np.polyfit(path[:, 0], path[:, c], min(2, len(path) - 1)), path[:, 0])) ** 2)) for c in (1, 2)]
+    worst = max(*ahead, *back)
+    return np.mean(ahead), max(*bends, worst) if worst <= 1 else math.inf
+
+
+def test_scores_of_links(spark):
+    from trackloom.operators import link
+
+    rng, rows = np.random.default_rng(8), []
+    for i in range(60):
+        size = lambda: int(rng.integers(2, 7))
+        start, gap, steps = int(rng.integers(0, 90_000)), int(rng.integers(1, 30)), rng.integers(1, 4, 14)
+        n, far = size(), 3.0 if i == 5 else 0.0
+        frames = start + np.cumsum(steps)
+        frames[n:] += gap - steps[n]
+        at = rng.random(2) * (i % 7 > 0) + 0.004 * rng.normal(size=2) * (frames[:, None] - start) * (i % 5 > 0) + 0.001 * rng.normal(size=(14, 2)) * (i % 3 > 0)
+        points = [(int(f), float(x) + far * (k >= n), float(y)) for k, (f, (x, y)) in enumerate(zip(frames, at, strict=True))]
+        rows.append((i, points[:n], points[n : n + size()]))
+    side = "array<struct<frame:long,center_x:double,center_y:double>>"
+    for r in link.scores(spark.createDataFrame(rows, f"i long, tail {side}, head {side}")).collect():
+        error, bend = plain_score(*(np.array([tuple(p) for p in s], float) for s in (r.tail, r.head)))
+        assert math.isclose(r.error, error, abs_tol=1e-11) and (r.bend == bend or math.isclose(r.bend, bend, abs_tol=1e-10)), (r, error, bend)
+
+
+def test_close_errors_leave_the_choice_to_the_smoother_path(spark, monkeypatch):
+    """1e-8 apart over any decimal is close, 4e-6 apart is not; what is close is told from the least error that is left."""
+    from trackloom.operators import link
+
+    rows = [(1, 1, 11, 0.05, 0.01), (1, 2, 11, 0.05 + 1e-8, 0.001), (1, 1, 12, 0.05 + 4e-7, 0.0001), (1, 3, 13, 0.01, 0.01), (1, 4, 13, 0.01 + 4e-6, 0.001)]
+    pairs = spark.createDataFrame(rows, "video_id long, prev_id long, next_id long, error double, bend double").repartition(2)
+    monkeypatch.setattr(link, "scored_pairs", lambda *a: pairs)
+    tracks = spark.createDataFrame([(1, i, i) for i in (1, 2, 3, 4, 11, 12, 13)], "video_id long, track_id long, frame long")
+    got = {r.track_id: r.new_id for r in link.link(tracks).collect()}
+    assert got[12] == got[1] and got[11] == got[2] and got[13] == got[3] and len({got[i] for i in (1, 2, 3, 4)}) == 4
+
+
 def test_links_follow_a_plain_loop(spark):
     """The best pair links (close errors: the smoother one), then the best of those left; ids count by what starts first."""
     from trackloom.operators import link
@@ -316,7 +365,8 @@ def test_links_follow_a_plain_loop(spark):
     assert set(got) == set(starts) and len(pairs) > 20
     joined, left = {}, list(pairs)
     while left:
-        best = min(left, key=lambda p: (round(p[3], 7), p[4], p[1], p[2]))
+        least = {v: min(p[3] for p in left if p[0] == v) for v in {p[0] for p in left}}
+        best = min((p for p in left if np.isclose(p[3], least[p[0]])), key=lambda p: (p[0], p[4], p[1], p[2]))
         joined[best[0], best[2]] = best[0], best[1]
         left = [p for p in left if p[0] != best[0] or p[1] != best[1] and p[2] != best[2]]
 

@@ -374,10 +374,11 @@ def slot_tracker(spark: SparkSession, d: str) -> DataFrame:
     return _slots(spark, d)
 
 
-@query(f"WITH {_SLOTS} SELECT *, CASE WHEN det_id % 3 <> 0 THEN det_id * 10 END AS mask FROM trk", det=True)
+@query(f"WITH {_SLOTS} SELECT *, CASE WHEN det_id % 3 <> 0 THEN det_id * 10 ELSE -1 END AS mask FROM trk", det=True)
 def slot_masks(spark: SparkSession, d: str) -> DataFrame:
-    """Masks of detections stay with their tracks."""
-    return tr.slots(S.detections(spark, d).withColumn("mask", F.when(F.col("det_id") % 3 != 0, F.col("det_id") * 10)))
+    """Masks of detections stay with their tracks; -1 stands for none."""
+    masked = S.detections(spark, d).withColumn("mask", F.when(F.col("det_id") % 3 != 0, F.col("det_id") * 10))
+    return tr.slots(masked).withColumn("mask", F.coalesce("mask", F.lit(-1)))
 
 
 @query(f"WITH {_SLOTS} SELECT video_id, track_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_obs, round(avg(score), 9) AS mean_score, count(*) >= 10 AS eligible FROM trk GROUP BY ALL", det=True)
@@ -442,6 +443,31 @@ def link_candidates(spark: SparkSession, d: str) -> DataFrame:
     return tr.link_candidates(_slots(spark, d), eligible=3)
 
 
+_PATHS = """k AS (SELECT video_id, prev_id, next_id FROM p WHERE distance <= 0.4e0 AND ((na < 1e-6 AND nb < 1e-6) OR (na >= 1e-6 AND nb >= 1e-6 AND along/(na*nb) >= 0.8e0 AND greatest(na,nb)/greatest(least(na,nb),1e-6) <= 3e0))),
+ en AS (SELECT video_id, track_id, list({'f': frame, 'x': cx, 'y': cy} ORDER BY frame) FILTER (i <= 6) AS head, list({'f': frame, 'x': cx, 'y': cy} ORDER BY frame) FILTER (j <= 6) AS tail FROM c GROUP BY ALL),
+ g0 AS (SELECT k.*, a.tail, b.head, a.tail[1] AS p, a.tail[-1] AS t, b.head[1] AS h, b.head[-1] AS q FROM k JOIN en a ON a.video_id=k.video_id AND a.track_id=prev_id JOIN en b ON b.video_id=k.video_id AND b.track_id=next_id),
+ g1 AS (SELECT *, h.f - t.f AS gap, (t.x-p.x)/(t.f-p.f) AS bx, (t.y-p.y)/(t.f-p.f) AS by_, (q.x-h.x)/(q.f-h.f) AS ax, (q.y-h.y)/(q.f-h.f) AS ay FROM g0),
+ gg AS (SELECT * EXCLUDE (bx, by_, ax, ay), CASE WHEN sqrt(bx*bx+by_*by_) >= 1e-6 THEN bx ELSE 0 END AS bx, CASE WHEN sqrt(bx*bx+by_*by_) >= 1e-6 THEN by_ ELSE 0 END AS by_, CASE WHEN sqrt(ax*ax+ay*ay) >= 1e-6 THEN ax ELSE 0 END AS ax, CASE WHEN sqrt(ax*ax+ay*ay) >= 1e-6 THEN ay ELSE 0 END AS ay FROM g1),
+ fw AS (SELECT video_id, prev_id, next_id, sqrt(pow(t.x+bx*(gap+k)-o.x, 2)+pow(t.y+by_*(gap+k)-o.y, 2))/(gap+k) AS e FROM (SELECT *, unnest(range(1, least(5, len(head)) + 1)) AS k, head[k] AS o FROM gg)),
+ bw AS (SELECT video_id, prev_id, next_id, sqrt(pow(h.x-ax*k-o.x, 2)+pow(h.y-ay*k-o.y, 2))/k AS e FROM (SELECT *, unnest(range(1, least(5, len(tail)) + 1)) AS k, tail[-k] AS o FROM gg)),
+ er AS (SELECT video_id, prev_id, next_id, avg(e) AS error, max(e) AS ahead FROM fw GROUP BY ALL), wo AS (SELECT video_id, prev_id, next_id, max(e) AS back FROM bw GROUP BY ALL),
+ pa AS (SELECT video_id, prev_id, next_id, unnest(tail).f AS f, unnest(tail).x AS x, unnest(tail).y AS y FROM gg UNION ALL SELECT video_id, prev_id, next_id, unnest(head).f, unnest(head).x, unnest(head).y FROM gg
+   UNION ALL SELECT video_id, prev_id, next_id, t.f + s, t.x*(1-s/gap)+h.x*(s/gap), t.y*(1-s/gap)+h.y*(s/gap) FROM (SELECT *, unnest(range(1, gap)) AS s FROM gg)),
+ mo AS (SELECT *, f - avg(f) OVER w AS u, count(*) OVER w AS n, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM pa WINDOW w AS (PARTITION BY video_id, prev_id, next_id)),
+ s2 AS (SELECT *, sum(u*u) OVER w AS q2, sum(u*u*u) OVER w AS q3, sum(u*x) OVER w AS tx, sum(u*y) OVER w AS ty FROM mo WINDOW w AS (PARTITION BY video_id, prev_id, next_id)),
+ s3 AS (SELECT *, u*u - q3/q2*u - q2/n AS c2 FROM s2),
+ s4 AS (SELECT *, sum(c2*c2) OVER w AS n2, sum(c2*x) OVER w AS px, sum(c2*y) OVER w AS py FROM s3 WINDOW w AS (PARTITION BY video_id, prev_id, next_id)),
+ be AS (SELECT video_id, prev_id, next_id, sqrt(avg(pow(x-mx-tx/q2*u-px/n2*c2, 2))) AS rx, sqrt(avg(pow(y-my-ty/q2*u-py/n2*c2, 2))) AS ry FROM s4 GROUP BY ALL)
+ SELECT video_id, prev_id, next_id, round(error, 9) AS error, round(greatest(rx, ry, ahead, back), 9) AS bend FROM er JOIN wo USING (video_id, prev_id, next_id) JOIN be USING (video_id, prev_id, next_id)"""
+
+
+@query(SQL["link_candidates"].rpartition("SELECT video_id, prev_id, next_id, gap")[0].rstrip() + ", " + _PATHS)
+def link_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How well the second track of each candidate goes on where the first ends."""
+    found = link.rated_pairs(_slots(spark, d), eligible=3)
+    return found.select("video_id", "prev_id", "next_id", F.round("error", 9).alias("error"), F.round("bend", 9).alias("bend"))
+
+
 @query(f"WITH {_SLOTS} SELECT video_id, track_id, frame, x1+(x2-x1)/2e0 AS center_x, y1+(y2-y1)/2e0 AS center_y FROM trk", det=True)
 def track_centers(spark: SparkSession, d: str) -> DataFrame:
     return tr.centres(_slots(spark, d))
