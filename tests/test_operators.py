@@ -131,11 +131,22 @@ def test_layers(tmp_path):
     (tmp_path / "c.toml").write_text(config.to_toml(c))
     assert config.load(tmp_path / "c.toml") == c
     assert config.resolve({"model.name": "x_b1.onnx"}).detection.batch_size == 1
-    for bad in ({"blur.strength": 0}, {"what": {}}, {"blur.what": 1}, {"tracking.kind": "none"}, {"detection.confidence": 2}):
+    for bad in ({"blur.strength": 0}, {"what": {}}, {"blur.what": 1}, {"tracking.kind": "none"}, {"tracking.base": "dummy"}, {"tracking.weight": 2}, {"detection.confidence": 2}):
         with pytest.raises(ValueError):
             config.resolve(bad)
 
 
+def test_every_kind_runs_by_its_settings(spark):
+    """Any case counts; links join what a gap broke, and fill it."""
+    rows = [(1, f, 0, 0.1 + 0.004 * f, 0.1, 0.2 + 0.004 * f, 0.2, 0.9, True) for f in range(45) if not 20 <= f < 24]
+    given = spark.createDataFrame(rows, "video_id long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double, is_confident boolean")
+    for kind in ("Dummy", "SORT", "Bidirectional"):
+        c = config.resolve({"tracking.kind": kind, "tracking.base": "Sort"}).tracking
+        got = c.apply(given).collect()
+        assert {r.frame for r in got} >= {f for f in range(45) if not 20 <= f < 24} - {0, 1, 44} and len({r.track_id for r in got}) == 1
+    assert config.resolve({"tracking.kind": "bidirectional", "tracking.base": "botsort"}).tracking.settings().confirm_after == 3
+
+
 def test_sql_functions(spark):
     from trackloom.functions import sql
 

@@ -8,10 +8,15 @@ from math import nextafter
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame
+
+from trackloom.operators import bidirectional, link, tracks
+from trackloom.operators.link import MAX_ERROR, MAX_GAP
 from trackloom.operators.pixels import KINDS as BLURS
 from trackloom.operators.trackers import KINDS as TRACKERS
 from trackloom.operators.trackers import Settings, settings
 from trackloom.schema import REDACTED
+from trackloom.sources.shared import keep
 
 
 def _within(low: float, high: float, default: Any) -> Any:
@@ -56,15 +61,39 @@ PARAMETERS = {
 
 @dataclass(frozen=True)
 class Tracking:
+    """``base``, ``overlap`` and ``weight`` are of the kind ``bidirectional``; the gap, the gate and the error of links
+    can't exceed what the linker allows."""
+
     kind: str = "bytetrack"
     link: bool = True
     params: dict = field(default_factory=dict)
+    base: str = "bytetrack"
+    overlap: float = _within(0, 1, 0.3)
+    weight: float = _within(0, 1, 0.6)
+    link_gap: int = _within(1, MAX_GAP, MAX_GAP)
+    link_gate: float = _within(0, 1, 0.4)
+    link_error: float = _within(0, MAX_ERROR, MAX_ERROR)
 
     def settings(self) -> Settings:
+        """Of the tracker that does the work: ``dummy`` has none to do, ``bidirectional`` leaves it to its base."""
         for name, (low, high) in PARAMETERS.items():
             if name in self.params and not low <= self.params[name] <= high:
                 raise ValueError(f"{name} is {self.params[name]}; it must lie in {low} to {high}")
-        return settings(self.kind, **self.params)
+        kind = self.kind.lower()
+        return Settings(**self.params) if kind == "dummy" else settings(self.base if kind == "bidirectional" else kind, **self.params)
+
+    def apply(self, dets: DataFrame) -> DataFrame:
+        """Tracks of detections by these settings, fragments linked and their gaps filled if it says so."""
+        kind, s = self.kind.lower(), self.settings()
+        if kind == "bidirectional":
+            found = bidirectional.bidirectional(dets, self.base.lower(), s, self.overlap, self.weight)
+        else:
+            found = bidirectional.tracker(dets, kind, s)
+        if not self.link:
+            return found
+        found = keep(found)
+        named = tracks.remap(found, link.link(found, self.link_gap, self.link_gate, self.link_error))
+        return named.unionByName(tracks.fill_gaps(named), allowMissingColumns=True)
 
 
 @dataclass(frozen=True)
@@ -90,8 +119,9 @@ class Config:
                     raise ValueError(f"{f.name} is {value}; it must lie in {low} to {high}")
         if self.blur.kind.lower() not in BLURS:
             raise ValueError(f"no redaction {self.blur.kind!r}")
-        if self.tracking.kind not in TRACKERS:
-            raise ValueError(f"no tracker {self.tracking.kind!r}")
+        for kind, others in ((self.tracking.kind, ("dummy", "bidirectional")), (self.tracking.base, ())):
+            if kind.lower() not in (*TRACKERS, *others):
+                raise ValueError(f"no tracker {kind!r}")
         self.tracking.settings()
 
 
