@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import motion as M
-from trackloom.operators import nms
+from trackloom.operators import nms, pictures
 from trackloom.operators import tracks as tr
 from trackloom.operators import trackers
 from trackloom.plans import queries as plans
@@ -58,7 +58,7 @@ class Track:
         self.id, self.mean, self.cov = number, np.r_[xyah(box), np.zeros(4)], np.eye(8) * 10
         self.hits, self.misses, self.age, self.seen, self.score, self.hidden = 1, 0, 1, frame, score, False
         self.shown, self.last, self.at, self.before, self.move = np.array(box), np.array(box), frame, None, None
-        self.looks, self.mean_look = [], None
+        self.looks, self.mean_look, self.held = [], None, None
 
     def look(self, vector, weight):
         unit = vector / (np.linalg.norm(vector) + 1e-8)
@@ -89,7 +89,10 @@ def pairs(kind, tracks, found, gate, shift):
             far = math.hypot(ax - shift[0] - bx, ay - shift[1] - by)
             if far > gate:
                 continue
-            if kind in ("fused", "hybrid_sot"):
+            if kind in ("fused", "hybrid_sot") and len(d) == 3:
+                aspect = [max(b[2] / max(b[3], 1e-6), 1e-6) for b in (t.shown, d[0])]
+                far += 0.1 * min(1, abs(aspect[0] - aspect[1]))
+            elif kind in ("fused", "hybrid_sot"):
                 aspect = [max(b[2] / max(b[3], 1e-6), 1e-6) for b in (t.shown, d[0])]
                 far += 0.1 * min(1, abs(aspect[0] - aspect[1]))
                 like = [cosine(t.mean_look, d[3]), max(cosine(v, d[3]) for v in t.looks)]
@@ -106,8 +109,57 @@ def pairs(kind, tracks, found, gate, shift):
     return [(rows[i], cols[j]) for i, j in M.assign(np.where(np.isfinite(small), small, gate + 10)) if np.isfinite(small[i, j])]
 
 
-def plain(kind, frames):
-    """Rows of one video: ``frames`` holds the frame and its detections as box, score and flag, in order."""
+def cut(image, box):
+    """A fifth more than the box, in whole pixels of the image, and what is there in grey."""
+    height, width = image.shape
+    x, y, w, h = (round(v * n) for v, n in zip(box, (width, height) * 2))
+    left, top, across, down = round(x + w / 2 - w * 0.6), round(y + h / 2 - h * 0.6), round(w * 1.2), round(h * 1.2)
+    x1, y1, x2, y2 = max(left, 0), max(top, 0), min(left + across, width), min(top + down, height)
+    return (x1, y1, x2 - x1, y2 - y1), image[y1:y2, x1:x2]
+
+
+def seek(image, held, reach=8, least=0.7):
+    """The place within reach that correlates most with what is held."""
+    (x, y, w, h), part = held
+    best = None
+    for ny in range(max(y - reach, 0), min(y + reach, image.shape[0] - h) + 1):
+        for nx in range(max(x - reach, 0), min(x + reach, image.shape[1] - w) + 1):
+            like = round(np.corrcoef(image[ny : ny + h, nx : nx + w].ravel(), part.ravel())[0, 1], 9)
+            rank = (-like, math.hypot(nx - x, ny - y), ny, nx)
+            if like >= least and (best is None or rank < best):
+                best = rank
+    return best and (best[3], best[2], w, h)
+
+
+def looked(t, frame, image, found, matched):
+    """Whether a picture keeps a track that no detection met."""
+    if image is None or t.held is None or t.misses > 10:
+        t.held = None if t.misses > 10 else t.held
+        return False
+    at = seek(image, t.held)
+    if at is None:
+        return False
+    t.held = (at, t.held[1])
+    box = np.array(at) / np.tile(image.shape[::-1], 2)
+    if math.dist(centre(box), centre(t.shown)) > 0.05:
+        return False
+    spare = [d for d in found if not d[2] and id(d) not in matched]
+    near = max(spare, key=lambda d: overlap(box, d[0]), default=None)
+    t.misses, t.seen = 0, frame
+    if near is not None and overlap(box, near[0]) > 0.1:
+        matched.add(id(near))
+        box, t.score, t.hidden, t.held = near[0], near[1], False, cut(image, near[0])
+        t.hits += 1
+    else:
+        t.score *= 0.9
+    t.measure(box)
+    t.shown = tlwh(t.mean)
+    return True
+
+
+def plain(kind, frames, images=None):
+    """Rows of one video: ``frames`` holds the frame and its detections as box, score and flag, in order; ``images`` gives
+    the picture of a frame."""
     rule, tracks, number, centres, out = RULES[kind], [], 1, None, []
     for frame, found in frames:
         for t in tracks:
@@ -143,8 +195,12 @@ def plain(kind, frames):
                 t.score, t.seen, t.misses, t.hidden = d[1], frame, 0, False
                 t.hits += 1
                 t.shown = rule["smooth"] * tlwh(t.mean) + (1 - rule["smooth"]) * t.shown
+                if images and images[frame] is not None:
+                    t.held = cut(images[frame], d[0])
             free = [t for i, t in enumerate(free) if i not in {i for i, _ in got}]
         for t in free:
+            if images and looked(t, frame, images[frame], found, matched):
+                continue
             t.seen = frame
             if t.misses > rule["misses"]:
                 t.hidden = True
@@ -380,3 +436,43 @@ def test_links_follow_a_plain_loop(spark):
                 own[root(k)].append(s)
         order = sorted(own, key=lambda r: (min(own[r]), r[1]))
         assert {k: order.index(root(k)) + 1 for k in starts if k[0] == video} == {k: n for k, n in got.items() if k[0] == video}
+
+
+def test_pictures_keep_tracks_as_a_plain_loop_does(spark):
+    """A textured square moves over noise; its detections stop, come back weak once, and come back. One picture is missing,
+    one video has no pictures at first, one none at all."""
+    rng, rows, frames, images = np.random.default_rng(5), [], [], defaultdict(dict)
+    for video in (1, 2, 3):
+        back, square = rng.integers(0, 80, (48, 64), np.uint8), rng.integers(100, 255, (10, 12), np.uint8)
+        for frame in range(24):
+            x, y = 6 + frame, 10 + frame // 2
+            image = back.copy()
+            image[y : y + 10, x : x + 12] = square
+            found = [(0.7, 0.7, 0.1, 0.1, 0.9)]
+            if not 8 <= frame < 20:
+                found.append((x / 64, y / 48, 12 / 64, 10 / 48, 0.8))
+            if frame == 15:
+                found.append(((x - 1) / 64, y / 48, 12 / 64, 10 / 48, 0.2))
+            rows += [(video, frame, i, a, b, a + w, b + h, score, score > 0.5) for i, (a, b, w, h, score) in enumerate(found)]
+            there = video < 3 and frame != 11 and (video, frame) >= (2, 3) or video == 1 and frame != 11
+            if there:
+                frames.append((video, frame, 64, 48, np.repeat(image[:, :, None], 3, axis=2).tobytes()))
+            images[video][frame] = image.astype(float) if there else images[video].get(frame - 1)
+    frames += [frames[0], (1, 99, 64, 48, b""), (4, 0, 64, 48, None)]
+    dets = spark.createDataFrame(rows, "video_id long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double, is_confident boolean")
+    shown = spark.createDataFrame(frames, "video_id long, frame long, width int, height int, pixels binary")
+    found = trackers.track(dets, "hybrid_sot", frames=shown, sight=lambda: pictures.Sight(pictures.Template()))
+    got = {(r.video_id, r.frame, r.track_id): r for r in found.collect()}
+    want = {}
+    for video in (1, 2, 3):
+        held = [(f, [((r[3], r[4], r[5] - r[3], r[6] - r[4]), r[7], r[8]) for r in rows if r[:2] == (video, f)]) for f in range(24)]
+        want |= {(video, r[0], r[1]): r for r in plain("hybrid_sot", held, images[video])}
+    assert got.keys() == want.keys()
+    for key, (_, _, state, age, seen, x, y, w, h, score) in want.items():
+        r = got[key]
+        assert (r.state, r.age, r.last_seen) == (state, age, seen), key
+        assert np.allclose((r.x1, r.y1, r.width, r.height, r.score), (x, y, w, h, score), atol=1e-9), key
+    ids = lambda v: {i for video, _, i in got if video == v}
+    assert (len(ids(1)), len(ids(2)), len(ids(3))) == (2, 2, 3)  # without pictures the square is a new track when it comes back
+    with pytest.raises(ValueError):
+        trackers.track(dets, "sort", frames=shown, sight=lambda: None)

@@ -40,18 +40,22 @@ def patch(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return (sized / 255).astype(np.float32)
 
 
+def frame_at(rows: DataFrame, frames: DataFrame) -> DataFrame:
+    """``video_id, frame`` of all frames that the rows are in, with ``_at``: that frame, or the last one before it that there is."""
+    asked, there = rows.select(*KEYS).distinct().withColumn("_there", F.lit(False)), frames.select(*KEYS).distinct().withColumn("_there", F.lit(True))
+    both = asked.union(there).groupBy(*KEYS).agg(F.bool_or("_there").alias("_there"), F.bool_or(~F.col("_there")).alias("_asked"))
+    last = F.last(F.when(F.col("_there"), F.col("frame")), ignorenulls=True).over(Window.partitionBy("video_id").orderBy("frame"))
+    return both.withColumn("_at", last).where("_asked").select(*KEYS, "_at")
+
+
 def frames_for(rows: DataFrame, frames: DataFrame) -> DataFrame:
     """``rows`` with the ``width, height, pixels`` of their frame, or of the last frame before it that there is.
 
     Only keys are looked up: pixels meet the rows in one join on the frame found. Rows before a video's first frame
     get nulls; frames that come twice count once.
     """
-    asked, there = rows.select(*KEYS).distinct().withColumn("_there", F.lit(False)), frames.select(*KEYS).distinct().withColumn("_there", F.lit(True))
-    both = asked.union(there).groupBy(*KEYS).agg(F.bool_or("_there").alias("_there"), F.bool_or(~F.col("_there")).alias("_asked"))
-    last = F.last(F.when(F.col("_there"), F.col("frame")), ignorenulls=True).over(Window.partitionBy("video_id").orderBy("frame"))
-    at = both.withColumn("_at", last).where("_asked").select(*KEYS, "_at")
     shown = frames.dropDuplicates(list(KEYS)).select("video_id", F.col("frame").alias("_at"), "width", "height", "pixels")
-    return rows.join(at, list(KEYS)).join(shown, ["video_id", "_at"], "left").drop("_at")
+    return rows.join(frame_at(rows, frames), list(KEYS)).join(shown, ["video_id", "_at"], "left").drop("_at")
 
 
 def embed(boxes: DataFrame, frames: DataFrame, open_model: Callable[[], Callable[[np.ndarray], np.ndarray]], height: int = 128, width: int = 128, batch_size: int = 32) -> DataFrame:

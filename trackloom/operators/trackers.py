@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from trackloom.operators.motion import Filters, assign, distances, overlaps, to_tlwh
+from trackloom.operators.pictures import ORDER, Sight, beside
 
 
 @dataclass(frozen=True)
@@ -213,12 +214,12 @@ def _blend(e: dict, unit: np.ndarray, weight: float) -> None:
     e["mean"] = unit if "mean" not in e else _unit(0.5 * e["mean"] + 0.5 * max(weight, 1e-3) * unit)
 
 
-def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callable | None = None) -> list[tuple]:
+def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callable | Sight | None = None) -> list[tuple]:
     """Advance the tracks of a video by a frame; rows ``track_id, x, y, w, h, state, age, last_seen, score, mask``.
 
     ``visual(frame, track_id, box)`` may return the box where a picture shows a track that no detection met, or that
-    box and the vector of what is in it (``hybrid_sot`` only). Association uses the smoothed box of the last frame, not
-    the prediction.
+    box and the vector of what is in it (``hybrid_sot`` only). A ``pictures.Sight`` in its place remembers the picture of
+    every detection that meets a track. Association uses the smoothed box of the last frame, not the prediction.
     """
     rules, n = KINDS[kind], t.number
     t.filters.predict()
@@ -242,6 +243,9 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
         _see(t, at, f, by, frame, s, rules.momentum)
     for i, d in matches if f.embedding else ():
         _remember(t.extra[i], f.embedding[d], float(f.score[d]))
+    if kind == "hybrid_sot" and isinstance(visual, Sight):
+        for i, d in matches:
+            _remember(t.extra[i], visual.start(t.extra[i], f.tlwh[d]), float(f.score[d]))
     spare = [int(d) for d in np.flatnonzero(~f.sure & free_det)]
     missed = np.flatnonzero(free_track)
     if kind == "hybrid_sot" and visual:
@@ -281,14 +285,17 @@ def step(kind: str, s: Settings, t: Tracks, frame: int, f: Frame, visual: Callab
     return out
 
 
-def _shown(t: Tracks, i: int, frame: int, f: Frame, spare: list[int], s: Settings, visual: Callable) -> bool:
+def _shown(t: Tracks, i: int, frame: int, f: Frame, spare: list[int], s: Settings, visual: Callable | Sight) -> bool:
     """A picture may keep a missed track: by a low detection at its box, which is used once, or by the box itself.
 
     A picture that no longer looks like the track is not asked again until a detection meets it; in this frame the
     track then stays as it was.
     """
     n, e = t.number, t.extra[i]
-    found = visual(frame, int(n["id"][i]), t.smooth[i]) if n["misses"][i] <= s.visual_age and not e.get("lost") else None
+    if n["misses"][i] > s.visual_age or e.get("lost"):
+        e.pop("picture", None)  # is not asked again until a detection brings a new one
+        return False
+    found = visual.find(e) if isinstance(visual, Sight) else visual(frame, int(n["id"][i]), t.smooth[i])
     if found is None:
         return False
     box, vector = found if isinstance(found, tuple) and len(found) == 2 else (found, None)
@@ -309,6 +316,8 @@ def _shown(t: Tracks, i: int, frame: int, f: Frame, spare: list[int], s: Setting
         if near.max() > 0.1:
             d = spare.pop(int(near.argmax()))
             _see(t, np.array([i]), f, np.array([d]), frame, s, False)
+            if isinstance(visual, Sight):
+                _remember(e, visual.start(e, f.tlwh[d]), float(f.score[d]))
             return True
     t.filters.update(i, box)
     t.smooth[i] = s.smooth * to_tlwh(t.filters.mean[i, :4]) + (1 - s.smooth) * t.smooth[i]
@@ -333,19 +342,35 @@ def _rows_of(video: int, frame: int, found: list[tuple], columns: list[str]) ->
     return [(video, frame, i, x, y, x + w, y + h, w, h, state, age, seen, score, True, *[mask] * masks) for i, x, y, w, h, state, age, seen, score, mask in found]
 
 
-def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None, visual: Callable | None = None) -> DataFrame:
+def track(
+    dets: DataFrame,
+    kind: str = "sort",
+    settings_: Settings | None = None,
+    visual: Callable | None = None,
+    frames: DataFrame | None = None,
+    sight: Callable[[], Sight] | None = None,
+) -> DataFrame:
     """Tracks of each video's detections. Frames without detections are no steps; order in a frame is ``det_id``.
 
     Every visible track gives a row for every present frame. An ``embedding`` column, where there is one, joins
     the cost of ``fused`` and ``hybrid_sot``; a ``mask`` column gives each row the mask of the detection that it was seen
     by, null in frames where none was. ``kind`` may be in any case; ``bidirectional.tracker`` takes all kinds. Null flags count as confident; null coordinates, confidences or frames leave the row out;
     no rows give no rows. A task walks its videos frame by frame with the state of one video.
+
+    With ``frames`` (``video_id, frame, width, height, pixels``) ``hybrid_sot`` looks for tracks that no detection met:
+    ``sight()``, once in a task, gives the :class:`pictures.Sight` to do so. Pixels move once, those of frames that have
+    detections only; a frame that is missing shows the last one before it.
     """
     kind = kind.lower()
     s = settings_ or settings(kind)
+    if (frames is None) != (sight is None) or (sight and (visual or kind != "hybrid_sot")):
+        raise ValueError("frames and a sight come together, for hybrid_sot and in place of visual")
     columns = input_columns(dets, kind)
     known = dets.dropna(subset=["video_id", "frame", "x1", "y1", "x2", "y2", "confidence"]).withColumn("is_confident", F.coalesce("is_confident", F.lit(True)))
-    ordered = known.select(*columns).repartition("video_id").sortWithinPartitions("video_id", "frame", "det_id")
+    known = known.select(*columns)
+    order = ORDER if sight else ("video_id", "frame", "det_id")
+    read = [*columns, *("_picture", "width", "height", "pixels")] if sight else columns
+    ordered = (beside(known, frames) if sight else known).select(*read).repartition("video_id").sortWithinPartitions(*order)
 
     shape = to_arrow_schema(StructType.fromDDL(output(columns)))
 
@@ -353,6 +378,16 @@ def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None
         import pyarrow as pa
 
         key, held, t = None, None, Tracks()
+        seen = sight() if sight else None
+
+        def pictured(rows: dict[str, np.ndarray], fresh: bool) -> dict[str, np.ndarray]:
+            """Shows the frame's picture, if one comes; the rows of detections that are left."""
+            if fresh:
+                seen.show(None, None, None)
+            at = np.flatnonzero(rows["_picture"] == 0)
+            if len(at):
+                seen.show(*(rows[c][at[0]] if c == "pixels" else int(rows[c][at[0]]) for c in ("width", "height", "pixels")))
+            return {c: v[len(at) :] for c, v in rows.items()}
 
         def walk(rows: dict[str, np.ndarray], last: bool) -> tuple[list[tuple], dict | None]:
             """Rows of all whole frames; the last frame waits for the next batch."""
@@ -362,9 +397,14 @@ def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None
             stop = len(edge) - 1 if last else len(edge) - 2
             for a, b in zip(edge[:stop], edge[1 : stop + 1], strict=True):
                 video, frame = int(rows["video_id"][a]), int(rows["frame"][a])
-                if video != key:
+                fresh, own = video != key, {c: v[a:b] for c, v in rows.items()}
+                if fresh:
                     key, t = video, Tracks()
-                out += _rows_of(video, frame, step(kind, s, t, frame, _frame_of({c: v[a:b] for c, v in rows.items()}), visual), columns)
+                if seen:
+                    own = pictured(own, fresh)
+                    if not len(own["frame"]):
+                        continue
+                out += _rows_of(video, frame, step(kind, s, t, frame, _frame_of(own), seen or visual), columns)
             return out, None if last else {c: v[edge[-2] :] for c, v in rows.items()}
 
         def table(out: list[tuple]) -> pa.RecordBatch:
@@ -372,7 +412,7 @@ def track(dets: DataFrame, kind: str = "sort", settings_: Settings | None = None
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, shape, strict=True)], schema=shape)
 
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in read}
             if held:
                 rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
             if len(rows["frame"]):

@@ -11,7 +11,7 @@ from trackloom.functions import boxes as B
 from trackloom.functions import text as X
 from trackloom.functions import vectors as V
 from trackloom.functions.boxes import Box
-from trackloom.operators import assign, bidirectional, detect, jobs, link, nms, pixels, runs, trackers
+from trackloom.operators import assign, bidirectional, detect, jobs, link, nms, pictures, pixels, runs, trackers
 from trackloom.operators import tracks as tr
 from trackloom.schema import CLASSES
 from trackloom.sources import tables as S
@@ -834,16 +834,25 @@ WIDTH, HEIGHT = 64, 48
 DIGESTS = -(-6 * (WIDTH + HEIGHT) // 32)
 
 
-def _frames(spark: SparkSession, d: str) -> DataFrame:
-    """A small frame for each present one; its colours follow from digests of its keys and change from pixel to pixel."""
+def _frames(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    """A small frame for each present one; its colours follow from digests of some of its keys, of all unless said
+    otherwise, and change from pixel to pixel."""
     keys = S.detections(spark, d).select("video_id", "frame").distinct()
-    line = F.concat(*(F.md5(F.concat_ws("|", "video_id", "frame", F.lit(k))) for k in range(DIGESTS)))
+    line = F.concat(*(F.md5(F.concat_ws("|", *(by or ("video_id", "frame")), F.lit(k))) for k in range(DIGESTS)))
     # inside a lambda the line is computed once, not again for each row of pixels
     row = lambda at: F.transform(F.sequence(F.lit(0), F.lit(HEIGHT - 1)), lambda r: at.substr(6 * r + 1, F.lit(6 * WIDTH)))
     pixels_ = F.transform(F.array(line), lambda at: F.array_join(row(at), ""))[0]
     return keys.select("video_id", "frame", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.unhex(pixels_).alias("pixels"))
 
 
+@query()
+def hybrid_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks that no detection met are looked for in frames that show the same scene throughout a video."""
+    sight = lambda: pictures.Sight(pictures.Template(), lambda patch: patch.mean(axis=(0, 1)))
+    dets = nms.renumber(nms.suppress(S.detections(spark, d)))
+    return trackers.track(dets, "hybrid_sot", frames=_frames(spark, d, "video_id"), sight=sight)
+
+
 def _regions(spark: SparkSession, d: str) -> DataFrame:
     x, y, w, h = B.roi(Box.of(), F.lit(WIDTH), F.lit(HEIGHT))
     wanted = S.detections(spark, d).where("is_confident AND object_class IN (1, 3)")
