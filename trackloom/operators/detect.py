@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import boxes as B
@@ -63,3 +63,22 @@ def tiles(images: DataFrame, size: int = 640, overlap: float = 0.2) -> DataFrame
     grid = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("offset_x"), y.alias("offset_y")))))
     cut = images.select("*", F.posexplode(grid).alias("tile_id", "tile")).select("*", "tile.*").drop("tile")
     return cut.withColumns({"tile_width": F.least(F.lit(size), F.col("frame_width")), "tile_height": F.least(F.lit(size), F.col("frame_height"))})
+
+
+def paired(dets: DataFrame, shifts: Column, shapes: Column, width: Column, height: Column) -> DataFrame:
+    """Detections with ``shift_x, shift_y, full_height, full_width`` of their frame: the n-th present frame of a video takes
+    the n-th entry of the arrays ``shifts`` (x, y) and ``shapes`` (height, width).
+
+    The arrays may be literals or columns. Where ``shapes`` has no n-th entry, or is null, the size is ``height`` and
+    ``width``; a missing shift, and any entry that doesn't have two numbers or is null, gives zeros.
+    """
+    nth = F.dense_rank().over(Window.partitionBy("video_id").orderBy("frame")) - 1
+    placed = dets.withColumns({"_nth": nth, "_shifts": shifts, "_shapes": shapes})
+    beyond = F.coalesce(F.col("_nth") >= F.size("_shapes"), F.lit(True)) | (F.coalesce(F.size("_shapes"), F.lit(-1)) < 0)
+
+    def part(of: str, k: int) -> Column:
+        entry = F.get(F.col(of), F.col("_nth"))
+        return F.coalesce(F.when(F.size(entry) == 2, F.get(entry, F.lit(k))), F.lit(0)).cast("long")
+
+    full = {name: F.when(beyond, own.cast("long")).otherwise(part("_shapes", k)) for k, (name, own) in enumerate({"full_height": height, "full_width": width}.items())}
+    return placed.withColumns({"shift_x": part("_shifts", 0), "shift_y": part("_shifts", 1), **full}).drop("_nth", "_shifts", "_shapes")

@@ -85,6 +85,15 @@ def overlapping_pairs(df: DataFrame, threshold: float, keys: tuple[str, ...] = (
     return met.select(*(F.col(f"a.{k}") for k in keys), F.col("a.det_id").alias("det_a"), F.col("b.det_id").alias("det_b"), overlap.alias("iou")).where(F.col("iou") > threshold)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Survivors with ``place``, from 0: their order in a frame by falling confidence, equal ones by class, then as they
+    survived in it."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*FRAME).orderBy(F.desc("confidence"), "object_class", F.desc("det_id"))
+    return df.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+
+
 def renumber(df: DataFrame) -> DataFrame:
     """Detections numbered anew in each frame by falling confidence, the order in which trackers take them."""
     from pyspark.sql import Window

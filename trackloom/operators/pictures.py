@@ -54,7 +54,7 @@ class Template:
         dot = np.einsum("abhw,hw->ab", np.lib.stride_tricks.sliding_window_view(area, (h, w)), held["part"])
         spread = _windows(area**2, h, w) - _windows(area, h, w) ** 2 / (h * w)
         like = np.round(np.where(spread > 1e-6, dot / np.sqrt(np.maximum(spread, 1e-6)), -1), 9)
-        far = np.hypot(*np.ogrid[y0 - y : y0 - y + like.shape[0], x0 - x : x0 - x + like.shape[1]])
+        far = np.hypot((np.arange(like.shape[0]) + y0 - y)[:, None], np.arange(like.shape[1]) + x0 - x)
         best = np.lexsort((far.ravel(), -like.ravel()))[0]
         if like.ravel()[best] < self.least:
             return None
@@ -65,7 +65,8 @@ class Template:
 
 def _windows(values: np.ndarray, h: int, w: int) -> np.ndarray:
     """Sums of all windows."""
-    c = np.pad(values.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    c = np.zeros((values.shape[0] + 1, values.shape[1] + 1))
+    c[1:, 1:] = values.cumsum(axis=0).cumsum(axis=1)
     return c[h:, w:] - c[:-h, w:] - c[h:, :-w] + c[:-h, :-w]
 
 

@@ -15,6 +15,12 @@ VIDEO = "video_id"
 TRACK = (VIDEO, "track_id")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows with ``place``, from 0: their order in a video by frame and track."""
+    order = Window.partitionBy(VIDEO).orderBy("frame", "track_id")
+    return rows.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+
+
 def slots(dets: DataFrame, share: float | None = 0.0) -> DataFrame:
     """The simplest tracker: the n-th confident box of a frame keeps its id while each present frame has an n-th one.
 

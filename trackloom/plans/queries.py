@@ -276,6 +276,12 @@ def nms_agnostic(spark: SparkSession, d: str) -> DataFrame:
     return nms.suppress(S.detections(spark, d), keys=("video_id", "frame"))
 
 
+@query(_nms_sql("video_id, frame, object_class", "k AS (SELECT video_id, frame, object_class, unnest(kept).det_id AS det_id FROM f) SELECT video_id, frame, det_id, row_number() OVER (PARTITION BY video_id, frame ORDER BY confidence DESC, object_class, det_id DESC) - 1 AS place FROM det JOIN k USING (video_id, frame, object_class, det_id)"), det=True, recursive=True)
+def nms_order(spark: SparkSession, d: str) -> DataFrame:
+    """Survivors of all classes in one order."""
+    return nms.placed(nms.suppress(S.detections(spark, d))).select("video_id", "frame", "det_id", "place")
+
+
 @query(
     _nms_sql(
         "video_id, frame, object_class",
@@ -369,6 +375,22 @@ def _slots(spark: SparkSession, d: str) -> DataFrame:
     return tr.slots(S.detections(spark, d))
 
 
+@query(
+    """WITH f AS (SELECT video_id, frame, dense_rank() OVER (PARTITION BY video_id ORDER BY frame) AS n FROM (SELECT DISTINCT video_id, frame FROM det)),
+    l AS (SELECT *, [[k % 640, k // 7] for k in range(video_id, video_id + 40)][n] AS s, [CASE WHEN k % 5 = 0 THEN [k] ELSE [720 + k, 1280 + video_id] END for k in range(0, 60)][n] AS z FROM f)
+    SELECT video_id, frame, det_id, CASE WHEN len(s) = 2 THEN s[1] ELSE 0 END AS shift_x, CASE WHEN len(s) = 2 THEN s[2] ELSE 0 END AS shift_y,
+      CASE WHEN n > 60 THEN 1080 WHEN len(z) = 2 THEN z[1] ELSE 0 END AS full_height, CASE WHEN n > 60 THEN 1920 WHEN len(z) = 2 THEN z[2] ELSE 0 END AS full_width FROM det JOIN l USING (video_id, frame)""",
+    det=True,
+)
+def shift_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of a video's shifts and sizes meet its frames by place; sizes run out later than shifts."""
+    video = F.col("video_id")
+    shifts = F.transform(F.sequence(video, video + 39), lambda k: F.array(k % 640, F.floor(k / 7)))
+    shapes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long")), lambda k: F.when(k % 5 == 0, F.array(k)).otherwise(F.array(720 + k, 1280 + video)))
+    made = detect.paired(S.detections(spark, d), shifts, shapes, F.lit(1920), F.lit(1080))
+    return made.select("video_id", "frame", "det_id", "shift_x", "shift_y", "full_height", "full_width")
+
+
 @query(f"WITH {_SLOTS} SELECT * FROM trk", det=True)
 def slot_tracker(spark: SparkSession, d: str) -> DataFrame:
     return _slots(spark, d)
@@ -386,6 +408,11 @@ def track_summary(spark: SparkSession, d: str) -> DataFrame:
     return tr.summaries(_slots(spark, d))
 
 
+@query(f"WITH {_SLOTS} SELECT video_id, frame, track_id, row_number() OVER (PARTITION BY video_id ORDER BY frame, track_id) - 1 AS place FROM trk", det=True)
+def track_order(spark: SparkSession, d: str) -> DataFrame:
+    return tr.placed(_slots(spark, d)).select("video_id", "frame", "track_id", "place")
+
+
 @query(f"WITH {_SLOTS}, b AS (SELECT video_id, track_id, min(frame) AS s FROM trk GROUP BY ALL) SELECT video_id, track_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY s, track_id) AS BIGINT) AS new_id FROM b", det=True)
 def track_renumber(spark: SparkSession, d: str) -> DataFrame:
     return tr.renumbering(_slots(spark, d))
@@ -834,7 +861,7 @@ WIDTH, HEIGHT = 64, 48
 DIGESTS = -(-6 * (WIDTH + HEIGHT) // 32)
 
 
-def _frames(spark: SparkSession, d: str, *by: str) -> DataFrame:
+def _frames(spark: SparkSession, d: str, *by: str | F.Column) -> DataFrame:
     """A small frame for each present one; its colours follow from digests of some of its keys, of all unless said
     otherwise, and change from pixel to pixel."""
     keys = S.detections(spark, d).select("video_id", "frame").distinct()
@@ -847,10 +874,11 @@ def _frames(spark: SparkSession, d: str, *by: str) -> DataFrame:
 
 @query()
 def hybrid_pictures(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks that no detection met are looked for in frames that show the same scene throughout a video."""
-    sight = lambda: pictures.Sight(pictures.Template(), lambda patch: patch.mean(axis=(0, 1)))
+    """Tracks that no detection met are looked for in frames; every four of a video show one scene. Four pixels
+    are as far as the tracker lets a picture drift from its track."""
+    sight = lambda: pictures.Sight(pictures.Template(4), lambda patch: patch.mean(axis=(0, 1)))
     dets = nms.renumber(nms.suppress(S.detections(spark, d)))
-    return trackers.track(dets, "hybrid_sot", frames=_frames(spark, d, "video_id"), sight=sight)
+    return trackers.track(dets, "hybrid_sot", frames=_frames(spark, d, "video_id", F.floor(F.col("frame") / 4)), sight=sight)
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
