@@ -162,17 +162,32 @@ def redact(frames: DataFrame, regions: DataFrame, kind: str = "gaussian", streng
 MASK = "video_id long, frame long, det_id long, x int, y int, w int, h int, bits binary"
 
 
+PLANES = ("video_id", "frame", "tile_id")
+
+
+def store_planes(prototypes: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """Prototypes as a table in buckets of their keys, one file each, in place of what it held; the table.
+
+    Boxes that are decoded with it (:func:`decode_masks`) move to the buckets, and planes don't move again. That needs keys
+    of the table's types. Of repeated keys the first in order of data stays. ``buckets`` says how many tasks decode.
+    """
+    rest = [c for c in prototypes.columns if c not in PLANES]
+    once = prototypes.repartition(buckets, *PLANES).groupBy(*PLANES).agg(F.min_by(F.struct(*rest), "data").alias("p")).select(*PLANES, "p.*")
+    once.write.mode("overwrite").bucketBy(buckets, *PLANES).sortBy(*PLANES).saveAsTable(table)
+    return prototypes.sparkSession.table(table)
+
+
 def decode_masks(boxes: DataFrame, prototypes: DataFrame, input_size: int) -> DataFrame:
     """Masks of boxes ``video_id, frame, tile_id, det_id, x1, y1, x2, y2`` (pixels) with ``coefficients``.
 
     ``prototypes`` has ``video_id, frame, tile_id, width, height`` of the image and ``data``, float16 planes of
     ``planes, plane_height, plane_width``. Of repeated keys the first in order of data counts. Boxes meet the planes
-    of their tile as groups, so the planes travel once however many boxes they have; boxes without planes or pixels
-    give no mask.
+    of their tile as groups, so the planes travel once however many boxes they have, and not at all where
+    :func:`store_planes` made the table; boxes without planes or pixels give no mask.
     """
     import pyarrow as pa
 
-    keys = ["video_id", "frame", "tile_id"]
+    keys = PLANES
     names = [f.split(" ")[0] for f in MASK.split(", ")]
     kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
 
