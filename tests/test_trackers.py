@@ -307,6 +307,53 @@ def test_inference_to_detections(spark):
     assert (r[0].x1, r[0].x2) == (pytest.approx(22 / 64), pytest.approx(42 / 64))
 
 
+def test_frames_are_cut_in_the_task(spark):
+    """Tiles cut in the task give the rows of tiles cut before; large frames shrink first, and boxes stay shares of them."""
+    rng = np.random.default_rng(2)
+    sizes = [(100, 50), (64, 64), (200, 120), (30, 20)]
+    rows = [(1, k, w, h, w, h, bytearray(rng.integers(0, 256, w * h * 3, np.uint8).tobytes())) for k, (w, h) in enumerate(sizes)]
+    schema = "video_id long, frame long, width int, height int, frame_width int, frame_height int, pixels binary"
+    frames = spark.createDataFrame([*rows, (1, 9, 8, 8, 8, 8, None), (1, 10, 8, 8, 8, 8, bytearray(b"short")), (1, 11, 0, 0, 0, 0, bytearray())], schema)
+
+    def session():
+        def run(images):  # where a tile is brightest, and how bright it is on the whole
+            raw = np.zeros((len(images), 5, 2), np.float32)
+            for raw_, image in zip(raw, images, strict=True):
+                y, x = divmod(int(image.sum(axis=0).argmax()), image.shape[2])
+                raw_[:, 0] = [x, y, 10, 6, image.mean()]
+            return raw
+
+        return run
+
+    cut = infer.candidates(detect.tiles(spark.createDataFrame(rows, schema), 64), session, 64)
+    got = infer.tiled_candidates(frames, session, 64, 64)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, cut.collect())) and got.count() > len(rows)
+    small = infer.tiled_candidates(frames, session, 64, 64, inference_size=60)
+    assert {(r.frame, r.frame_width, r.frame_height) for r in small.collect()} == {(0, 60, 30), (1, 60, 60), (2, 60, 36), (3, 30, 20)}
+    assert small.count() == len(rows)
+
+
+def test_shrinking_by_area():
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (13, 17, 3), np.uint8)
+    small, (h, w) = infer.area(image, 5, 7), (13 / 5, 17 / 7)
+    for i in range(5):
+        for j in range(7):
+            held = np.zeros(3)
+            for y in range(13):
+                for x in range(17):
+                    held += image[y, x] * max(0, min(y + 1, (i + 1) * h) - max(y, i * h)) * max(0, min(x + 1, (j + 1) * w) - max(x, j * w))
+            assert np.abs(small[i, j] - held / (h * w)).max() <= 0.5 + 1e-6
+    assert (infer.area(image, 13, 17) == image).all() and (infer.area(np.full((9, 8, 3), 255, np.uint8), 4, 3) == 255).all()
+
+
+def test_the_best_provider_there_is():
+    assert infer.provider(["CPUExecutionProvider", "TensorrtExecutionProvider", "CUDAExecutionProvider"]) == "CUDAExecutionProvider"
+    assert infer.provider(["QNNExecutionProvider", "OpenVINOExecutionProvider"]) == "OpenVINOExecutionProvider"
+    assert infer.provider(["other"]) == "CPUExecutionProvider"
+
+
 def test_every_kind_by_name(spark):
     from trackloom.schema import TRACK
 

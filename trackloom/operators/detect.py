@@ -53,14 +53,19 @@ def _starts(length: Column, size: int, step: int) -> Column:
     return F.array_distinct(F.transform(full, lambda i: F.greatest(F.least(i * step, length - size), F.lit(0))))
 
 
+def tile_grid(width: Column, height: Column, size: int, overlap: float) -> Column:
+    """``offset_x, offset_y`` of all tiles of an image, row by row."""
+    step = max(1, size - int(size * overlap))
+    xs, ys = _starts(width, size, step), _starts(height, size, step)
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("offset_x"), y.alias("offset_y")))))
+
+
 def tiles(images: DataFrame, size: int = 640, overlap: float = 0.2) -> DataFrame:
     """Tiles ``tile_id, offset_x, offset_y, tile_width, tile_height`` of images with ``frame_width, frame_height``.
 
     Neighbours overlap by a share of the size; an image smaller than a tile is one tile.
     """
-    step = max(1, size - int(size * overlap))
-    xs, ys = _starts(F.col("frame_width"), size, step), _starts(F.col("frame_height"), size, step)
-    grid = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("offset_x"), y.alias("offset_y")))))
+    grid = tile_grid(F.col("frame_width"), F.col("frame_height"), size, overlap)
     cut = images.select("*", F.posexplode(grid).alias("tile_id", "tile")).select("*", "tile.*").drop("tile")
     return cut.withColumns({"tile_width": F.least(F.lit(size), F.col("frame_width")), "tile_height": F.least(F.lit(size), F.col("frame_height"))})
 
