@@ -168,3 +168,20 @@ def test_table_functions_for_sql(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
     got = spark.sql("SELECT * FROM track(TABLE(some_detections) PARTITION BY video_id ORDER BY (frame, det_id), 'ByteTrack')")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, trackers.track(dets, "bytetrack").collect()))
+
+
+def test_suppression_in_sql_text(spark):
+    from trackloom.functions import sql
+    from trackloom.sources import tables
+
+    assert sql.register_arrays(spark) == ["nms_kept"]
+    dets = tables.detections(spark, DATA)
+    dets.createOrReplaceTempView("boxes_of_frames")
+    row = ", ".join(f"'{c}', {c}" for c in ("det_id", "x1", "y1", "x2", "y2", "confidence"))
+    kept = spark.sql(f"WITH g AS (SELECT video_id, frame, object_class, nms_kept(collect_list(named_struct({row})), 0.3D) AS kept FROM boxes_of_frames GROUP BY ALL) SELECT video_id, frame, object_class, inline(kept) FROM g")
+    assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()
+    columns = ["video_id", "frame", "object_class", "det_id", "x1", "confidence"]
+    assert sorted(kept.select(columns).collect()) == sorted(nms.suppress(dets).select(columns).collect())
+    some = "named_struct('det_id', {}L, 'x1', 0D, 'y1', 0D, 'x2', 1D, 'y2', 1D, 'confidence', {})".format
+    r = spark.sql(f"SELECT nms_kept(array({some(1, 'CAST(null AS DOUBLE)')}, {some(2, '0.1D')}, {some(3, '0.1D')}), 0.5D) AS a, nms_kept(CAST(array() AS ARRAY<STRUCT<det_id: BIGINT, x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE, confidence: DOUBLE>>), 0.5D) AS b, nms_kept(null, 0.5D) AS c").first()
+    assert ([k.det_id for k in r.a], r.b, r.c) == ([3], [], None)

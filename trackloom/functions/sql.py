@@ -23,6 +23,23 @@ def register(spark: SparkSession) -> list[str]:
     return list(FUNCTIONS)
 
 
+_BOX = "STRUCT<det_id: BIGINT, x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE, confidence: DOUBLE>"
+_KB = "(greatest(0D, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0D, least(k.y2, b.y2) - greatest(k.y1, b.y1)))"
+_KB_UNION = f"((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_KB})"
+_FIRST = "array_sort(boxes, (a, b) -> CASE WHEN a.confidence <=> b.confidence THEN CAST(sign(b.det_id - a.det_id) AS INT) WHEN b.confidence IS NULL OR a.confidence > b.confidence THEN -1 ELSE 1 END)"
+
+
+def register_arrays(spark: SparkSession) -> list[str]:
+    """``nms_kept(boxes, threshold)`` for SQL text: of an array of boxes those that suppression keeps, best first.
+
+    ``SELECT video_id, frame, inline(nms_kept(collect_list(named_struct('det_id', det_id, 'x1', x1, ...)), 0.3D))`` by group
+    gives the boxes of :func:`nms.suppress` without a Python worker. Null gives null, no boxes give none.
+    """
+    body = f"aggregate({_FIRST}, CAST(array() AS ARRAY<{_BOX}>), (kept, b) -> CASE WHEN exists(kept, k -> {_KB_UNION} > 0 AND {_KB} / {_KB_UNION} > threshold) THEN kept ELSE array_append(kept, b) END)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION nms_kept(boxes ARRAY<{_BOX}>, threshold DOUBLE) RETURNS ARRAY<{_BOX}> RETURN {body}")
+    return ["nms_kept"]
+
+
 def register_tables(spark: SparkSession) -> list[str]:
     """Table functions ``track`` and ``nms`` for SQL text; returns their names.
 
