@@ -484,3 +484,33 @@ def test_models_and_their_notes(spark, tmp_path):
     assert {k: (r.filename, r.size_bytes, r.immutable) for k, r in got.items()} == {k: (f"{k}.onnx", 5, k == "two") for k in ("one", "two", "three", "four", "five")}
     usual = [c for c in CLASSES if c in ("plate", "head")]
     assert {k: (r.classes, r.default_blur) for k, r in got.items()} == {"one": (["Plate", "c"], ["Plate"]), "two": (["head", "dog"], ["head"]), "three": (list(CLASSES), usual), "four": (list(CLASSES), usual), "five": (list(CLASSES), ["head"])}
+
+
+def test_a_long_gap_is_one_walk_of_the_filter(monkeypatch):
+    """The observations on the way to a track that was away come in one call, and give what one call each gives."""
+    calls, update = [], M.Filters.update
+    monkeypatch.setattr(M.Filters, "update", lambda self, at, tlwh: calls.append(1) or update(self, at, tlwh))
+    t, s = trackers.Tracks(), trackers.settings("oc_sort")
+    see = lambda frame, x: trackers.step("oc_sort", s, t, frame, trackers.Frame(np.array([[x, 0.2, 0.1, 0.1]]), np.array([0.9]), np.array([True])))
+    see(0, 0.2), see(1, 0.201)
+    calls.clear()
+    see(40, 0.203)
+    assert len(calls) == 1 and len(t.extra) == 1
+    one, many = M.Filters(), M.Filters()
+    path = np.random.default_rng(1).random((30, 4)) + 0.1
+    for f in (one, many):
+        f.add(path[0])
+    for box in path:
+        many.update(0, box)
+    one.follow(0, path)
+    assert (one.mean == many.mean).all() and (one.cov == many.cov).all()
+
+
+def test_narrow_and_wide_assignments_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        cost = rng.integers(0, 6, rng.integers(1, 12, 2)).astype(float)
+        narrow = M.assign(cost)
+        with monkeypatch.context() as m:
+            m.setattr(M, "NARROW", 0)
+            assert M.assign(cost) == narrow
