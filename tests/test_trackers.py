@@ -514,3 +514,14 @@ def test_narrow_and_wide_assignments_agree(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(M, "NARROW", 0)
             assert M.assign(cost) == narrow
+
+
+def test_vectors_are_made_units_once(monkeypatch):
+    """Tracks and detections that are all within reach: lengths are taken of each vector, not of each pair."""
+    rng, calls, unit = np.random.default_rng(3), [], trackers._unit
+    t, s = trackers.Tracks(), trackers.settings("fused")
+    made = lambda: trackers.Frame(np.c_[0.4 + rng.random((12, 2)) * 0.01, np.full((12, 2), 0.1)], np.full(12, 0.9), np.ones(12, bool), list(rng.random((12, 64))))
+    trackers.step("fused", s, t, 0, made())
+    monkeypatch.setattr(trackers, "_unit", lambda v: calls.append(1) or unit(v))
+    trackers.step("fused", s, t, 1, made())
+    assert len(calls) < 12 * 12
