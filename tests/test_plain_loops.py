@@ -476,3 +476,10 @@ def test_pictures_keep_tracks_as_a_plain_loop_does(spark):
     assert (len(ids(1)), len(ids(2)), len(ids(3))) == (2, 2, 3)  # without pictures the square is a new track when it comes back
     with pytest.raises(ValueError):
         trackers.track(dets, "sort", frames=shown, sight=lambda: None)
+
+
+def test_pairs_of_both_passes_do_not_travel(spark):
+    """Rows of both passes are dealt once, by video; what pairs in a frame is counted where it meets."""
+    forward, backward = plans._two(spark, DATA)
+    plan = tr.pair_by_overlap(forward, backward)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

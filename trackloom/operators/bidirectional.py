@@ -15,8 +15,10 @@ def bidirectional(dets: DataFrame, kind: str = "sort", settings_: Settings | Non
     """Merged tracks of both passes that are to be redacted. Tentative rows don't count. See :func:`tracks.merge` for
     what holds where both passes have one.
 
-    Each pass runs once, when this is called: pairing and merging read its rows from a table in the shared folder.
+    Detections are worked out and each pass runs once, when this is called: both passes, pairing and merging read tables in
+    the shared folder.
     """
+    dets = keep(dets)
     forward = keep(track(dets, kind, settings_).where("state <> 'tentative'"))
     last = dets.groupBy("video_id").agg(F.max("frame").alias("_last"))
     turned = track(tr.reverse(dets), kind, settings_).where("state <> 'tentative'")

@@ -127,10 +127,15 @@ def reverse(dets: DataFrame) -> DataFrame:
 
 
 def pair_by_overlap(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """Mean IoU, over the frames that they share, of each forward with each backward track."""
-    f, b = forward.alias("f"), backward.alias("b")
-    met = f.join(b, [F.col("f.video_id") == F.col("b.video_id"), F.col("f.frame") == F.col("b.frame")])
-    return met.groupBy(F.col("f.video_id"), F.col("f.track_id").alias("forward_id"), F.col("b.track_id").alias("backward_id")).agg(F.count("*").alias("n_frames"), F.round(F.avg(iou(Box.of("f."), Box.of("b."))), 9).alias("mean_iou"))
+    """Mean IoU, over the frames that they share, of each forward with each backward track.
+
+    Rows are dealt by video once. A frame's tracks meet there, and pairs are counted where they arise, so no pair travels.
+    """
+    side = lambda rows, k: rows.dropna(subset=[VIDEO, "frame"]).select(VIDEO, "frame", F.lit(k).alias("_side"), "track_id", *BOX)
+    dealt = side(forward, "f").unionByName(side(backward, "b")).repartition(VIDEO)
+    own = lambda k: F.collect_list(F.when(F.col("_side") == k, F.struct("track_id", *BOX))).alias(k)
+    met = dealt.groupBy(VIDEO, "frame").agg(own("f"), own("b")).select(VIDEO, F.explode("f").alias("f"), "b").select(VIDEO, "f", F.explode("b").alias("b"))
+    return met.groupBy(VIDEO, F.col("f.track_id").alias("forward_id"), F.col("b.track_id").alias("backward_id")).agg(F.count("*").alias("n_frames"), F.round(F.avg(iou(Box.of("f."), Box.of("b."))), 9).alias("mean_iou"))
 
 
 def choose_pairs(pairs: DataFrame, threshold: float = 0.3) -> DataFrame:
