@@ -177,3 +177,23 @@ def test_crop(spark):
     for r in got.values():
         assert bytes(r.pixels) == image[r.y : r.y + r.h, r.x : r.x + r.w].tobytes()
     assert [(got[1].x, got[1].y, got[1].w, got[1].h), (got[2].w, got[2].h)] == [(0, 0, 2, 2), (2, 2)]
+
+
+def test_pixels_made_from_keys_do_not_travel(spark):
+    """Queries whose pixels follow from keys make them where regions lie: no join, and one exchange, of detections."""
+    from trackloom.plans import queries as plans
+
+    for name in ("redact_gaussian", "redact_pixelate", "redact_blackout", "redact_polygon", "region_crop"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1, name
+
+
+def test_frames_bring_their_regions(spark):
+    from trackloom.operators import pixels
+
+    frames = spark.createDataFrame([(1, n, 4, 2, bytes(range(24))) for n in range(3)], "video_id long, frame long, width int, height int, pixels binary")
+    regions = spark.createDataFrame([(1, 0, 1, 0, 2, 1), (1, 0, 0, 0, 1, 1), (1, 2, 3, 1, 9, 9)], "video_id long, frame long, x int, y int, w int, h int")
+    want = sorted(map(tuple, pixels.redact(frames, regions, "blackout", 3).collect()))
+    own = frames.join(pixels.gathered(regions), ["video_id", "frame"], "left")
+    got = pixels.redact(own, None, "blackout", 3)
+    assert sorted(map(tuple, got.collect())) == want and [r[-1] for r in want] == [3, 0, 1]

@@ -146,9 +146,13 @@ def crop(frames: DataFrame, regions: DataFrame) -> DataFrame:
     Rows of pixels are substrings, put together on the JVM. Regions outside the frame, and frames without pixels or with
     too few, give no row.
     """
-    met = regions.join(frames.select("video_id", "frame", "width", "height", "pixels"), ["video_id", "frame"])
+    return cut(regions.join(frames.select("video_id", "frame", "width", "height", "pixels"), ["video_id", "frame"]))
+
+
+def cut(met: DataFrame) -> DataFrame:
+    """As :func:`crop`, of regions that have the ``width, height, pixels`` of their frame beside them."""
     x, y = F.greatest("x", F.lit(0)), F.greatest("y", F.lit(0))
-    cut = {"_x": x, "_y": y, "w": F.least(F.col("x") + F.col("w"), "width") - x, "h": F.least(F.col("y") + F.col("h"), "height") - y}
-    met = met.withColumns(cut).where("w > 0 AND h > 0 AND length(pixels) >= width * height * 3").withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
+    inner = {"_x": x, "_y": y, "w": F.least(F.col("x") + F.col("w"), "width") - x, "h": F.least(F.col("y") + F.col("h"), "height") - y}
+    met = met.withColumns(inner).where("w > 0 AND h > 0 AND length(pixels) >= width * height * 3").withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
     line = F.expr("transform(sequence(y, y + h - 1), r -> hex(substring(pixels, int(3 * (r * width + x) + 1), int(3 * w))))")
     return met.withColumn("pixels", F.unhex(F.array_join(line, ""))).drop("width", "height")
