@@ -466,6 +466,22 @@ def test_near_dedup_stage_takes_edited_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, given, DATA).collect()) == list(range(20))
 
 
+@pytest.mark.parametrize("together", [8, 64])
+def test_a_trie_gives_no_more_rows_than_it_has(together):
+    import pyarrow as pa
+
+    sizes = {1: 1, 2: 2, 3: 7, 4: 60, 5: 500}  # rows of each trie, all of them alike
+    key, node = np.array([(k, 10 * n) for k, rows in sizes.items() for n in range(rows)], np.int64).T
+    names = ["key", "word", "node", "size"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[at : at + 90]) for c in (key, key * 0, node, key * 0 + 5)], names=names) for at in range(0, len(key), 90)]
+    found = [r for b in simhash.join_tries(2, (4, 5), together)(iter(batches)) for r in b.to_pylist()]
+    assert len(found) <= len(key)
+    assert sorted(r["node"] for r in found if r["a"] == 0) == sorted(node[node > 0].tolist())
+    # rows of tries with more than one partner stay open, whatever the trie's size
+    got = {(r["key"], r["node"], r["word"], r["size"]) for r in found if r["key"] is not None and 3 <= r["key"]}
+    assert got == {(k, n, 0, 5) for k, n in zip(key.tolist(), node.tolist(), strict=True) if k >= 3}
+
+
 def test_near_copies_edges(spark, none):
     assert simhash.near_copies(none).count() == 0
     odd = spark.createDataFrame([(None, ""), (4, None), (5, " \n"), (7, "a b"), (8, "A  b"), (9, "a b c")], "doc_id long, text string")

@@ -350,28 +350,26 @@ def _batch(names: list[str], columns: list):
 
 
 def join_tries(budget: int, similarity: tuple[int, int], together: int) -> Callable:
-    """Walks rows sorted by ``key, node``: each row's pair ``a, b`` with the least node within the budget goes out.
+    """Walks rows sorted by ``key, node``: each ``node`` goes out with ``a``, the least node of its trie within the budget.
 
-    Tries of up to ``together`` rows are joined with themselves. Rows that have more partners than the one given go
-    out as open rows too, with those partners. Of a larger trie, and of the first and the last of a partition, which
-    may go on elsewhere, each row meets the first one only and is open. A task holds no more of one trie than
-    ``together`` rows and a batch.
+    Tries of up to ``together`` rows are joined with themselves. Rows that have more partners than the one given are
+    open, and so are those partners: these keep their ``key, word, size``, and have no ``a`` where none was met. Of a
+    larger trie, and of the first and the last of a partition, which may go on elsewhere, each row meets the first one
+    only and is open. So a row in gives one row out at most, however large its group. A task holds no more of one trie
+    than ``together`` rows and a batch.
     """
     names = ["key", "word", "node", "size"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def pairs(a: np.ndarray, b: np.ndarray):
-            return _batch(["a", "b", *names], [a, b, *[pa.nulls(len(a), pa.int64())] * 4])
-
-        def opened(rows: list[np.ndarray]):
-            return _batch(["a", "b", *names], [*[pa.nulls(len(rows[0]), pa.int64())] * 2, *rows])
+        def given(rows: list[np.ndarray], a: np.ndarray, is_met: np.ndarray, is_open: np.ndarray):
+            key, word, node, size = (pa.array(r, mask=None if c == "node" else ~is_open) for c, r in zip(names, rows, strict=True))
+            return _batch(["a", *names], [pa.array(a, mask=~is_met), key, word, node, size])
 
         def star(rows: list[np.ndarray], first: list[np.ndarray]) -> Iterator:
             ok = (np.bitwise_count(rows[1] ^ first[1]) <= budget) & (rows[2] != first[2]) & _alike(rows[3], first[3], similarity)
-            yield pairs(np.repeat(first[2], ok.sum()), rows[2][ok])
-            yield opened(rows)
+            yield given(rows, np.repeat(first[2], len(ok)), ok, np.ones(len(ok), bool))
 
         def joined(rows: list[np.ndarray]) -> Iterator:
             by = np.lexsort((rows[1].view(np.uint64), rows[0]))
@@ -384,10 +382,13 @@ def join_tries(budget: int, similarity: tuple[int, int], together: int) -> Calla
             by = np.lexsort((rows[2][i], j))  # a place belongs to one trie
             i, j = i[by], j[by]
             lead = np.r_[True, j[1:] != j[:-1]][: len(j)]
-            yield pairs(rows[2][i[lead]], rows[2][j[lead]])
+            a, is_met = np.zeros(len(rows[0]), np.int64), np.zeros(len(rows[0]), bool)
+            a[j[lead]], is_met[j[lead]] = rows[2][i[lead]], True
             crowded = np.unique(rows[0][j[~lead]])
             left = np.unique(np.r_[i, j])
-            yield opened([r[left[np.isin(rows[0][left], crowded)]] for r in rows])
+            is_open = np.isin(rows[0][left], crowded)
+            left, is_open = left[is_open | is_met[left]], is_open[is_open | is_met[left]]
+            yield given([r[left] for r in rows], a[left], is_met[left], is_open)
 
         def whole(rows: list[np.ndarray], edge: int | None) -> Iterator:
             begin = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
@@ -540,9 +541,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4
     with common.batches(spark, common.NUMBERS):
         dealt = common.keep(deal(nodes, prefix), f"{path}/dealt")
         ordered = dealt.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-        met = common.keep(ordered.mapInArrow(join_tries(budget, similarity, together), "a long, b long, key long, word long, node long, size long"), f"{path}/met")
+        met = common.keep(ordered.mapInArrow(join_tries(budget, similarity, together), "a long, key long, word long, node long, size long"), f"{path}/met")
     common.forget(spark, f"{path}/dealt")
-    edges = confirm(met.where("a IS NOT NULL").select("a", "b").distinct(), docs, places, size, similarity, f"{path}/first")
+    edges = confirm(met.where("a IS NOT NULL").select("a", F.col("node").alias("b")).distinct(), docs, places, size, similarity, f"{path}/first")
     roots = common.keep(components(edges, f"{path}/rounds"), f"{path}/roots")
     crowded = met.where("key IS NOT NULL").select("key", "word", "node", "size")
     placed = crowded.join(roots, "node", "left").select("key", "word", "node", "size", F.coalesce("root", "node").alias("root"))
