@@ -10,7 +10,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from trackloom.operators import bidirectional, detect, infer, link, pixels, trackers
+from trackloom.operators import bidirectional, detect, infer, lanes, link, pixels, trackers
 from trackloom.operators import motion as M
 from trackloom.operators import tracks as tr
 from trackloom.schema import detections
@@ -525,3 +525,37 @@ def test_vectors_are_made_units_once(monkeypatch):
     monkeypatch.setattr(trackers, "_unit", lambda v: calls.append(1) or unit(v))
     trackers.step("fused", s, t, 1, made())
     assert len(calls) < 12 * 12
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 40])
+@pytest.mark.parametrize(("kind", "changes"), [("sort", {}), ("sort", {"min_rate": 0.5}), ("bytetrack", {"gate": 0.2}), ("bytetrack", {"forget_after": 3}), ("botsort", {"gate_first": 0.15, "gate_second": 0.1})])
+def test_videos_side_by_side_have_the_tracks_of_each_alone(kind, changes, pairs, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lanes, "PAIRS", pairs)
+    rng, s, n = np.random.default_rng(3), trackers.settings(kind, **changes), 6000
+    video, frame = rng.choice([-40, -2, 0, 1, 5, 31, 32, 33, 900], n), rng.integers(0, 60, n)
+    places = rng.integers(0, [[6], [6]], (2, n)) * 0.1 + rng.choice([0, 0.02], n)  # many are equally far apart
+    rows = {"video_id": video, "frame": frame, "x1": places[0], "y1": places[1], "x2": places[0] + 0.2, "y2": places[1] + 0.1, "confidence": rng.integers(1, 11, n) / 10}
+    rows["is_confident"] = rows["confidence"] >= 0.5
+    by = np.lexsort((video, frame, video >> lanes.BITS))
+    rows = {k: v[by] for k, v in rows.items()}
+    names = [f.split()[0] for f in trackers.OUTPUT.split(", ")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(v[at : at + 77]) for v in rows.values()], names=list(rows)) for at in range(0, n, 77)]
+    got = [tuple(r.values()) for b in lanes.walk(trackers.KINDS[kind], s, names)(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for v in np.unique(video).tolist():
+        t = trackers.Tracks()
+        for f in np.unique(frame[video == v]).tolist():
+            own = {k: c[(rows["video_id"] == v) & (rows["frame"] == f)] for k, c in rows.items()}
+            want += trackers._rows_of(v, f, trackers.step(kind, s, t, f, trackers._frame_of(own)), [])
+    assert len(want) > 5000
+    assert sorted(got) == sorted(want)
+
+
+def test_trackers_by_centres_walk_videos_side_by_side(spark, monkeypatch):
+    taken, walk = [], lanes.walk
+    monkeypatch.setattr(lanes, "walk", lambda *a: taken.append(a) or walk(*a))
+    for kind in trackers.KINDS:
+        trackers.track(dets(spark, [(1, 0, 0, 0.1, 0.1, 0.2, 0.2, 0.9)]), kind)
+    assert len(taken) == 3
