@@ -197,3 +197,31 @@ def test_frames_bring_their_regions(spark):
     own = frames.join(pixels.gathered(regions), ["video_id", "frame"], "left")
     got = pixels.redact(own, None, "blackout", 3)
     assert sorted(map(tuple, got.collect())) == want and [r[-1] for r in want] == [3, 0, 1]
+
+
+def test_pairs_travel_by_frame(spark):
+    """Pairs of boxes take no exchange behind the detections' own; no row travels once for each of its cells."""
+    from trackloom.plans import queries as plans
+
+    plan = plans.QUERIES["iou_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    plan = plans.QUERIES["pair_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_c" in line.partition("hashpartitioning")[2]]
+
+
+def test_numbers_of_detections_travel_alone(spark):
+    """What follows from a line is made behind the exchange: the six columns of the order and two keys go through it."""
+    from trackloom.sources import tables
+
+    plan = tables.detections(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    exchange = text[text.index("Exchange") :]
+    assert "% 17" not in exchange and "/ 50.0) AS" not in exchange
+
+
+@pytest.mark.parametrize("crowd", [1, 4, 64])
+def test_crowded_frames_split(spark, crowd, monkeypatch):
+    """Parts of a crowded frame give the pairs of the whole one, each once."""
+    monkeypatch.setattr(assign, "CROWD", crowd)
+    test_overlapping_pairs(spark, 0.4, 1.0)
+    test_gated_pairs(spark, 0.05)

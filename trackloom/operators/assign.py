@@ -15,34 +15,60 @@ FRAME = ("video_id", "frame")
 PAIR = (*FRAME, "track_id", "det_id")
 #: Detections of a component up to which sets of them are tried on the JVM; larger ones take augmenting paths.
 SMALL = 5
+#: Boxes of a frame that meet one another without a raster.
+CROWD = 64
+
+
+def _listed(df: DataFrame, keys: Sequence[str], row: Sequence[str | Column], name: str) -> DataFrame:
+    """The rows of a key as one list of structs."""
+    return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.collect_list(F.struct(*row)).alias(name))
+
+
+def _parts(lists: DataFrame, side: Column) -> DataFrame:
+    """``side`` x ``side`` parts ``_px, _py`` of each row; a small one stays whole."""
+    strip = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
+    return lists.withColumn("_g", side.cast("int")).withColumn("_px", strip).withColumn("_py", strip)
 
 
 def near(a: DataFrame, b: DataFrame, keys: Sequence[str], gate: float, at: Sequence[Column], to: Sequence[Column]) -> DataFrame:
-    """Rows of ``a`` and ``b`` (aliased so) with equal keys whose points ``at`` and ``to`` may lie within the gate.
+    """``keys`` and, as structs ``a`` and ``b``, the other columns of rows with equal keys whose points ``at`` and ``to`` may
+    lie within the gate.
 
     Points fall into cells a little wider than the gate; one of ``a`` meets those of ``b`` in its own and the eight
-    cells around, each once. So pairs grow with what is near, not with the square of a frame's boxes.
+    cells around, each once. So pairs grow with what is near, not with the square of a frame's boxes. Each table is dealt
+    by its keys once, with the boxes of a frame in one row; a crowded frame splits by cells where it lies.
     """
     width = max(gate, 1e-9) * (1 + 1e-9)
-    cell = [F.floor(v / width) for v in (*at, *to)]
-    around = lambda c: F.explode(F.sequence(c - 1, c + 1))
-    left = a.withColumns({"_cx": cell[0], "_cy": cell[1]}).alias("a")
-    right = b.withColumn("_cx", around(cell[2])).withColumn("_cy", around(cell[3])).alias("b")
-    return left.join(right, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "_cx", "_cy")])
+    cell = lambda point: [F.floor(v / width).alias(f"_c{c}") for v, c in zip(point, "xy", strict=True)]
+    one, two = (_listed(df, keys, [*(c for c in df.columns if c not in keys), *cell(point)], name) for df, point, name in ((a, at, "_a"), (b, to, "_b")))
+    met = one.join(two, list(keys))
+    few = F.size("_a").cast("long") * F.size("_b") <= CROWD * CROWD
+    met = _parts(met, F.when(few, 1).otherwise(F.ceil(F.sqrt(F.greatest(F.size("_a"), F.size("_b")) / CROWD)) + 2))
+    whole, around = F.col("_g") == 1, lambda r, c: F.pmod(F.col(f"_p{c}") - r[f"_c{c}"] + 1, F.col("_g")) <= 2
+    own = F.filter("_a", lambda r: (F.pmod(r["_cx"], F.col("_g")) == F.col("_px")) & (F.pmod(r["_cy"], F.col("_g")) == F.col("_py")))
+    met = met.select(*keys, F.when(whole, F.col("_a")).otherwise(own).alias("_a"), F.when(whole, F.col("_b")).otherwise(F.filter("_b", lambda r: around(r, "x") & around(r, "y"))).alias("_b"))
+    pairs = met.select(*keys, F.explode("_a").alias("a"), "_b").select(*keys, "a", F.explode("_b").alias("b"))
+    return pairs.where(" AND ".join(f"b._c{c} - a._c{c} BETWEEN -1 AND 1" for c in "xy"))
 
 
 def touching(df: DataFrame, keys: Sequence[str], grid: int = 16, extent: float = 1.0) -> DataFrame:
-    """Pairs of boxes (``a.``, ``b.``, the lower ``det_id`` first) with equal keys that share area, each pair once.
+    """``keys`` and pairs of boxes (structs ``a`` and ``b`` of ``det_id`` and corners, the lower ``det_id`` first) with equal
+    keys that share area, each pair once.
 
-    A box lies in all cells that it covers of a ``grid`` x ``grid`` raster; what lies beyond ``extent`` counts to the
-    outermost cells. A pair is met in the cell where its common part begins.
+    The boxes of a group are one list. A crowded one splits where it lies, by a raster of up to ``grid`` x ``grid`` cells: a
+    box lies in all cells that it covers, what lies beyond ``extent`` counts to the outermost ones, and a pair is met
+    in the cell where its common part begins.
     """
-    cell = lambda v: F.least(F.greatest(F.floor(v * (grid / extent)), F.lit(0)), F.lit(grid - 1))
-    own = df.where("x2 > x1 AND y2 > y1")
-    own = own.withColumn("_cx", F.explode(F.sequence(cell(F.col("x1")), cell(F.col("x2"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))))
-    first = [cell(F.greatest(f"a.{v}1", f"b.{v}1")) == F.col(f"a._c{v}") for v in "xy"]
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "_cx", "_cy")]
-    return own.alias("a").join(own.alias("b"), [*same, F.col("a.det_id") < F.col("b.det_id"), *first])
+    lists = _listed(df.where("x2 > x1 AND y2 > y1"), keys, ("det_id", "x1", "y1", "x2", "y2"), "_b").where("size(_b) > 1")
+    part = _parts(lists, F.when(F.size("_b") <= CROWD, 1).otherwise(F.least(F.lit(grid), F.ceil(F.sqrt(F.size("_b") * 4 / CROWD)))))
+    whole = F.col("_g") == 1
+    cell = lambda v: F.least(F.greatest(F.floor(v * F.col("_g") / extent), F.lit(0)), F.col("_g") - 1)
+    within = lambda r, c: (cell(r[f"{c}1"]) <= F.col(f"_p{c}")) & (cell(r[f"{c}2"]) >= F.col(f"_p{c}"))
+    part = part.withColumn("_b", F.when(whole, F.col("_b")).otherwise(F.filter("_b", lambda r: within(r, "x") & within(r, "y"))))
+    pairs = part.withColumn("a", F.explode("_b")).withColumn("b", F.explode("_b"))
+    pairs = pairs.where("a.det_id < b.det_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2")
+    first = [cell(F.greatest(f"a.{c}1", f"b.{c}1")) == F.col(f"_p{c}") for c in "xy"]
+    return pairs.where(whole | (first[0] & first[1])).select(*keys, "a", "b")
 
 
 def components(pairs: DataFrame, rounds: int = 4) -> DataFrame:

@@ -211,8 +211,9 @@ def merge(forward: DataFrame, backward: DataFrame, chosen: DataFrame, weight: fl
 def gated_pairs(tracks: DataFrame, dets: DataFrame, gate: float) -> DataFrame:
     """Track boxes and detections of one frame whose centres lie within the gate. They meet by cells as wide as it."""
     mine, found = Box.of(), Box.of()
-    met = near(tracks, dets, [VIDEO, "frame"], gate, (mine.cx, mine.cy), (found.cx, found.cy))
-    pairs = met.select(F.col("a.video_id"), F.col("a.frame"), F.col("a.track_id"), F.col("b.det_id"), centre_distance(Box.of("a."), Box.of("b.")).alias("distance"))
+    one, two = (df.select(VIDEO, "frame", key, *BOX) for df, key in ((tracks, "track_id"), (dets, "det_id")))
+    met = near(one, two, [VIDEO, "frame"], gate, (mine.cx, mine.cy), (found.cx, found.cy))
+    pairs = met.select(VIDEO, "frame", F.col("a.track_id"), F.col("b.det_id"), centre_distance(Box.of("a."), Box.of("b.")).alias("distance"))
     return pairs.where(F.col("distance") <= gate)
 
 
