@@ -74,16 +74,26 @@ def paired(dets: DataFrame, shifts: Column, shapes: Column, width: Column, heigh
     """Detections with ``shift_x, shift_y, full_height, full_width`` of their frame: the n-th present frame of a video takes
     the n-th entry of the arrays ``shifts`` (x, y) and ``shapes`` (height, width).
 
-    The arrays may be literals or columns. Where ``shapes`` has no n-th entry, or is null, the size is ``height`` and
-    ``width``; a missing shift, and any entry that doesn't have two numbers or is null, gives zeros.
+    The arrays may be literals or columns, the same in all rows of a frame; they are made once a frame. Where ``shapes`` has
+    no n-th entry, or is null, the size is ``height`` and ``width``; a missing shift, and any entry that doesn't have two
+    numbers or is null, gives zeros.
     """
-    nth = F.dense_rank().over(Window.partitionBy("video_id").orderBy("frame")) - 1
-    placed = dets.withColumns({"_nth": nth, "_shifts": shifts, "_shapes": shapes})
-    beyond = F.coalesce(F.col("_nth") >= F.size("_shapes"), F.lit(True)) | (F.coalesce(F.size("_shapes"), F.lit(-1)) < 0)
+    order = Window.partitionBy("video_id").orderBy("frame")
+    nth = F.dense_rank().over(order) - 1
+    placed = dets.withColumns({"_nth": nth, "_fresh": ~F.col("frame").eqNullSafe(F.lag("frame").over(order)) | (F.row_number().over(order) == 1)})
+
+    def entry(of: Column, name: str) -> Column:
+        # inside a lambda the array is made once
+        return F.transform(F.array(of), lambda v: F.struct(F.get(v, F.col("_nth")).alias("at"), F.coalesce(F.col("_nth") >= F.size(v), F.lit(True)).alias("beyond"), v.isNull().alias("none")))[0].alias(name)
+
+    made = F.when(F.col("_fresh"), F.struct(entry(shifts, "shift"), entry(shapes, "shape")))
+    spread = F.first("_made", ignorenulls=True).over(Window.partitionBy("video_id", "frame"))
+    placed = placed.withColumn("_made", made).withColumn("_made", spread)
 
     def part(of: str, k: int) -> Column:
-        entry = F.get(F.col(of), F.col("_nth"))
-        return F.coalesce(F.when(F.size(entry) == 2, F.get(entry, F.lit(k))), F.lit(0)).cast("long")
+        found = F.col(f"_made.{of}.at")
+        return F.coalesce(F.when(F.size(found) == 2, F.get(found, F.lit(k))), F.lit(0)).cast("long")
 
-    full = {name: F.when(beyond, own.cast("long")).otherwise(part("_shapes", k)) for k, (name, own) in enumerate({"full_height": height, "full_width": width}.items())}
-    return placed.withColumns({"shift_x": part("_shifts", 0), "shift_y": part("_shifts", 1), **full}).drop("_nth", "_shifts", "_shapes")
+    beyond = F.col("_made.shape.beyond") | F.col("_made.shape.none")
+    full = {name: F.when(beyond, own.cast("long")).otherwise(part("shape", k)) for k, (name, own) in enumerate({"full_height": height, "full_width": width}.items())}
+    return placed.withColumns({"shift_x": part("shift", 0), "shift_y": part("shift", 1), **full}).drop("_nth", "_fresh", "_made")
