@@ -225,3 +225,23 @@ def test_crowded_frames_split(spark, crowd, monkeypatch):
     monkeypatch.setattr(assign, "CROWD", crowd)
     test_overlapping_pairs(spark, 0.4, 1.0)
     test_gated_pairs(spark, 0.05)
+
+
+def test_crossings_stay_with_their_polygons(spark):
+    """Polygons take no exchange behind the detections' own, and no window over their crossings."""
+    from trackloom.plans import queries as plans
+
+    plan = plans.QUERIES["mask_polygon_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
+
+
+def test_lists_are_made_once_a_frame(spark):
+    """Entries by place; only the first detection of a frame makes the lists."""
+    from trackloom.operators import detect
+
+    dets = spark.createDataFrame([(1, f, i) for f in (3, 5, 9) for i in range(3)], "video_id long, frame long, det_id long")
+    shifts, shapes = F.array(F.array(F.col("video_id"), F.lit(2)), F.array(F.lit(3))), F.array(F.array(F.lit(4), F.lit(5)))
+    made = detect.paired(dets, shifts, shapes, F.lit(7), F.lit(8))
+    got = {(r.frame, r.shift_x, r.shift_y, r.full_height, r.full_width) for r in made.collect()}
+    assert got == {(3, 1, 2, 4, 5), (5, 0, 0, 8, 7), (9, 0, 0, 8, 7)} and made.count() == 9
+    assert "_fresh" in made._jdf.queryExecution().executedPlan().toString()

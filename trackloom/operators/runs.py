@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 KEYS = ("video_id", "frame", "det_id")
 ROW = ("y", "start", "stop")
+#: Crossings of polygons with raster rows that a task works out at once, or those of one mask.
+CROSSINGS = 1 << 20
 
 
 def of_boxes(boxes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -27,20 +29,52 @@ def of_polygons(shapes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Runs of polygons ``points`` (array of ``x, y``): pixels whose centre lies inside, by the even-odd rule.
 
     Each edge crosses the raster rows between its ends; the crossings of a row, sorted, are where runs begin and end in turn.
+    The polygons of a key are one mask and one row, so they are dealt once by their keys and crossings stay where they are.
     Fewer than three points, or null ones, cover nothing.
     """
-    own = shapes.where(F.size("points") > 2).select(*keys, F.col("points").alias("p"))
-    edges = own.select(*keys, F.posexplode("p").alias("i", "a"), "p").select(*keys, "a", F.get("p", F.when(F.col("i") + 1 < F.size("p"), F.col("i") + 1).otherwise(0)).alias("b"))
-    low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
-    # rows whose centre line lies between the ends, the lower one counted
-    first, last = F.ceil(low - 0.5), F.ceil(high - 0.5) - 1
-    crossed = edges.select(*keys, "a", "b", first.alias("first"), last.alias("last")).where("last >= first").select(*keys, "a", "b", F.explode(F.sequence("first", "last")).alias("y"))
-    at = (F.col("b.x") - F.col("a.x")) * (F.col("y") + 0.5 - F.col("a.y")) / (F.col("b.y") - F.col("a.y")) + F.col("a.x")
-    # the first column whose centre isn't left of the crossing
-    column = F.ceil(at - 0.5)
-    order = Window.partitionBy(*keys, "y").orderBy("at", "column")
-    sides = crossed.select(*keys, "y", at.alias("at"), column.alias("column")).withColumns({"n": F.row_number().over(order), "stop": F.lead("column").over(order)})
-    return sides.where("n % 2 = 1 AND stop > column").select(*keys, "y", F.col("column").alias("start"), "stop")
+    corners = shapes.where(F.size("points") > 2).select(*keys, F.col("points").alias("p"))
+    whole = corners.groupBy(*keys).agg(F.collect_list("p").alias("p"))
+    schema = shapes.select(*keys).schema.add("y", "long").add("start", "long").add("stop", "long")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            masks = batch.column("p")
+            polygons = masks.flatten()
+            points, ends = polygons.flatten(), np.cumsum(np.r_[0, polygons.value_lengths().to_numpy()])
+            x, y = (points.flatten()[i].to_numpy(zero_copy_only=False).astype(float) for i in (points.type.get_field_index("x"), points.type.get_field_index("y")))
+            mask = np.repeat(np.arange(len(masks)), masks.value_lengths().to_numpy())
+            for own, found in _crossed(np.repeat(mask, np.diff(ends)), x, y, ends):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(own)) for k in keys), *map(pa.array, found)], names=[*keys, *ROW])
+
+    return whole.mapInArrow(run, schema)
+
+
+def _crossed(mask: np.ndarray, x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, tuple]]:
+    """Masks and ``y, start, stop`` of the runs of polygons; ``ends`` are where the corners of each begin and end."""
+    ahead = np.arange(1, len(x) + 1)
+    ahead[ends[1:] - 1] = ends[:-1]
+    by = y[ahead]
+    # rows whose centre line lies between the ends, the lower one counted; none where an end is missing
+    low, high = (np.nan_to_num(np.ceil(end(y, by) - 0.5)).astype(np.int64) for end in (np.minimum, np.maximum))
+    crossings = high - low
+    edges = np.flatnonzero(crossings > 0)
+    part = np.cumsum(np.bincount(mask, crossings, minlength=1)).astype(np.int64) // CROSSINGS
+    for some in np.split(edges, np.flatnonzero(np.diff(part[mask[edges]])) + 1) if len(edges) else ():
+        n = crossings[some]
+        e = np.repeat(some, n)
+        row = low[e] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
+        at = (x[ahead[e]] - x[e]) * (row + 0.5 - y[e]) / (by[e] - y[e]) + x[e]
+        known = ~np.isnan(at)
+        # the first column whose centre isn't left of the crossing
+        column = np.ceil(np.where(known, at, 0) - 0.5).astype(np.int64)
+        order = np.lexsort((column, np.where(known, at, -np.inf), row, mask[e]))
+        own, row, column, known = mask[e][order], row[order], column[order], known[order]
+        begin = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (row[1:] != row[:-1])])
+        place = np.arange(len(own)) - np.repeat(begin, np.diff(np.r_[begin, len(own)]))
+        inner = np.flatnonzero((place[:-1] % 2 == 0) & (place[1:] == place[:-1] + 1) & known[:-1] & known[1:] & (column[1:] > column[:-1]))
+        yield own[inner], (row[inner], column[inner], column[inner + 1])
 
 
 def of_bits(masks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
