@@ -10,7 +10,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from trackloom.operators import bidirectional, detect, infer, lanes, link, pixels, trackers
+from trackloom.operators import bidirectional, detect, infer, lanes, link, pictures, pixels, trackers
 from trackloom.operators import motion as M
 from trackloom.operators import tracks as tr
 from trackloom.schema import detections
@@ -559,3 +559,53 @@ def test_trackers_by_centres_walk_videos_side_by_side(spark, monkeypatch):
     for kind in trackers.KINDS:
         trackers.track(dets(spark, [(1, 0, 0, 0.1, 0.1, 0.2, 0.2, 0.9)]), kind)
     assert len(taken) == 3
+
+
+def _looked_at(spark, videos: int = 40, frames: int = 14):
+    """Detections that come and go at random over a few places, with vectors, some of them null, and frames, some of them missing."""
+    rng, rows, shown = np.random.default_rng(7), [], []
+    for video in range(videos):
+        spots, back = rng.uniform(0.05, 0.8, (5, 2)), rng.integers(0, 255, (24, 32, 3), np.uint8)
+        for frame in range(frames):
+            if rng.random() < 0.8:
+                shown.append((video, frame, 32, 24, back.tobytes()))
+            for i in np.flatnonzero(rng.random(5) < 0.6).tolist():
+                (x, y), score = (spots[i] + rng.uniform(0, 0.02, 2)).tolist(), float(rng.uniform(0.1, 1))
+                vector = (np.eye(3)[i % 3] + rng.uniform(0, 0.9, 3)).tolist() if rng.random() < 0.8 else None
+                rows.append((video, frame, i, x, y, x + 0.15, y + 0.15, score, score > 0.5, vector))
+    dets = spark.createDataFrame(rows, "video_id long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double, is_confident boolean, embedding array<double>")
+    return dets, spark.createDataFrame(shown, "video_id long, frame long, width int, height int, pixels binary")
+
+
+@pytest.mark.parametrize("kind", ["fused", "hybrid_sot"])
+def test_videos_with_vectors_walk_side_by_side(spark, same, kind):
+    """As those with masks walk, one after another."""
+    dets, _ = _looked_at(spark)
+    found = trackers.track(dets, kind)
+    assert "hashpartitioning(_lane" in found._jdf.queryExecution().executedPlan().toString()
+    one = trackers.track(dets.withColumn("mask", F.lit(1).cast("long")), kind).drop("mask")
+    same(found.toPandas(), one.toPandas())
+
+
+@pytest.mark.parametrize("vector", [None, lambda patch: patch.mean(axis=(0, 1))])
+def test_pictures_of_several_videos_are_looked_for_at_once(spark, same, vector):
+    dets, shown = _looked_at(spark)
+    dets = dets.drop("embedding")
+    sight = lambda: pictures.Sight(pictures.Template(3), vector)
+    found = trackers.track(dets, "hybrid_sot", frames=shown, sight=sight)
+    assert "hashpartitioning(_lane" in found._jdf.queryExecution().executedPlan().toString()
+    one = trackers.track(dets.withColumn("mask", F.lit(1).cast("long")), "hybrid_sot", frames=shown, sight=sight).drop("mask")
+    same(found.toPandas(), one.toPandas())
+
+
+def test_a_search_for_several_pictures_finds_what_each_alone_does():
+    rng, eye = np.random.default_rng(3), pictures.Template(2)
+    images = [rng.integers(0, 255, size, np.uint8) for size in ((20, 30, 3), (16, 18, 3))]
+    after = [np.roll(images[0], (1, 2), axis=(0, 1)), images[1]]
+    boxes = [(0, 1, 6, 4), (3, 5, 4, 7), (22, 12, 8, 8), (5, 5, 3, 3), (10, 2, 8, 9)]
+    of = [0, 0, 0, 1, 1]
+    alone, many = [eye.start(images[i], b) for i, b in zip(of, boxes, strict=True)], eye.start_many([images[i] for i in of], boxes)
+    for shown in (after, images):
+        want = [eye.find(shown[i], e) for i, e in zip(of, alone, strict=True)]
+        assert eye.find_many([shown[i] for i in of], many) == want
+    assert eye.start_many([np.full((9, 9, 3), 7, np.uint8)], [(1, 1, 4, 4)]) == [None]
