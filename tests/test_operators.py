@@ -1,5 +1,7 @@
 """The relational operators: known values, properties, and every query against its SQL."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,3 +187,27 @@ def test_suppression_in_sql_text(spark):
     some = "named_struct('det_id', {}L, 'x1', 0D, 'y1', 0D, 'x2', 1D, 'y2', 1D, 'confidence', {})".format
     r = spark.sql(f"SELECT nms_kept(array({some(1, 'CAST(null AS DOUBLE)')}, {some(2, '0.1D')}, {some(3, '0.1D')}), 0.5D) AS a, nms_kept(CAST(array() AS ARRAY<STRUCT<det_id: BIGINT, x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE, confidence: DOUBLE>>), 0.5D) AS b, nms_kept(null, 0.5D) AS c").first()
     assert ([k.det_id for k in r.a], r.b, r.c) == ([3], [], None)
+
+
+def test_slots_are_sorted_twice(spark):
+    """Ids as a plain loop gives them: frames without sure boxes end runs, flags may be null, numbers of boxes have gaps."""
+    rng, rows, want = random.Random(4), [], {}
+    for video in range(6):
+        ids, before, live = 0, 0, {}
+        for frame in sorted(rng.sample(range(40), 25)):
+            sure = 0
+            for k in range(rng.randrange(1, 6)):
+                flag = rng.choice([True, True, False, None])
+                rows.append((video, frame, 3 * k + 1, 0.1, 0.1, 0.2, 0.2, 0.9, flag, 1))
+                if flag:
+                    if sure >= before:
+                        ids += 1
+                        live[sure] = ids
+                    want[video, frame, 3 * k + 1] = live[sure]
+                    sure += 1
+            before = sure
+    schema = "video_id long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double, is_confident boolean, object_class long"
+    found = tr.slots(spark.createDataFrame(rows, schema).repartition(3))
+    assert {(r.video_id, r.frame, r.det_id): r.track_id for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert (plan.count("Sort ["), plan.count("Exchange hashpartitioning")) == (2, 1)

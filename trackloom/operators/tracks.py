@@ -25,14 +25,21 @@ def slots(dets: DataFrame, share: float | None = 0.0) -> DataFrame:
     """The simplest tracker: the n-th confident box of a frame keeps its id while each present frame has an n-th one.
 
     Boxes grow by ``share`` and are clipped; None leaves them as they are. Masks stay with their boxes.
-    Frames count when they hold any detection. Ids number a video's runs by start, then slot. Every window is dealt
-    by video or by more than that, so one shuffle serves them all.
+    Frames count when they hold any detection. Ids number a video's runs by start, then slot: a slot that the frame before
+    lacked starts the next one, so ids are counted in the order of frames and boxes, and a slot carries its own from frame
+    to frame. Rows are dealt once, by video, and sorted twice: all windows but the last share one order.
     """
-    ranked = dets.withColumn("ford", F.dense_rank().over(Window.partitionBy(VIDEO).orderBy("frame")))
-    placed = ranked.where("is_confident").withColumn("slot", F.row_number().over(Window.partitionBy(VIDEO, "frame").orderBy("det_id")) - 1)
-    run = F.col("ford") - F.row_number().over(Window.partitionBy(VIDEO, "slot").orderBy("ford"))
-    started = placed.withColumn("run", run).withColumn("start", F.min("ford").over(Window.partitionBy(VIDEO, "slot", "run")))
-    named = started.withColumn("track_id", F.dense_rank().over(Window.partitionBy(VIDEO).orderBy("start", "slot")).cast("long"))
+    rows = Window.partitionBy(VIDEO).orderBy("frame", "det_id")
+    until, own = rows.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(VIDEO, "frame").orderBy("det_id").rowsBetween(Window.unboundedPreceding, 0)
+    sure = F.coalesce("is_confident", F.lit(False))
+    counted = dets.withColumn("upto", F.sum(sure.cast("int")).over(until))
+    based = counted.withColumn("base", F.first(F.col("upto") - sure.cast("int")).over(own)).withColumn("slot", F.col("upto") - F.col("base") - 1)
+    # the frame before began at the base of the row before a frame's first
+    before = based.withColumn("last", F.lag("base").over(rows)).withColumn("had", F.first(F.col("base") - F.coalesce("last", "base")).over(own))
+    opened = sure & (F.col("slot") >= F.col("had"))
+    begun = before.withColumn("begun", F.when(opened, F.sum(opened.cast("int")).over(until))).where("is_confident")
+    carried = Window.partitionBy(VIDEO, "slot").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    named = begun.withColumn("track_id", F.last("begun", ignorenulls=True).over(carried))
     x, y, w, h = dilate(Box.of(), share or 0.0)
     box = [F.col(c) for c in BOX] if share is None else [v.alias(c) for c, v in zip(BOX, (x, y, x + w, y + h), strict=True)]
     return named.select(VIDEO, "frame", "track_id", "det_id", *box, F.col("confidence").alias("score"), "object_class", F.lit("confirmed").alias("state"), *(["mask"] if "mask" in dets.columns else []))
