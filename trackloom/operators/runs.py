@@ -6,7 +6,7 @@ one sweep over the ends of runs in windows of a raster row, so no mask is ever o
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -183,10 +183,19 @@ def crop(frames: DataFrame, regions: DataFrame) -> DataFrame:
     return cut(regions.join(frames.select("video_id", "frame", "width", "height", "pixels"), ["video_id", "frame"]))
 
 
-def cut(met: DataFrame) -> DataFrame:
-    """As :func:`crop`, of regions that have the ``width, height, pixels`` of their frame beside them."""
+def cut(met: DataFrame, source: str | Column = "pixels", digits: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """As :func:`crop`, of regions that have the ``width, height, pixels`` of their frame beside them.
+
+    Where pixels follow from something smaller, that is ``source``, and ``digits(source, y)`` gives a raster row in hexadecimal
+    from it: then only rows of regions are made, never a whole frame, and no filter asks for one.
+    """
     x, y = F.greatest("x", F.lit(0)), F.greatest("y", F.lit(0))
     inner = {"_x": x, "_y": y, "w": F.least(F.col("x") + F.col("w"), "width") - x, "h": F.least(F.col("y") + F.col("h"), "height") - y}
-    met = met.withColumns(inner).where("w > 0 AND h > 0 AND length(pixels) >= width * height * 3").withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
-    line = F.expr("transform(sequence(y, y + h - 1), r -> hex(substring(pixels, int(3 * (r * width + x) + 1), int(3 * w))))")
-    return met.withColumn("pixels", F.unhex(F.array_join(line, ""))).drop("width", "height")
+    whole = "" if digits else " AND length(pixels) >= width * height * 3"
+    met = met.withColumns(inner).where("w > 0 AND h > 0" + whole).withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
+    x, y, w, h, width = (F.col(c).cast("int") for c in ("x", "y", "w", "h", "width"))
+    stored = lambda at, r: F.hex(F.substring(at, (3 * (r * width + x) + 1).cast("int"), 3 * w))
+    line = (lambda at, r: F.substring(digits(at, r), 6 * x + 1, 6 * w)) if digits else stored
+    # inside a lambda the source is worked out once, not again for each row
+    made = F.transform(F.array(source), lambda at: F.array_join(F.transform(F.sequence(y, y + h - 1), lambda r: line(at, r)), ""))[0]
+    return met.withColumn("pixels", F.unhex(made)).drop("width", "height")
