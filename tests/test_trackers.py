@@ -609,3 +609,33 @@ def test_a_search_for_several_pictures_finds_what_each_alone_does():
         want = [eye.find(shown[i], e) for i, e in zip(of, alone, strict=True)]
         assert eye.find_many([shown[i] for i in of], many) == want
     assert eye.start_many([np.full((9, 9, 3), 7, np.uint8)], [(1, 1, 4, 4)]) == [None]
+
+
+def test_pictures_that_stay_are_searched_once(monkeypatch):
+    """An image that comes again is no search for patches that stayed in their place, found or not; the places are those of a search."""
+    rng, eye = np.random.default_rng(4), pictures.Template(3)
+    image, other = (rng.integers(0, 255, (20, 30, 3), np.uint8) for _ in range(2))
+    moved = np.roll(image, (1, 2), axis=(0, 1))
+    boxes = [(4, 5, 6, 4), (12, 8, 5, 7)]
+    alone, many = [eye.start(image, b) for b in boxes], eye.start_many([image] * 2, boxes)
+    searched, search = [], eye._search
+    monkeypatch.setattr(eye, "_search", lambda images, held: searched.append(len(held)) or search(images, held))
+    for shown in (image, image, moved, moved, moved, other, other, moved):
+        assert eye.find_many([shown] * 2, many) == [eye.find(shown, e) for e in alone]
+    assert searched == [0, 0, 2, 2, 0, 2, 0, 2]
+
+    seen = pictures.Sight(eye, lambda patch: searched.append("vector") or patch.mean(axis=(0, 1)))
+    lane = lanes.Lane(trackers.KINDS["hybrid_sot"], trackers.settings("hybrid_sot"), seen)
+    for data in (image, image.copy(), other, None):
+        lane.show(7, 30, 20, None if data is None else data.tobytes())
+        lane.show(8, 30, 20, image.tobytes())
+        searched.append(lane.images[7])
+    first, again, third, gone = searched[-4:]
+    assert first is again and third is not first and (third == other).all() and gone is None
+    del searched[:], first, again
+    _, held, _ = seen.start_many([third], np.array([[0.2, 0.2, 0.3, 0.3]]))
+    for _ in range(3):
+        seen.find_many([third], list(held))
+    assert searched.count("vector") == 2 and list(seen.known) == [id(third)]
+    del third
+    assert not seen.known
