@@ -639,3 +639,24 @@ def test_pictures_that_stay_are_searched_once(monkeypatch):
     assert searched.count("vector") == 2 and list(seen.known) == [id(third)]
     del third
     assert not seen.known
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 40])
+@pytest.mark.parametrize("changes", [{}, {"min_rate": 0.5}, {"forget_after": 3}, {"smooth": 1.0, "max_misses": 2}])
+def test_videos_by_overlap_walk_side_by_side(changes, pairs, monkeypatch):
+    """Rounds by overlap with momentum: the tracks of each video alone."""
+    test_videos_side_by_side_have_the_tracks_of_each_alone("oc_sort", changes, pairs, monkeypatch)
+
+
+def test_overlap_takes_lanes(spark, monkeypatch):
+    """Where a pair's overlap is more than all else that its track and detection could have, no assignment is worked out."""
+    rows = [*moving(0, 9, 0.1, 0.1, 0.01, 0, w=0.2, h=0.2), *moving(0, 9, 0.25, 0.1, 0.01, 0, ident=1, w=0.2, h=0.2)]
+    found = trackers.track(dets(spark, rows), "oc_sort")
+    assert "hashpartitioning(_lane" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.frame, r.track_id) for r in found.collect()} == {(f, i) for f in range(9) for i in (1, 2)}
+    lane, asked = lanes.Lane(trackers.KINDS["oc_sort"], trackers.settings("oc_sort")), []
+    monkeypatch.setattr(lanes, "assign", lambda cost: asked.append(cost.shape) or M.assign(cost))
+    box = np.array([[0.1, 0.1, 0.2, 0.2], [0.25, 0.1, 0.2, 0.2]])
+    for f, shift in enumerate((0, 0.01, 0.02, 0.105)):
+        lane.step(f, np.zeros(2, int), box + [shift, 0, 0, 0], np.full(2, 0.9), np.ones(2, bool))
+        assert len(asked) == (f == 3)
