@@ -660,3 +660,34 @@ def test_overlap_takes_lanes(spark, monkeypatch):
     for f, shift in enumerate((0, 0.01, 0.02, 0.105)):
         lane.step(f, np.zeros(2, int), box + [shift, 0, 0, 0], np.full(2, 0.9), np.ones(2, bool))
         assert len(asked) == (f == 3)
+
+
+@pytest.mark.parametrize("kind", ["sort", "bytetrack", "oc_sort", "fused"])
+def test_both_directions_meet_in_one_task(spark, same, kind):
+    """Only detections are dealt and nothing is written; rows are those of joins of both passes."""
+    given, _ = _looked_at(spark)
+    found = bidirectional.bidirectional(given, kind)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "parquet" not in plan
+    joined = bidirectional._by_joins(given, kind, None, 0.3, 0.6)
+    assert {r.origin for r in joined.select("origin").distinct().collect()} >= {"forward", "merged"}
+    one, two = (df.withColumn("score", F.round("score", 12)).toPandas() for df in (found, joined))
+    same(one, two)
+
+
+@pytest.mark.parametrize(("held", "pairs"), [(1 << 20, 1 << 20), (50, 1 << 20), (50, 7), (1, 1)])
+def test_long_videos_lie_in_a_file(spark, held, pairs, monkeypatch):
+    """Rows beyond those held go to a file and come back; sums are folded in parts; batches cut frames anywhere."""
+    import pyarrow as pa
+
+    given, _ = _looked_at(spark, videos=6)
+    rows = trackers.both_ways(given, "sort").where("state <> 'tentative'").select("video_id", *bidirectional._READ)
+    table = rows.toArrow().sort_by([(c, "ascending") for c in ("video_id", "frame", "_side", "track_id")])
+    ask = lambda size: sorted(map(repr, pa.Table.from_batches(list(bidirectional._merged(0.3, 0.6)(iter(table.to_batches(max_chunksize=size))))).to_pylist()))
+    want, files = ask(10000), []
+    monkeypatch.setattr(bidirectional, "HELD", held)
+    monkeypatch.setattr(bidirectional, "PAIRS", pairs)
+    monkeypatch.setattr(bidirectional.tempfile, "TemporaryFile", lambda own=bidirectional.tempfile.TemporaryFile, **k: files.append(own(**k)) or files[-1])
+    for size in (7, 10000):
+        assert ask(size) == want and len(want) > 100
+    assert bool(files) == (held < 100) and all(f.closed for f in files)
