@@ -259,3 +259,13 @@ def test_regions_make_their_own_rows_of_pixels(spark):
     assert len(want) == 3 and sorted(map(tuple, made.collect())) == want
     plan = plans.region_crop(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "md5" in plan and "md5" not in plan[plan.index("Exchange") :]
+
+
+def test_pictures_are_made_by_many_tasks(spark):
+    """Keys of frames are far smaller than their pictures, so a fixed number of partitions makes these, not one sized by keys."""
+    from trackloom.plans import queries as plans
+
+    plan = plans._frames(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("md5") < plan.index("REPARTITION_BY_NUM") and "md5" not in plan[plan.index("REPARTITION_BY_NUM") :]
+    plan = plans.hybrid_pictures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.rindex("md5") :].split("+- ")[1]
